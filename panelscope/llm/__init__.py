@@ -1,0 +1,11 @@
+"""Training-data operators: quality, dedup, toxicity, extraction, URL lists, packing and mixing.
+
+Functions that run inside Spark tasks are pickled by value, so executors need
+no copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
