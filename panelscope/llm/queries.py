@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -114,7 +114,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), "epoch", "block", "block_place", "doc_place")
 
 
+# -- 2: near copies --------------------------------------------------------
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+# -- 9: repeated passages --------------------------------------------------
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op6_url_lists": op6_url_lists,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
