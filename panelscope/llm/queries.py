@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
 from .common import table
 
 
@@ -119,6 +119,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+# -- 5: near vectors -------------------------------------------------------
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 # -- 9: repeated passages --------------------------------------------------
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -127,6 +132,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_url_lists": op6_url_lists,
     "op7_exact_dedup": op7_exact_dedup,
