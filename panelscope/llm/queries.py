@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, substring_dedup, url_filter
+from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -114,6 +114,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.col("mix_tokens").alias("n_tokens"), "epoch", "block", "block_place", "doc_place")
 
 
+# -- 1: quality ------------------------------------------------------------
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 # -- 2: near copies --------------------------------------------------------
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
@@ -131,6 +137,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,

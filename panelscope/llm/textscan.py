@@ -87,8 +87,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def scan(texts: list[bytes], lower: bool = False) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower maps A-Z to a-z first."""
+def scan(texts: list[bytes], lower: bool = False, table: np.ndarray = _WORD) -> Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text; lower maps A-Z to a-z first.
+
+    table may mark other bytes as those of words; it must not mark the line feed.
+    """
     joined = b"\n".join([*texts, b""])
     data = np.frombuffer(joined, np.uint8)
     if lower:
@@ -97,7 +100,7 @@ def scan(texts: list[bytes], lower: bool = False) -> Words:
     text_start = np.concatenate(([0], np.cumsum(sizes)))
     word = np.empty(len(data) + 2, bool)
     word[0] = word[-1] = False
-    np.take(_WORD, data, out=word[1:-1])
+    np.take(table, data, out=word[1:-1])
     edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
     return Words(data, start, end, np.searchsorted(start, text_start), text_start)
