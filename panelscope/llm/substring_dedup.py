@@ -2,15 +2,17 @@
 
 Two texts that share WINDOW words in a row share the least of the hashes of the
 ANCHOR-word sequences inside that window, its anchor.  The index keeps sorted,
-immutable runs on the shared folder, in two levels:
+immutable runs on the shared folder, in three levels:
 
-* anchor runs: anchor, first and last document it stands in;
+* document runs: 128-bit fingerprint of a whole document, with the first
+  document that has it; a copy of an earlier document is removed whole;
+* anchor runs: anchor, least and greatest fingerprint of the documents it stands in;
 * window runs: 128-bit fingerprint of each whole window whose anchor stands in
-  more than one document, with the first document it starts in.
+  documents that differ, with the first document it starts in.
 
-A new batch is merge-joined with the anchor runs; the windows of documents that
-share an anchor, in the batch or before it, are then verified by their whole
-window fingerprints.  Runs are compacted when there are more than MAX_RUNS.
+A new batch is merge-joined with the runs; the windows of documents that share an
+anchor, in the batch or before it, are then verified by their whole window
+fingerprints.  Runs are compacted when there are more than MAX_RUNS.
 """
 
 from __future__ import annotations
@@ -49,14 +51,28 @@ def _windows(raw: list[bytes]):
     return words, h, at, owner, least[at] if len(at) else np.empty(0, np.uint64)
 
 
+def _fingerprints(words: textscan.Words, h: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the whole word sequence of each text."""
+    with np.errstate(over="ignore"):
+        up, down = textscan._power_table(seed | 1, len(h) + 1)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum((h + np.uint64(1)) * up[: len(h)], dtype=np.uint64)))
+        first, last = words.first[:-1], words.first[1:]
+        return textscan.mix((run[last] - run[first]) * down[first] + words.counts.astype(np.uint64))
+
+
 def _anchor_rows(batches):
+    """Two kinds of rows: (anchor, print) without id, and (second print, print, doc_id) of each text of WINDOW words at least."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         for first, raw in textscan.blocks(texts):
-            _, _, _, owner, least = _windows(raw)
+            words, h, _, owner, least = _windows(raw)
+            one, two = _fingerprints(words, h, 0x9C3F4B1E57A2D861), _fingerprints(words, words.second_hashes(), 0xB5297A4D3F84D5B5)
             new = np.ones(len(least), bool)
             new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(ids[first + owner[new]].astype(np.int64))], ["anchor", "doc_id"])
+            full = np.flatnonzero(words.counts >= WINDOW)
+            anchors, prints = np.concatenate((least[new], two[full])), np.concatenate((one[owner[new]], one[full]))
+            docs = np.concatenate((np.zeros(int(new.sum()), np.int64), ids[first + full].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(docs, mask=np.arange(len(docs)) < new.sum())], ["anchor", "print", "doc_id"])
 
 
 def _pair_key(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -93,31 +109,35 @@ def _window_rows(batches):
 
 
 def _cut_rows(batches):
-    """Counts, kept text and removed word spans of each document, given its repeated windows."""
+    """Counts, kept text and removed word spans of each document, given its repeated windows or that it is a copy."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
     for batch in batches:
-        ids, texts, lists = batch.column(0), batch.column(1).to_pylist(), _lists(batch.column(2))
+        ids, texts, lists, whole = batch.column(0), batch.column(1).to_pylist(), _lists(batch.column(2)), batch.column(3).to_pylist()
         for first, raw in textscan.blocks(texts):
-            words, h, at, owner, _ = _windows(raw)
-            own = lists[first : first + len(raw)]
-            hit = np.zeros(0, np.int64)
-            if any(x is not None for x in own):
-                hit = at[_listed(owner, textscan.grams(h, WINDOW)[at], own)] if len(at) else hit
-            cover = np.zeros(len(h) + 1, np.int64)
-            np.add.at(cover, hit, 1)
-            np.add.at(cover, hit + WINDOW, -1)
-            gone = np.cumsum(cover[:-1]) > 0
+            own, copy = lists[first : first + len(raw)], whole[first : first + len(raw)]
+            some = [i for i, x in enumerate(own) if x is not None and len(x)]
+            masks: dict[int, np.ndarray] = {}
+            if some:
+                words, h, at, owner, _ = _windows([raw[i] for i in some])
+                hit = at[_listed(owner, textscan.grams(h, WINDOW)[at], [own[i] for i in some])]
+                cover = np.zeros(len(h) + 1, np.int64)
+                np.add.at(cover, hit, 1)
+                np.add.at(cover, hit + WINDOW, -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                masks = {i: gone[words.first[k] : words.first[k + 1]] for k, i in enumerate(some)}
             n_words, n_removed, kept, spans = [], [], [], []
             for i, text in enumerate(raw):
-                a, b = words.first[i], words.first[i + 1]
-                mask = gone[a:b]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                n_words.append(b - a)
-                n_removed.append(int(mask.sum()))
-                base = words.text_start[i]
-                stay = np.flatnonzero(~mask) + a
-                kept.append(b" ".join([text[s:e] for s, e in zip((words.start[stay] - base).tolist(), (words.end[stay] - base).tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
-                spans.append([{"first": int(s), "last": int(e) - 1} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                parts = text.split()  # the same six bytes of white space
+                mask = np.ones(len(parts), bool) if copy[i] else masks.get(i)
+                n_words.append(len(parts))
+                n_removed.append(0 if mask is None else int(mask.sum()))
+                if mask is not None:
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+                    spans.append([{"first": int(s), "last": int(e) - 1} for s, e in zip(edge[::2], edge[1::2], strict=True)])
+                    parts = [w for w, g in zip(parts, mask.tolist(), strict=True) if not g]
+                else:
+                    spans.append([])
+                kept.append(b" ".join(parts).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([ids.slice(first, len(raw)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field(4).type)], schema=schema)
 
 
@@ -126,6 +146,7 @@ class FingerprintIndex:
 
     def __init__(self, ws: Workspace):
         self.ws = ws
+        self.document_runs: list[DataFrame] = []
         self.anchor_runs: list[DataFrame] = []
         self.window_runs: list[DataFrame] = []
 
@@ -137,47 +158,72 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge the runs of each level into one."""
-        a = self._union(self.anchor_runs).groupBy("anchor").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
+        d = self._union(self.document_runs).groupBy("print", "second").agg(F.min("head").alias("head"))
+        a = self._union(self.anchor_runs).groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
         w = self._union(self.window_runs).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
-        old = self.anchor_runs + self.window_runs
+        old = self.document_runs + self.anchor_runs + self.window_runs
+        self.document_runs = [self.ws.save(d.sortWithinPartitions("print"), "document-run")]
         self.anchor_runs = [self.ws.save(a.sortWithinPartitions("anchor"), "anchor-run")]
         self.window_runs = [self.ws.save(w.sortWithinPartitions("h1", "h2"), "window-run")]
         for run in old:
             self.ws.drop(run)
 
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Take in a batch (doc_id, text) and return its repeated windows: doc_id, windows (array of h1).
+        """Take in a batch (doc_id, text); returns doc_id, windows (array of h1, those repeated), whole (a copy of an earlier document).
 
         corpus holds the texts of all batches so far, this one included; only
-        documents that share an anchor are read from it again.
+        documents that share an anchor are expanded from it again.
         """
         ws = self.ws
-        occurrences = ws.save(batch.where("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, doc_id long"), "anchors")
-        run = ws.save(occurrences.groupBy("anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).sortWithinPartitions("anchor"), "anchor-run")
-        shared = run.where("first_doc < last_doc").select("anchor")
+        rows = ws.save(batch.where("doc_id is not null").mapInArrow(_anchor_rows, "anchor long, print long, doc_id long"), "anchors")
+        own = rows.where("doc_id is not null").select("doc_id", "print", F.col("anchor").alias("second"))
+        heads = own.groupBy("print", "second").agg(F.min("doc_id").alias("head"))
+        if self.document_runs:
+            heads = heads.join(self._union(self.document_runs).withColumnRenamed("head", "old"), ["print", "second"], "left").select("print", "second", F.coalesce("old", "head").alias("head"), F.col("old").isNull().alias("new"))
+        else:
+            heads = heads.withColumn("new", F.lit(True))
+        heads = ws.save(heads.sortWithinPartitions("print"), "document-run")
+        copies = own.join(heads, ["print", "second"]).where("head < doc_id").select("doc_id", F.lit(None).cast("array<long>").alias("windows"), F.lit(True).alias("whole"))
+
+        met = rows.where("doc_id is null").select("anchor", "print")
+        run = ws.save(met.groupBy("anchor").agg(F.min("print").alias("low"), F.max("print").alias("high")).sortWithinPartitions("anchor"), "anchor-run")
         if self.anchor_runs:
             # merge join of the batch's anchors with the history
-            before = self._union([r.select("anchor", F.col("first_doc").alias("old_first"), F.col("last_doc").alias("old_last")) for r in self.anchor_runs])
-            met = ws.save(run.join(before, "anchor"), "met")
-            # an anchor that one document of the past had: its windows are not in the window runs yet
-            alone = met.groupBy("anchor").agg(F.min("old_first").alias("doc_id"), F.max("old_last").alias("last")).where("doc_id = last").select("doc_id", "anchor")
-            need = occurrences.join(ws.save(shared.union(met.select("anchor")).distinct(), "shared"), "anchor").select("doc_id", "anchor").union(alone)
+            before = self._union([r.select("anchor", F.col("low").alias("old_low"), F.col("high").alias("old_high")) for r in self.anchor_runs])
+            before = run.select("anchor").join(before, "anchor").groupBy("anchor").agg(F.min("old_low").alias("old_low"), F.max("old_high").alias("old_high"))
+            both = ws.save(run.join(before, "anchor", "left").where("least(low, coalesce(old_low, low)) < greatest(high, coalesce(old_high, high))"), "shared")
+            # an anchor that documents of one print had in the past: their windows are not in the window runs yet
+            alone = both.where("old_low = old_high").select(F.col("old_low").alias("print"), "anchor")
+            shared = both.select("anchor")
+            known_heads = self._union([*(r.select("print", "head") for r in self.document_runs), heads.where("new").select("print", "head")])
         else:
-            need = occurrences.join(ws.save(shared, "shared"), "anchor").select("doc_id", "anchor")
-        need = ws.save(need.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "need")
+            shared, alone = ws.save(run.where("low < high").select("anchor"), "shared"), None
+            known_heads = heads.select("print", "head")
+        # copies of documents of the past have no windows of their own
+        need = met.join(shared, "anchor").join(heads.where("not new").select("print"), "print", "left_anti").select("print", "anchor") if self.document_runs else met.join(shared, "anchor").select("print", "anchor")
+        need = need if alone is None else need.union(alone.select("print", "anchor"))
+        need = need.groupBy("print").agg(F.collect_set("anchor").alias("anchors")).join(known_heads, "print").select(F.col("head").alias("doc_id"), "anchors")
+        need = ws.save(need, "need")
         windows = ws.save(corpus.select("doc_id", "text").join(need, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_window_rows, "h1 long, h2 long, doc_id long"), "windows")
-        fresh = ws.save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc")).sortWithinPartitions("h1", "h2"), "window-run")
-        ws.drop(occurrences)
+        fresh = ws.save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), "window-run")
         known = fresh
         if self.window_runs:
-            known = ws.save(self._union([*self.window_runs, fresh]).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc")), "known")
-        repeated = ws.save(windows.join(known, ["h1", "h2"]).where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("windows")), "repeated")
-        ws.drop(windows)
+            past = self._union(self.window_runs).select("h1", "h2", F.col("first_doc").alias("past"))
+            past = past.groupBy("h1", "h2").agg(F.min("past").alias("past"))
+            known = ws.save(fresh.join(past, ["h1", "h2"], "left").select("h1", "h2", F.least("first_doc", "past").alias("first_doc"), "last_doc"), "known")
+        known = known.where("first_doc < last_doc").select("h1", "h2", "first_doc")
+        repeated = windows.join(known, ["h1", "h2"]).where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_set("h1").alias("windows")).withColumn("whole", F.lit(False))
+        found = ws.save(repeated.unionByName(copies), "repeated")
+        for done in (windows, rows, need):
+            ws.drop(done)
+        self.document_runs.append(heads.where("new").select("print", "second", "head"))
         self.anchor_runs.append(run)
-        self.window_runs.append(fresh)
+        self.window_runs.append(fresh.select("h1", "h2", "first_doc"))
+        for level, made in ((self.document_runs, heads), (self.anchor_runs, run), (self.window_runs, fresh)):
+            level[-1]._panelscope_path = made._panelscope_path
         if len(self.anchor_runs) > MAX_RUNS:
             self.compact()
-        return repeated
+        return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -201,6 +247,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = index.add(rows.where(F.col("doc_id").between(a, b - 1)), rows.where(F.col("doc_id") < b))
                 found = part if found is None else found.unionByName(part)
     else:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, windows array<long>")
-    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "windows")
+        found = docs.sparkSession.createDataFrame([], "doc_id long, windows array<long>, whole boolean")
+    joined = rows.join(found, "doc_id", "left").select("doc_id", "text", "windows", F.coalesce("whole", F.lit(False)).alias("whole"))
     return joined.mapInArrow(_cut_rows, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first: long, last: long>>")
