@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, url_filter
+from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -125,6 +125,12 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+# -- 3: toxicity -----------------------------------------------------------
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 # -- 5: near vectors -------------------------------------------------------
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -139,6 +145,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
+    "op3_toxicity": op3_toxicity,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_url_lists": op6_url_lists,
