@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from . import embed_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -131,6 +131,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+# -- 4: page texts ---------------------------------------------------------
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 # -- 5: near vectors -------------------------------------------------------
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -146,6 +151,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
     "op3_toxicity": op3_toxicity,
+    "op4_html_extract": op4_html_extract,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op6_url_lists": op6_url_lists,
