@@ -149,3 +149,23 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_i
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """docs without the rows that score below cut; all columns stay, no row is shuffled."""
+    bias, weights = model
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        w = shared.value.astype(np.float64)
+        for batch in batches:
+            keep = []
+            for _, raw in textscan.blocks(batch.column(place).to_pylist()):
+                owner, name, value = features(raw)
+                total = np.bincount(owner, w[name] * value, len(raw)) if len(owner) else np.zeros(len(raw))
+                keep.append(1 / (1 + np.exp(-np.clip(total + bias, -35, 35))) >= cut)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
