@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import across, least_joined, paired_blocks, pieces
 from .common import Workspace
 from .components import components
 
@@ -86,7 +87,7 @@ def _code_rows(code: Code):
         for batch in batches:
             if not len(batch):
                 continue
-            v = batch.column(2).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), code.d)
+            v = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), code.d)
             # scaled first: squares of very large or small components must not leave the range of doubles
             v = v / np.abs(v).max(axis=1, keepdims=True)
             lists = code.decode(v / np.linalg.norm(v, axis=1, keepdims=True), books)
@@ -99,8 +100,8 @@ def _compare(filter_no: int, ids, copies, unit, lists, block) -> tuple | None:
     """(members with links, links by copies, smallest member joined) among the rows of one filter and pair of blocks."""
     near = unit @ unit.T >= MIN_COSINE
     np.fill_diagonal(near, False)
-    if block.min() != block.max():  # two blocks: pairs across them only
-        near &= block[:, None] != block[None, :]
+    if (pairs := across(block)) is not None:
+        near &= pairs
     if not near.any():
         return None
     some = np.flatnonzero(near.any(axis=1))
@@ -114,12 +115,7 @@ def _compare(filter_no: int, ids, copies, unit, lists, block) -> tuple | None:
         has[np.repeat(np.arange(len(some)), [len(x) for x in low]), code] = 1
         near &= (has @ has.T) == 0
     links = near @ copies[some]
-    label = ids[some].copy()
-    while True:
-        lower = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1))
-        if (lower == label).all():
-            break
-        label = lower
+    label = least_joined(ids[some], near)
     own = links > 0
     return (ids[some][own], links[own], label[own]) if own.any() else None
 
@@ -128,38 +124,20 @@ def _link_rows(d: int):
     """Rows sorted by filter and blocks in, (vec_id, links, joined) out."""
 
     def run(batches):
-        kept: list[pa.RecordBatch] = []
-
-        def work(tab: pa.Table):
-            key = np.stack([tab.column(c).to_numpy() for c in ("filter", "p", "q")])
-            edge = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
-            ids, copies, block = (tab.column(c).to_numpy() for c in ("vec_id", "copies", "block"))
-            v = tab.column("vec").combine_chunks().values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), d)
+        for tab, spans in pieces(batches, "filter"):
+            number, ids, copies, block = (tab.column(c).to_numpy() for c in ("filter", "vec_id", "copies", "block"))
+            v = tab.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), d)
             v = v / np.abs(v).max(axis=1, keepdims=True)
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
             col = tab.column("filters").combine_chunks()
-            flat, offsets = col.values.to_numpy(), col.offsets.to_numpy()
+            flat, offsets = col.flatten().to_numpy(), col.offsets.to_numpy()
             found = []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a > 1 and (got := _compare(int(key[0, a]), ids[a:b], copies[a:b], v[a:b], [flat[offsets[i] : offsets[i + 1]] for i in range(a, b)], block[a:b])):
+            for a, b in spans:
+                if b - a > 1 and (got := _compare(int(number[a]), ids[a:b], copies[a:b], v[a:b], [flat[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]] for i in range(a, b)], block[a:b])):
                     found.append(got)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["vec_id", "links", "joined"])
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            kept.append(batch)
-            tab = pa.Table.from_batches(kept)
-            f, p, q = (tab.column(c).to_numpy() for c in ("filter", "p", "q"))
-            last = np.flatnonzero((f != f[-1]) | (p != p[-1]) | (q != q[-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
-            if cut:
-                yield from work(tab.slice(0, cut))
-            kept = tab.slice(cut).combine_chunks().to_batches()
-        if kept:
-            yield from work(pa.Table.from_batches(kept))
-
     return run
 
 
@@ -190,18 +168,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     code = Code.fit(heads.count(), d)
     kind = dict(rows.dtypes)["vec"]
     listed = ws.save(heads.mapInArrow(_code_rows(code), f"vec_id long, copies long, vec {kind}, filters array<long>"), "listed")
-    light = listed.select("vec_id", F.explode("filters").alias("filter"))
-    crowded = ws.save(light.groupBy("filter").count().where(F.col("count") > BLOCK).select("filter", F.ceil(F.col("count") / BLOCK).alias("blocks")), "crowded")
-    if crowded.isEmpty():
-        one = F.lit(0).cast("long")
-        work = listed.select(F.explode("filters").alias("filter"), one.alias("p"), one.alias("q"), one.alias("block"), "vec_id", "copies", "vec", "filters")
-    else:
-        dealt = light.join(crowded, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        # each block meets every other block once
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.select("vec_id", "filter", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block")
-        work = dealt.join(listed, "vec_id").select("filter", "p", "q", "block", "vec_id", "copies", "vec", "filters")
+    light = paired_blocks(ws, listed.select("vec_id", F.explode("filters").alias("filter")), "filter", "vec_id", BLOCK)
+    work = light.join(listed, "vec_id").select("filter", "p", "q", "block", "vec_id", "copies", "vec", "filters")
     work = work.repartition("filter", "p", "q").sortWithinPartitions("filter", "p", "q")
     found = ws.save(work.mapInArrow(_link_rows(d), "vec_id long, links long, joined long"), "links")
     parts = components(ws, found.select(F.col("vec_id").alias("a"), F.col("joined").alias("b")))
