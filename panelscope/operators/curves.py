@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,32 +38,54 @@ def _poly(z: Column, alphas: list[Column], betas: list[Column]) -> list[Column]:
 def polyfit(points: DataFrame, keys: list[str], degree: int = 4, x: str = "x", y: str = "y") -> DataFrame:
     """Least-squares polynomial of each group, kept in the orthogonal basis of its own points.
 
-    One row per group: n, x_min, x_max, a0.. and b1.. of the recurrence, norms
-    q0.., coefficients c0.., sse, sst, r2, mse, aic.  degree + 1 grouped passes of
-    sums; every pass is a partial aggregation, so a group of any size is spread.
-    Groups need more than degree + 1 points.
+    One row per group: n, x_min, x_max, a0.. and b0.. of the recurrence, norms
+    q0.., coefficients c0.., sse, sst, r2, mse, aic.  A group's points, scaled to
+    -1..1, become 3 * degree + 4 sums in one partial aggregation, so a group of any
+    size is spread; the recurrence then runs on one row per group.  Groups need
+    more than degree + 1 points and more than one x.
     """
     pts = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
-    z = F.col("x")
-    fit = None
-    for k in range(degree + 1):
-        base = pts if fit is None else pts.join(fit, keys)
-        alphas, betas = [F.col(f"a{i}") for i in range(k)], [F.col(f"b{i}") if i else F.lit(0.0) for i in range(k)]
-        p = _poly(z, alphas, betas)
-        agg = [F.sum(p[k] * p[k]).alias("q"), F.sum(z * p[k] * p[k]).alias("zq"), F.sum(F.col("y") * p[k]).alias("yp")]
-        if k == 0:
-            agg += [F.count("*").alias("n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.var_pop("y").alias("vy")]
-        got = base.groupBy(*keys).agg(*agg)
-        got = got.withColumns({f"q{k}": F.col("q"), f"a{k}": F.try_divide(F.col("zq"), F.col("q")), f"c{k}": F.try_divide(F.col("yp"), F.col("q"))}).drop("q", "zq", "yp")
-        fit = got.where(F.col("n") > degree + 1) if fit is None else fit.join(got, keys)
-        fit = fit.withColumn(f"b{k + 1}", F.lit(0.0)) if k == 0 else fit.withColumn(f"b{k}", F.try_divide(F.col(f"q{k}"), F.col(f"q{k - 1}")))
-    # residual sums from the data, as differences of large sums lose digits
-    res = pts.join(fit, keys)
-    value = fitted(degree)
-    sums = res.groupBy(*keys).agg(F.sum((F.col("y") - value) * (F.col("y") - value)).alias("sse"))
-    out = fit.join(sums, keys).withColumn("sst", F.col("vy") * F.col("n")).drop("vy")
+    span = pts.groupBy(*keys).agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.avg("y").alias("y_mean"))
+    z = (F.col("x") - (F.col("x_min") + F.col("x_max")) / 2) / ((F.col("x_max") - F.col("x_min")) / 2)
+    scaled = pts.join(span.where("x_max > x_min"), keys).select(*keys, "x_min", "x_max", "y_mean", z.alias("z"), (F.col("y") - F.col("y_mean")).alias("v"))
+    powers = lambda k: F.lit(1.0) if k == 0 else F.pow(F.col("z"), F.lit(float(k)))
+    sums = scaled.groupBy(*keys, "x_min", "x_max", "y_mean").agg(
+        F.count("*").alias("n"), F.array(*[F.sum(powers(k)) for k in range(2 * degree + 1)]).alias("m"), F.array(*[F.sum(powers(k) * F.col("v")) for k in range(degree + 1)]).alias("t"), F.sum(F.col("v") * F.col("v")).alias("sst")
+    )
+    names = [f"{c}{k}" for k in range(degree + 1) for c in "abcq"]
+
+    def solve(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            m, t = np.stack(pdf["m"]), np.stack(pdf["t"])
+            half, mid, mean = (pdf["x_max"] - pdf["x_min"]).to_numpy() / 2, (pdf["x_max"] + pdf["x_min"]).to_numpy() / 2, pdf["y_mean"].to_numpy()
+            size = degree + 1
+            inner = lambda p, q, shift=0: sum(p[:, i] * q[:, j] * m[:, i + j + shift] for i in range(size) for j in range(size) if i + j + shift <= 2 * degree)
+            last, p, q_last, explained = np.zeros((len(m), size)), np.zeros((len(m), size)), np.ones(len(m)), np.zeros(len(m))
+            p[:, 0] = 1
+            out = {}
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for k in range(size):
+                    q = inner(p, p)
+                    c = (p * t).sum(axis=1) / q
+                    a = inner(p, p, 1) / q if k < degree else np.zeros(len(m))
+                    b = q / q_last if k else np.zeros(len(m))
+                    explained += c * c * q
+                    out[f"a{k}"], out[f"b{k}"], out[f"q{k}"], out[f"c{k}"] = mid + half * a, half**2 * b, half ** (2 * k) * q, c / half**k + (mean if k == 0 else 0)
+                    step = np.concatenate((np.zeros((len(m), 1)), p[:, :-1]), axis=1) - a[:, None] * p - b[:, None] * last
+                    last, p, q_last = p, step, q
+            frame = pdf.drop(columns=["m", "t", "y_mean"]).assign(**{n: out[n] for n in names})
+            frame["sse"] = np.maximum(0, frame["sst"] - explained)
+            yield frame[np.isfinite(frame[names]).all(axis=1)]
+
+    kinds = dict(sums.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x_min double, x_max double, n long, sst double", *(f"{c} double" for c in names), "sse double"])
+    order = [*keys, "x_min", "x_max", "n", "sst", *names, "sse"]
+    ready = sums.where(F.col("n") > degree + 1).select(*keys, F.col("x_min").cast("double").alias("x_min"), F.col("x_max").cast("double").alias("x_max"), "n", "sst", "y_mean", "m", "t")
+    fit = ready.mapInPandas(lambda batches: (f[order] for f in solve(batches)), schema)
     n = F.col("n")
-    return out.withColumns({"r2": 1 - F.try_divide(F.col("sse"), F.col("sst")), "mse": F.col("sse") / (n - degree - 1), "aic": n * F.log(F.col("sse") / n) + 2 * (degree + 1)})
+    return fit.withColumns({"r2": 1 - F.try_divide(F.col("sse"), F.col("sst")), "mse": F.col("sse") / (n - degree - 1), "aic": n * F.log(F.col("sse") / n) + 2 * (degree + 1)})
 
 
 def _terms(degree: int, x: Column) -> list[Column]:

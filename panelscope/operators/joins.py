@@ -53,7 +53,8 @@ def caliper_nearest(left: DataFrame, right: DataFrame, on: list[str], caliper: f
     if strict:
         near = near.where((F.month("a_ts") == F.month(f"b_row.{ts}")) & (F.abs(F.hour("a_ts") - F.hour(f"b_row.{ts}")) <= 1))
     d2 = reduce(lambda p, q: p + q, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in on])
-    best = near.groupBy(by, *order).agg(F.min(F.struct(d2.alias("d2"), F.col("b_row"))).alias("best"))
+    # rounded, so that equal distances are ties whatever the order of sums
+    best = near.groupBy(by, *order).agg(F.min(F.struct(F.round(d2, 9).alias("d2"), F.col("b_row"))).alias("best"))
     return left.join(best, [by, *order], "left").withColumns({"match": F.col("best.b_row"), "d2": F.col("best.d2")}).drop("best")
 
 

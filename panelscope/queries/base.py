@@ -51,8 +51,9 @@ VIEWS = {
 
 
 def with_(views: str, body: str) -> str:
-    names = views.split()
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in names) + ("," if body.lstrip()[:1] == "," else "") + " " + body.lstrip().removeprefix(",")
+    names, body = views.split(), body.strip()
+    own = body.removeprefix("WITH ") if body.startswith("WITH ") else None
+    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in names) + (f", {own}" if own else f" {body}")
 
 
 def query(name: str, keys: str = "", doubles: str = "", sql: str | None = None, views: str = "", digits: int = 6):
