@@ -1,6 +1,6 @@
 """Registered queries, one per operator, with the SQL that checks them."""
 
-from . import access, merging, ranking, response, summary  # noqa: F401
+from . import access, merging, modelling, ranking, response, summary  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
