@@ -10,10 +10,14 @@ sequence.
 
 from __future__ import annotations
 
+import gc
+import os
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -21,58 +25,109 @@ from pyspark.taskcontext import TaskContext
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-RUN_TOKENS = 2_000_000
-CACHE_WORDS = 300_000
+RUN_TOKENS = 1_000_000
+CACHE_WORDS = 400_000
+#: Characters of texts that are encoded together.
+BATCH_CHARS = 1_000_000
 #: White space on which Python and the tokenizer's \\s could differ: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
+#: Words that are not split here: beyond Latin letters, where Unicode tables could differ, or with a special token.
+_WHOLE = re.compile("[^\x00-\u024f]|<\\|")
+# Fixed value: the word pattern of the tokenizer file.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+class _Pool:
+    """Arrays of token ids by number, in one growing array."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes, self.used = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts = np.concatenate((self.starts, self.used + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.used += len(ids)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the numbers in a row, their sizes)."""
+        sizes = self.sizes[numbers]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class WordEncoder:
-    """Token ids of texts; a word's ids are kept, as the tokenizer never looks across white space."""
+    """Token ids of texts, by the tokenizers library.
+
+    The tokenizer drops white space and never looks across it, nor across the
+    parts that its pre-tokenizer splits words into.  So words and parts are looked
+    up, and only parts not seen yet are handed to the library, many at once.
+    Words outside plain Latin, or that hold what looks like a special token, are
+    handed over whole.
+    """
 
     def __init__(self, path: str, end_id: int = END_ID):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a part
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.pool, self.lengths, self.used, self.n = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), 0, 0
-        self.offsets = np.empty(1 << 14, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = got.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
-            if self.n == len(self.lengths):
-                self.lengths, self.offsets = (np.concatenate((x, np.empty_like(x))) for x in (self.lengths, self.offsets))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.offsets[self.n], self.lengths[self.n] = self.used, len(ids)
-            self.codes[word] = self.n
-            self.used, self.n = self.used + len(ids), self.n + 1
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.array([self.end_id], np.uint32)
-        if _ODD.search(text):
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
-        words = text.split()
-        if fresh := list(dict.fromkeys(w for w in words if w not in self.codes)):
-            if self.n > CACHE_WORDS:
-                self.reset()
-                fresh = list(dict.fromkeys(words))
+        self.words: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.of_word, self.of_part = _Pool(), _Pool()
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for ids in got for i in ids), np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        whole = list(filter(_WHOLE.search, fresh))
+        plain = fresh if not whole else [w for w in fresh if not _WHOLE.search(w)]
+        split = [_PARTS.findall(w if w.isascii() else unicodedata.normalize("NFC", w)) for w in map(str.lower, plain)]
+        unseen = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.parts]
+        if unseen:
+            got = self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0]
+            ids = np.array(got.ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(unseen) and last[-1] == len(ids) - 1:
+                self.of_part.add(ids, np.diff(np.concatenate(([-1], last))))
+            else:
+                self.of_part.add(*self._library(unseen))
+            self.parts.update(zip(unseen, range(len(self.parts), len(self.parts) + len(unseen)), strict=True))
+        counts = np.array([len(ps) for ps in split], np.int64)
+        ids, sizes = self.of_part.take(np.fromiter((self.parts[p] for ps in split for p in ps), np.int64, int(counts.sum())))
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        edge = np.concatenate(([0], np.cumsum(counts)))
+        self.of_word.add(ids, total[edge[1:]] - total[edge[:-1]])
+        if whole:
+            self.of_word.add(*self._library(whole))
+        self.words.update(zip(plain + whole, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
+        if len(self.words) > CACHE_WORDS:
+            self.reset()
+        end = np.array([self.end_id], np.uint32)
+        odd = [bool(t) and bool(_ODD.search(t)) for t in texts]
+        split = [[] if o or not t else t.split() for t, o in zip(texts, odd, strict=True)]
+        flat = [w for words in split for w in words]
+        if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
             self._learn(fresh)
-        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        size = self.lengths[code]
-        before = np.cumsum(size) - size
-        total = int(size.sum())
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.pool[np.repeat(self.offsets[code] - before, size) + np.arange(total)]
-        out[total] = self.end_id
+        ids, sizes = self.of_word.take(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        edge = np.concatenate(([0], np.cumsum([len(words) for words in split])))
+        out = [np.append(ids[a:b], end) for a, b in zip(total[edge[:-1]].tolist(), total[edge[1:]].tolist(), strict=True)]
+        for i in np.flatnonzero(odd):
+            out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.end_id], np.uint32)
         return out
 
 
@@ -125,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches):
+        gc.disable()  # millions of small lists, none of them in cycles
         encoder = WordEncoder(tokenizer)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 33
@@ -142,15 +198,28 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             ids, pieces, tokens, used = [], [], 0, used + used_now
             return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        def take(some, texts):
+            nonlocal tokens
+            for doc, got in zip(some, encoder.encode(texts), strict=True):
                 ids.append(doc)
-                pieces.append(encoder.encode(text.as_py()))
-                tokens += len(pieces[-1])
+                pieces.append(got)
+                tokens += len(got)
                 if tokens >= run_tokens:
                     yield flush()
+
+        for batch in batches:
+            some, texts, chars = [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                some.append(doc)
+                texts.append(text.as_py())
+                chars += len(texts[-1] or "")
+                if chars >= BATCH_CHARS:
+                    yield from take(some, texts)
+                    some, texts, chars = [], [], 0
+            yield from take(some, texts)
         if pieces:
             yield flush()
+        gc.enable()
 
     def arrow(batches):
         import pyarrow as pa

@@ -16,7 +16,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
 #: Bytes per block: powers of the bases are kept for one block only.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
