@@ -8,9 +8,11 @@ small known probability, for which estimates are corrected.
 Copies of one shingle set are one class from the start.  In a band's bucket all
 members are compared with one pivot, chosen at random for each bucket, so that
 candidates grow with the members and not with their square.  Links are verified
-on full shingle sets, best estimates first, and contracted to components; only
-members of one bucket whose components still differ are then compared with each
-other.
+on full shingle sets, those with the best estimates of each document first, and
+contracted to components.  Members of one bucket whose components still differ
+are then compared with each other, in pieces of bounded size and inside tasks:
+first by sketches, to find the documents that may have a link left, then by
+their full sets.  Tasks return what each document is joined to, not pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .blocks import across, least_joined, paired_blocks, pieces
 from .common import Workspace
 from .components import components
 
@@ -30,7 +33,12 @@ REGISTERS, BAND_ROWS, MANTISSA = 128, 4, 10
 THRESHOLD = 75
 #: Estimates below the threshold by more than five standard errors are not verified.
 LEAST_ESTIMATE = THRESHOLD / 100 - 5.2 * (0.75 * 0.25 / REGISTERS) ** 0.5
-ROUNDS = 3
+#: Pairs of each document that are verified before its bucket's other members are looked at.
+FIRST_PAIRS = 2
+#: Members of a bucket that are compared in one task at once.
+BLOCK = 1024
+#: Up to this number of ids are broadcast to find their texts; more are joined.
+BROADCAST_IDS = 500_000
 
 _seeds = np.random.default_rng(20240501)
 _FLIP = _seeds.integers(0, 1 << 63, REGISTERS, np.uint64)
@@ -126,50 +134,101 @@ def _verify_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
 
-class _Linker:
-    """Candidate pairs in, verified links and components out."""
-
-    def __init__(self, ws: Workspace, texts: DataFrame, sketches: DataFrame):
-        self.ws, self.texts, self.sketches = ws, texts, sketches
-        self.links = self.sets = None
-        self.parts = ws.spark.createDataFrame([], "node long, component long")
-
-    def score(self, pairs: DataFrame) -> DataFrame:
-        side = lambda end, n, r: self.sketches.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(n), F.col("registers").alias(r))
-        both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m"))
-        return self.ws.save(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_estimate_rows, "a long, b long, score double").where(F.col("score") >= LEAST_ESTIMATE), "scored")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components."""
-        side = lambda end, c: self.parts.select(F.col("node").alias(end), F.col("component").alias(c))
-        return pairs.join(side("a", "ca"), "a", "left").join(side("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Exact test of pairs; new links change the components."""
-        side = lambda end, s: self.sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(s))
-        done = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify_rows, "a long, b long, linked boolean")
-        done = self.ws.save(done, "verified")
-        fresh = done.where("linked").select("a", "b")
-        if not fresh.isEmpty():
-            self.links = fresh if self.links is None else self.links.union(fresh)
-            self.parts = components(self.ws, self.links)
-        return done
-
-    def take(self, scored: DataFrame, rounds: int = ROUNDS) -> None:
-        """Verify scored pairs until none joins two components."""
-        ids = scored.select("a").union(scored.select("b")).distinct()
-        self.sets = self.ws.save(self.texts.join(ids.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-        open_ = scored
-        for k in range(rounds):
-            if open_.isEmpty():
-                break
-            batch = open_
-            if k < rounds - 1:  # the best open pair of each document
-                ends = open_.select("a", "b", "score", F.explode(F.array("a", "b")).alias("end"))
-                batch = ends.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("score", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            done = self.verify(batch.select("a", "b"))
-            open_ = self.ws.save(self.apart(open_.join(done, ["a", "b"], "left_anti")), "open")
-        self.ws.drop(self.sets)
+def _hopeful_rows(batches):
+    """The rows of each piece that may be linked to one of another component, by sizes and estimates.
+
+    A pair counts in the least bucket that both documents share, so that few
+    buckets need a document's full set.
+    """
+    for tab, spans in pieces(batches, "bucket"):
+        part, n, block = (tab.column(c).to_numpy() for c in ("part", "n_shingles", "block"))
+        r, keep = _matrix(tab.column("registers")), np.zeros(len(tab), bool)
+        number, col = tab.column("bucket").to_numpy(), tab.column("buckets").combine_chunks()
+        flat, offsets = col.flatten().to_numpy(), col.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        for a, b in spans:
+            open_ = part[a:b, None] != part[None, a:b]
+            if (pairs := across(block[a:b])) is not None:
+                open_ &= pairs
+            size = n[a:b].astype(float)
+            open_ &= 100 * np.minimum(size[:, None], size) >= THRESHOLD * np.maximum(size[:, None], size)
+            low = [x[x < number[a]] for x in (flat[offsets[i] : offsets[i + 1]] for i in range(a, b))]
+            names, code, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+            if (count > 1).any():
+                row, use = np.repeat(np.arange(b - a), [len(x) for x in low]), count[code] > 1
+                row, code = row[use], (np.cumsum(count > 1) - 1)[code[use]]
+                order = np.argsort(code, kind="stable")
+                row, code = row[order], code[order]
+                for at in range(0, int(code[-1]) + 1, 2048):
+                    lo, hi = np.searchsorted(code, (at, at + 2048))
+                    has = np.zeros((b - a, 2048), np.float32)
+                    has[row[lo:hi], code[lo:hi] - at] = 1
+                    open_ &= (has @ has.T) == 0
+            for i in np.flatnonzero(open_.any(axis=1)):
+                j = np.flatnonzero(open_[i])
+                equal = (r[a + j] == r[a + i]).mean(axis=1)
+                keep[a + i] = bool((estimate(equal, size[i], size[j]) >= LEAST_ESTIMATE).any())
+        yield from tab.select(["bucket", "p", "q", "block", "doc_id", "part"]).filter(pa.array(keep)).to_batches()
+
+
+def _joined_rows(batches):
+    """(a, b): documents of each piece with the smallest one that full sets join them to across components."""
+    for tab, spans in pieces(batches, "bucket"):
+        ids, part, block = (tab.column(c).to_numpy() for c in ("doc_id", "part", "block"))
+        raw = tab.column("shingles").to_pylist()
+        left, right = [], []
+        for a, b in spans:
+            open_ = part[a:b, None] != part[None, a:b]
+            if (pairs := across(block[a:b])) is not None:
+                open_ &= pairs
+            if not open_.any():
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in raw[a:b]]
+            size = np.array([len(x) for x in sets])
+            row = np.repeat(np.arange(b - a), size)
+            names, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            use = count[code] > 1
+            row, code = row[use], (np.cumsum(count > 1) - 1)[code[use]]
+            order = np.argsort(code, kind="stable")
+            row, code = row[order], code[order]
+            both = np.zeros((b - a, b - a), np.float32)
+            for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+                lo, hi = np.searchsorted(code, (at, at + 4096))
+                has = np.zeros((b - a, 4096), np.float32)
+                has[row[lo:hi], code[lo:hi] - at] = 1
+                both += has @ has.T
+            inner = both.astype(np.int64)
+            near = open_ & (100 * inner >= THRESHOLD * (size[:, None] + size - inner))
+            if near.any():
+                some = np.flatnonzero(near.any(axis=1))
+                left.append(ids[a:b][some])
+                right.append(least_joined(ids[a:b][some], near[np.ix_(some, some)]))
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+
+def _score(ws: Workspace, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose corrected estimate and sizes leave a link possible, with the estimate."""
+    side = lambda end, n, r: sketches.select(F.col("doc_id").alias(end), F.col("n_shingles").alias(n), F.col("registers").alias(r))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").where(100 * F.least("n", "m") >= THRESHOLD * F.greatest("n", "m"))
+    return ws.save(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_estimate_rows, "a long, b long, score double").where(F.col("score") >= LEAST_ESTIMATE), "scored")
+
+
+def _sets_of(ws: Workspace, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the listed documents; their texts are shuffled only if the list is too long to broadcast."""
+    ids = ws.save(ids, "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return ws.save(texts.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def _verified(ws: Workspace, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, linked) by the full sets of the pairs' documents."""
+    sets = _sets_of(ws, texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    side = lambda end, s: sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(s))
+    done = ws.save(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_verify_rows, "a long, b long, linked boolean"), "verified")
+    ws.drop(sets)
+    return done
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,18 +253,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = ws.save(bands.join(ws.save(buckets, "buckets"), "bucket"), "members")
     pairs = members.where("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
 
-    linker = _Linker(ws, texts, heads)
-    linker.take(linker.score(pairs))
-
-    # members of one bucket that no pivot has joined: every pair of different components that was not compared yet
-    with_part = members.where("n > 2").join(linker.parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "pivot", F.coalesce("component", "doc_id").alias("part"))
-    split = ws.save(with_part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket"), "split")
-    rest = ws.save(with_part.join(split, "bucket"), "rest")
-    x, y = (rest.where("doc_id <> pivot").select("bucket", F.col("doc_id").alias(d), F.col("part").alias(p)) for d, p in (("x", "px"), ("y", "py")))
-    cross = x.join(y, "bucket").where("px < py").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    linker.take(linker.score(cross))
-
-    of_class = classes.select(F.col("n_shingles").alias("k"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "head").join(linker.parts.withColumnRenamed("node", "head"), "head", "left").select("k", "k1", "k2", F.coalesce("component", "head").alias("of"))
+    scored = _score(ws, pairs, heads)
+    ends = scored.select("a", "b", "score", F.explode(F.array("a", "b")).alias("end"))
+    best = ends.groupBy("end").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "a", "b")), asc=False), 1, FIRST_PAIRS).alias("p"))
+    done = _verified(ws, ws.save(best.select(F.explode("p").alias("p")).select("p.a", "p.b").distinct(), "best"), texts)
+    parts = components(ws, done.where("linked"))
+
+    # every pair of one bucket whose components still differ and that was not verified yet
+    with_part = members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    split = with_part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
+    rest = ws.save(with_part.join(ws.save(split, "split"), "bucket"), "rest")
+    sorted_ = lambda df: df.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    listed = heads.join(rest.groupBy("doc_id").agg(F.collect_list("bucket").alias("buckets")), "doc_id")
+    placed = paired_blocks(ws, rest, "bucket", "doc_id", BLOCK).join(listed, "doc_id").select("bucket", "p", "q", "block", "doc_id", "part", "n_shingles", "registers", "buckets")
+    hopeful = ws.save(sorted_(placed).mapInArrow(_hopeful_rows, "bucket long, p long, q long, block long, doc_id long, part long"), "hopeful")
+    sets = _sets_of(ws, texts, hopeful.select("doc_id").distinct())
+    late = ws.save(sorted_(hopeful.join(sets, "doc_id")).select("bucket", "p", "q", "block", "doc_id", "part", "shingles").mapInArrow(_joined_rows, "a long, b long"), "late")
+    ws.drop(sets)
+    # the components found before are stars, so that they contract at once
+    parts = components(ws, parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late.select("a", "b")))
+
+    of_class = classes.select(F.col("n_shingles").alias("k"), F.col("s1").alias("k1"), F.col("s2").alias("k2"), "head").join(parts.withColumnRenamed("node", "head"), "head", "left").select("k", "k1", "k2", F.coalesce("component", "head").alias("of"))
     same = (F.col("n_shingles") == F.col("k")) & (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = every.select("doc_id", "n_shingles", "s1", "s2").join(ws.save(of_class, "parts"), same, "left").select("doc_id", "n_shingles", F.coalesce("of", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
