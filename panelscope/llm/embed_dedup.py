@@ -11,7 +11,7 @@ filter that both share, so links need no distinct().
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, exp, pi, sqrt
+from math import ceil, sqrt
 from statistics import NormalDist
 
 import numpy as np
@@ -25,9 +25,11 @@ from .components import components
 
 MIN_COSINE = 0.95
 #: Vectors that share a filter by chance, on average; sets the cap's size.
-CROWD = 24
-#: Chance that a pair just at the threshold shares no filter, if filters were independent.
-MISS = 1e-6
+CROWD = 128
+#: Independent product codes; one code's filters are too alike to find every pair alone.
+CODES = 4
+#: Share of random pairs just at the threshold that must share a filter; the codes grow until they do.
+RECALL, TRIALS = 0.999, 1000
 #: Members of a filter that are compared in one task at once.
 BLOCK = 1024
 SEED = 20240502
@@ -35,7 +37,7 @@ SEED = 20240502
 
 @dataclass(frozen=True)
 class Code:
-    """Random product code for n vectors of dimension d."""
+    """Random product codes for vectors of dimension d: CODES times words * words filter directions."""
 
     d: int
     threshold: float
@@ -43,27 +45,46 @@ class Code:
 
     @staticmethod
     def fit(n: int, d: int) -> Code:
-        p = min(0.02, max(1e-7, CROWD / max(n, 1)))
-        cut = NormalDist().inv_cdf(1 - p)
-        # share of a filter's cap that a vector at the least cosine stays in, by the midpoint rule over the first vector's score
-        rest, grid = sqrt(1 - MIN_COSINE**2), np.arange(cut, cut + 6, 0.01) + 0.005
-        density = [exp(-(x * x) / 2) / sqrt(2 * pi) for x in grid]
-        stay = sum(w * (1 - NormalDist().cdf((cut - MIN_COSINE * x) / rest)) for w, x in zip(density, grid, strict=True)) / sum(density)
-        lists = np.log(MISS) / np.log(1 - stay)
-        return Code(d, cut / sqrt(d), max(2, ceil(sqrt(lists / p))))
-
-    def books(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rotation, first codebook, second codebook); the same everywhere for one seed."""
+        """Codes for n vectors: caps by CROWD, and as many directions as random pairs need to meet with probability RECALL.
+
+        The pairs are simulated, so what is fitted depends on n and d alone.
+        """
+        p = min(0.05, max(1e-7, CROWD / max(n, 1)))
+        rng = np.random.default_rng(SEED)
+        # the cap's edge on the sphere itself; for tiny shares from the normal tail, shrunk to its fourth moment
+        z = NormalDist().inv_cdf(1 - p)
+        threshold = min(0.9, z / sqrt(d + z * z / 2))
+        a, b = rng.standard_normal((TRIALS, d)), rng.standard_normal((TRIALS, d))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        if d > 1:
+            b -= (a * b).sum(axis=1, keepdims=True) * a
+            b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+            b = MIN_COSINE * a + sqrt(1 - MIN_COSINE**2) * b
+        else:
+            b = a
+        words = max(2, ceil(sqrt(6 / (CODES * p))))
+        while True:
+            code = Code(d, threshold, words)
+            books = code.books()
+            met = [bool(np.intersect1d(x, y, assume_unique=True).size) for x, y in zip(code.decode(a, books), code.decode(b, books), strict=True)]
+            if np.mean(met) >= RECALL or words > 20_000:
+                return code
+            words = ceil(words * 1.2)
+
+    def books(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rotation, first codebook, second codebook) of each code; the same everywhere for one seed."""
         rng = np.random.default_rng(SEED + self.d)
-        turn = np.linalg.qr(rng.standard_normal((self.d, self.d)))[0]
         half = (self.d + 1) // 2
-        a, b = rng.standard_normal((self.words, half)), rng.standard_normal((self.words, max(1, self.d - half)))
         unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True) / sqrt(2)
-        return turn, unit(a), unit(b)
+        return [(np.linalg.qr(rng.standard_normal((self.d, self.d)))[0], unit(rng.standard_normal((self.words, half))), unit(rng.standard_normal((self.words, max(1, self.d - half))))) for _ in range(CODES)]
 
     def decode(self, unit: np.ndarray, books) -> list[np.ndarray]:
-        """Sorted filter numbers that each unit vector exceeds; its best filter at least."""
-        turn, a, b = books
+        """Sorted filter numbers that each unit vector exceeds; the best filter of each code at least."""
+        parts = [self._decode(unit, book, k * self.words * self.words) for k, book in enumerate(books)]
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    def _decode(self, unit: np.ndarray, book, base: int) -> list[np.ndarray]:
+        turn, a, b = book
         x = unit @ turn
         half = a.shape[1]
         one, two = x[:, :half] @ a.T, (x[:, half:] if self.d > half else np.zeros((len(x), 1))) @ b.T
@@ -73,11 +94,11 @@ class Code:
             ranked = -t[order]
             first = np.flatnonzero(s + t[order[0]] >= self.threshold)
             if not len(first):
-                out.append(np.array([int(np.argmax(s)) * self.words + int(order[0])]))
+                out.append(np.array([base + int(np.argmax(s)) * self.words + int(order[0])]))
                 continue
             count = np.searchsorted(ranked, s[first] - self.threshold, side="right")
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            out.append(np.sort(np.repeat(first, count) * self.words + order[within]))
+            out.append(base + np.sort(np.repeat(first, count) * self.words + order[within]))
         return out
 
 
