@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from . import textscan
+
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-RUN_TOKENS = 1_000_000
-CACHE_WORDS = 400_000
+RUN_TOKENS = 500_000
+CACHE_WORDS = 300_000
 #: Characters of texts that are encoded together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 #: White space on which Python and the tokenizer's \\s could differ: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Words that are not split here: beyond Latin letters, where Unicode tables could differ, or with a special token.
@@ -196,6 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             out["doc_tokens"] = [len(pieces[d]) for d in out.doc]
             out["ids"] = [pieces[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(out.doc, out.start, out.length, strict=True)]
             ids, pieces, tokens, used = [], [], 0, used + used_now
+            gc.collect()  # frames of earlier runs
             return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
 
         def take(some, texts):
@@ -220,6 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if pieces:
             yield flush()
         gc.enable()
+        encoder.reset()
+        textscan.release()
 
     def arrow(batches):
         import pyarrow as pa
