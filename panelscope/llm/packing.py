@@ -126,7 +126,7 @@ class WordEncoder:
             self._learn(fresh)
         ids, sizes = self.of_word.take(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
         total = np.concatenate(([0], np.cumsum(sizes)))
-        edge = np.concatenate(([0], np.cumsum([len(words) for words in split])))
+        edge = np.concatenate(([0], np.cumsum([len(words) for words in split], dtype=np.int64)))
         out = [np.append(ids[a:b], end) for a, b in zip(total[edge[:-1]].tolist(), total[edge[1:]].tolist(), strict=True)]
         for i in np.flatnonzero(odd):
             out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.end_id], np.uint32)

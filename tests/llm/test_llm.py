@@ -191,7 +191,7 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
 
 
-def test_packing_round_trip(docs, empty):
+def test_packing_round_trip(docs, empty, monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -214,6 +214,9 @@ def test_packing_round_trip(docs, empty):
                 at += length
             assert at <= limit
     assert packing.pack(empty, path).count() == 0
+    # a batch of texts may be full at the last row
+    monkeypatch.setattr(packing, "BATCH_CHARS", 1)
+    assert {r.doc_id for r in packing.pack(docs, path).collect()} == set(want)
 
 
 def test_encoder_is_exact_on_odd_texts():
@@ -223,6 +226,7 @@ def test_encoder_is_exact_on_odd_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = ["İSTANBUL ΣΑΣ don't <|endoftext|>x été ẞ ﬁ 12ab!!'s it's", "a\u0085b \x1c c d e", "x'S 'LL ‘q’ ½ ² ª º µ Å Ⅷ é", "日本語 テスト", "", None]
     tok = Tokenizer.from_file(path)
+    assert packing.WordEncoder(path).encode([]) == []
     assert [x.tolist() for x in packing.WordEncoder(path).encode(texts)] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
