@@ -16,7 +16,7 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,7 +94,8 @@ class WordEncoder:
     def _learn(self, fresh: list[str]) -> None:
         whole = list(filter(_WHOLE.search, fresh))
         plain = fresh if not whole else [w for w in fresh if not _WHOLE.search(w)]
-        split = [_PARTS.findall(w if w.isascii() else unicodedata.normalize("NFC", w)) for w in map(str.lower, plain)]
+        lowered = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in map(str.lower, plain)]
+        split = [(w,) if w.isalpha() else _PARTS.findall(w) for w in lowered]  # letters alone are one part
         unseen = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.parts]
         if unseen:
             got = self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0]
@@ -181,6 +182,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     bits, so a task that is run again gives the same ids.  No row is shuffled.
     """
 
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
     def run(batches):
         gc.disable()  # millions of small lists, none of them in cycles
         encoder = WordEncoder(tokenizer)
@@ -190,16 +193,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         def flush():
             nonlocal ids, pieces, tokens, used
-            rows = assign(np.array([len(p) for p in pieces], np.int64), limit)
-            out = pd.DataFrame(rows, columns=["doc", "start", "length", "sequence_id", "offset"])
-            used_now = int(out.sequence_id.max()) + 1
-            out["sequence_id"] += base + used
-            out["doc_id"] = pd.array([ids[d] for d in out.doc], dtype="Int64")
-            out["doc_tokens"] = [len(pieces[d]) for d in out.doc]
-            out["ids"] = [pieces[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(out.doc, out.start, out.length, strict=True)]
-            ids, pieces, tokens, used = [], [], 0, used + used_now
-            gc.collect()  # frames of earlier runs
-            return out[["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]]
+            rows = np.array(assign(np.array([len(p) for p in pieces], np.int64), limit), np.int64)
+            for at in range(0, len(rows), 4096):
+                doc, start, length, sequence, offset = rows[at : at + 4096].T
+                parts = [pieces[d][s : s + n].astype("<u4").tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                columns = [pa.array([ids[d] for d in doc.tolist()], pa.int64()), start, length, pa.array(parts, pa.binary()), [len(pieces[d]) for d in doc.tolist()], sequence + (base + used), offset]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names)
+            ids, pieces, tokens, used = [], [], 0, used + int(rows[:, 3].max()) + 1
 
         def take(some, texts):
             nonlocal tokens
@@ -208,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 pieces.append(got)
                 tokens += len(got)
                 if tokens >= run_tokens:
-                    yield flush()
+                    yield from flush()
 
         for batch in batches:
             some, texts, chars = [], [], 0
@@ -221,18 +221,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     some, texts, chars = [], [], 0
             yield from take(some, texts)
         if pieces:
-            yield flush()
+            yield from flush()
         gc.enable()
         encoder.reset()
         textscan.release()
 
-    def arrow(batches):
-        import pyarrow as pa
-
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        for out in run(batches):
-            for at in range(0, len(out), 4096):
-                part = out.iloc[at : at + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(part[c], pa.binary() if c == "ids" else pa.int64(), from_pandas=True) for c in names], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(arrow, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
