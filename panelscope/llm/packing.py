@@ -14,6 +14,7 @@ import gc
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 RUN_TOKENS = 500_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 500_000
 #: White space on which Python and the tokenizer's \\s could differ: such texts are encoded whole.
@@ -55,6 +56,13 @@ class _Pool:
         self.sizes = np.concatenate((self.sizes, sizes))
         self.used += len(ids)
 
+    def put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Other ids for numbers that are there."""
+        n = len(self.sizes)
+        self.add(ids, sizes)
+        self.starts[numbers], self.sizes[numbers] = self.starts[n:], self.sizes[n:]
+        self.starts, self.sizes = self.starts[:n], self.sizes[:n]
+
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the numbers in a row, their sizes)."""
         sizes = self.sizes[numbers]
@@ -62,6 +70,22 @@ class _Pool:
         return self.ids[np.repeat(self.starts[numbers] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
 
+class _Numbers(dict):
+    """Numbers strings in the order in which they are first looked up; fresh holds those not learnt yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.fresh.append(key)
+        return n
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 class WordEncoder:
     """Token ids of texts, by the tokenizers library.
 
@@ -83,37 +107,42 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
+        self.words, self.parts = _Numbers(), _Numbers()
         self.of_word, self.of_part = _Pool(), _Pool()
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for ids in got for i in ids), np.uint32), np.array([len(ids) for ids in got], np.int64)
 
-    def _learn(self, fresh: list[str]) -> None:
-        whole = list(filter(_WHOLE.search, fresh))
-        plain = fresh if not whole else [w for w in fresh if not _WHOLE.search(w)]
-        lowered = [w if w.isascii() else unicodedata.normalize("NFC", w) for w in map(str.lower, plain)]
-        split = [(w,) if w.isalpha() else _PARTS.findall(w) for w in lowered]  # letters alone are one part
-        unseen = [p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.parts]
-        if unseen:
-            got = self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0]
-            ids = np.array(got.ids, np.uint32)
+    def _learn(self) -> None:
+        """Ids of the words that were looked up for the first time."""
+        fresh, self.words.fresh = self.words.fresh, []
+        whole = [i for i, w in enumerate(fresh) if _WHOLE.search(w)] if _WHOLE.search(" ".join(fresh)) else []
+        words = fresh.copy()
+        for i in whole:
+            words[i] = ""
+        lowered = " ".join(words).lower()
+        if not lowered.isascii():
+            lowered = unicodedata.normalize("NFC", lowered)
+        split = [(w,) if w.isalpha() else _PARTS.findall(w) for w in lowered.split(" ")]  # letters alone are one part
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = self.parts.of(list(chain.from_iterable(split)))
+        if unseen := self.parts.fresh:
+            self.parts.fresh = []
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, np.uint32)
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(unseen) and last[-1] == len(ids) - 1:
                 self.of_part.add(ids, np.diff(np.concatenate(([-1], last))))
             else:
                 self.of_part.add(*self._library(unseen))
-            self.parts.update(zip(unseen, range(len(self.parts), len(self.parts) + len(unseen)), strict=True))
-        counts = np.array([len(ps) for ps in split], np.int64)
-        ids, sizes = self.of_part.take(np.fromiter((self.parts[p] for ps in split for p in ps), np.int64, int(counts.sum())))
+        ids, sizes = self.of_part.take(numbers)
         total = np.concatenate(([0], np.cumsum(sizes)))
         edge = np.concatenate(([0], np.cumsum(counts)))
+        at = len(self.of_word.sizes)
         self.of_word.add(ids, total[edge[1:]] - total[edge[:-1]])
         if whole:
-            self.of_word.add(*self._library(whole))
-        self.words.update(zip(plain + whole, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+            ids, sizes = self._library([fresh[i] for i in whole])
+            self.of_word.put(at + np.array(whole), ids, sizes)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
@@ -122,10 +151,10 @@ class WordEncoder:
         end = np.array([self.end_id], np.uint32)
         odd = [bool(t) and bool(_ODD.search(t)) for t in texts]
         split = [[] if o or not t else t.split() for t, o in zip(texts, odd, strict=True)]
-        flat = [w for words in split for w in words]
-        if fresh := [w for w in dict.fromkeys(flat) if w not in self.words]:
-            self._learn(fresh)
-        ids, sizes = self.of_word.take(np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat)))
+        numbers = self.words.of(list(chain.from_iterable(split)))
+        if self.words.fresh:
+            self._learn()
+        ids, sizes = self.of_word.take(numbers)
         total = np.concatenate(([0], np.cumsum(sizes)))
         edge = np.concatenate(([0], np.cumsum([len(words) for words in split], dtype=np.int64)))
         out = [np.append(ids[a:b], end) for a, b in zip(total[edge[:-1]].tolist(), total[edge[1:]].tolist(), strict=True)]
