@@ -4,6 +4,8 @@ Pass one parses each page, scores its containers and votes for the generalised
 path (tags with their first class, digits masked) of the best ones.  Spark adds
 the votes up by host.  Pass two extracts each page again, from the containers
 that lie on the host's winning path; a page without one uses its own best.
+Letters count for outer containers too, and the chosen containers grow to the
+article around them, so nested sections, tables and quotes stay whole.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from .url_filter import host_of
 
 #: Winning paths of up to this number of hosts are broadcast (some 100 bytes each); more are joined.
 BROADCAST_HOSTS = 50_000
+#: Share of a letter's worth that each further container around it gets.
+DECAY = 0.8
+#: From this share of link letters on, a container is a list of links.
+LINKED = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?:/?[A-Za-z][^<>]*)?$", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -43,16 +49,17 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "bonus", "blocks", "chars", "links", "parent", "own")
+    __slots__ = ("tag", "path", "skip", "bonus", "blocks", "chars", "links", "parent", "own", "felt")
 
     def __init__(self, tag, path, skip, bonus, parent):
         self.tag, self.path, self.skip, self.bonus, self.parent = tag, path, skip, bonus, parent
         self.blocks: list[tuple[int, str]] = []
         self.chars = self.links = self.own = 0
+        self.felt = 0.0
 
 
 def parse(page: str) -> list[_Node]:
-    """Containers of a page in order, each with the text blocks inside it and the letters of its own paragraphs."""
+    """Containers of a page in order, each with the text blocks inside it, the letters of its own paragraphs and the felt letters, which decay outwards."""
     root = _Node("#", "", False, 0, None)
     stack, nodes, buffer = [root], [root], []
     state = {"n": 0, "link": 0, "linked": 0}
@@ -66,15 +73,16 @@ def parse(page: str) -> list[_Node]:
         state["n"] += 1
         if stack[-1].skip:
             return
-        first = True
+        share = 1.0
         for node in reversed(stack):
             if node.tag in CONTAINER or node is root:
                 node.blocks.append((state["n"], text))
                 node.chars += len(text)
                 node.links += min(linked, len(text))
-                if first:
+                node.felt += share * len(text)
+                if share == 1.0:
                     node.own += len(text)
-                    first = False
+                share *= DECAY
 
     def push(tag, attributes):
         top = stack[-1]
@@ -86,7 +94,7 @@ def parse(page: str) -> list[_Node]:
         # a heading's own header inside an article is part of it
         kin = tag == "header" and any(n.tag == "article" for n in stack)
         skip = top.skip or (tag in SKIP and not kin) or (not main and bool(marks.strip()) and bool(BOILERPLATE.search(marks))) or "hidden" in names or names.get("aria-hidden") == "true"
-        bonus = (3 if tag == "article" else 2 if tag == "main" else 0) + (1 if marks.strip() and CONTENT.search(marks) else 0)
+        bonus = (3 if tag == "article" else 2 if tag == "main" else 0) + (1 if tag != "body" and marks.strip() and CONTENT.search(marks) else 0)
         node = _Node(tag, path, skip, bonus, top)
         stack.append(node)
         if tag in CONTAINER:
@@ -141,10 +149,10 @@ def parse(page: str) -> list[_Node]:
 
 
 def _worth(node: _Node) -> float:
-    """Own paragraph letters, less links, raised for tags and classes of main text."""
+    """Felt letters, less links, raised for tags and classes of main text."""
     if node.skip or not node.chars:
         return 0.0
-    return node.own * (1 - node.links / node.chars) * (1 + node.bonus)
+    return node.felt * (1 - node.links / node.chars) * (1 + node.bonus)
 
 
 def best_paths(page: str | None) -> list[tuple[str, float]]:
@@ -159,8 +167,33 @@ def best_paths(page: str | None) -> list[tuple[str, float]]:
     return [(path, worth / whole) for path, worth in found.items()] if whole else []
 
 
+def _whole(node: _Node) -> _Node:
+    """The container that holds all of the text that node is a part of.
+
+    An article or main around it is; so is a container with paragraphs of its own,
+    and what is around a cell, quote or section.  A body is one only with
+    paragraphs of its own around cells, quotes and sections: its other divs may
+    be anything.  Lists of links are not entered.
+    """
+    best, inner, outer = node, node, node.parent
+    while outer is not None:
+        if outer.tag in CONTAINER or outer.parent is None:
+            part = inner.tag in ("td", "blockquote", "section")
+            if outer.tag in ("article", "main"):
+                grows = outer.own > 0 or best.tag not in ("article", "main")
+            elif outer.tag in ("body", "#"):
+                grows = best is inner and outer.own > 0 and part
+            else:
+                grows = best is inner and (outer.own > 0 or part)
+            if grows and outer.links < LINKED * outer.chars:
+                best = outer
+            inner = outer
+        outer = outer.parent
+    return best
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """Blocks of the containers on the path, else of the page's best path, joined by blank lines."""
+    """Blocks of the containers on the path, else of the page's best path, with the text around them that belongs to them, joined by blank lines."""
     if not page:
         return ""
     nodes = [n for n in parse(page) if not n.skip and n.blocks]
@@ -174,7 +207,7 @@ def extract(page: str | None, path: str | None) -> str:
         top = max(worth, key=lambda p: (worth[p], p))
         chosen = [n for n in nodes if n.path == top]
     blocks: dict[int, str] = {}
-    for n in chosen:
+    for n in {id(w): w for w in map(_whole, chosen)}.values():
         blocks.update(n.blocks)
     return "\n\n".join(blocks[k] for k in sorted(blocks))
 

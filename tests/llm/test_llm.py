@@ -280,6 +280,28 @@ def test_extract(page, want):
     assert html_extract.extract(page, None) == want
 
 
+def test_extract_keeps_nested_containers_whole():
+    p = lambda name, n=30: f"<p>{name} {'word ' * n}</p>"
+    body = f"<h1>Title</h1>{p('intro', 8)}"
+    pages = {
+        "sections": f"<article>{body}<section>{p('one')}</section><section>{p('two')}</section><p>outro</p></article>",
+        "deep": f"<article>{body}<div class=text><section>{p('one')}</section><section>{p('two')}</section></div><p>outro</p></article>",
+        "classes": f"<div class=page>{body}<div class=first>{p('one', 90)}</div><div class=second>{p('two')}</div><p>outro</p></div><div class=box>{p('noise', 10)}</div>",
+        "bare": f"<div class=page><div class=first>{body}{p('one')}</div><div class=second>{p('two')}<p>outro</p></div></div><div class=box><p>noise</p></div>",
+        "table": f"<article>{body}<table><tr><td>{p('one', 90)}</td><td>{p('two', 90)}</td></tr></table><p>outro</p></article>",
+        "quote": f"<main>{body}<blockquote>{p('one', 90)}<blockquote>{p('two', 90)}</blockquote></blockquote><p>outro</p></main>",
+        "body": f"{body}<section class=a>{p('one', 90)}</section><section class=b>{p('two')}</section><p>outro</p>",
+    }
+    for name, page in pages.items():
+        page = f"<html><body><nav>menu</nav>{page}</body></html>"
+        for path in (None, max(html_extract.best_paths(page), key=lambda r: r[1])[0]):
+            got = html_extract.extract(page, path).split("\n\n")
+            assert [b.split()[0] for b in got] == ["Title", "intro", "one", "two", "outro"], name
+    # a path that only holds the cells must not cut the article either
+    cells = "#>html>body>article>table>tr>td".removeprefix("#")
+    assert html_extract.extract(f"<html><body>{pages['table']}</body></html>", cells).endswith("outro")
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda body, extra="": f"<html><body><div class='main-3'>{body}</div><div class='box'>{extra}</div></body></html>"
     rows = [(i, f"http://h.org/{i}", page(f"<p>{'word ' * 40}{i}</p>", "<p>x</p>")) for i in range(5)] + [(9, "http://h.org/9", page("<p>short</p>", f"<p>{'noise ' * 30}</p>")), (10, None, "<p>q</p>"), (11, "http://e.org", None)]
