@@ -26,6 +26,8 @@ BROADCAST_HOSTS = 50_000
 DECAY = 0.8
 #: From this share of link letters on, a container is a list of links.
 LINKED = 0.5
+#: Marked elements inside an article go if they hold fewer letters than this, or mostly links.
+SHORT = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?:/?[A-Za-z][^<>]*)?$", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -45,14 +47,19 @@ BOILERPLATE = re.compile(
     r"respond|pagination|pager|tags|tagcloud|meta|byline|skip|search|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Whole classes of what visitors wrote; such text is not the page's, however long.
+VISITORS = frozenset("comment comments commentlist disqus replies respond".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-]|\d)", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "bonus", "blocks", "chars", "links", "parent", "own", "felt")
+    __slots__ = ("tag", "path", "skip", "bonus", "blocks", "chars", "links", "parent", "own", "felt", "doubt", "seen", "linked")
 
-    def __init__(self, tag, path, skip, bonus, parent):
+    def __init__(self, tag, path, skip, bonus, parent, doubtful=False):
         self.tag, self.path, self.skip, self.bonus, self.parent = tag, path, skip, bonus, parent
+        self.doubt = self if doubtful else parent.doubt if parent else None
+        self.seen = self.linked = 0
         self.blocks: list[tuple[int, str]] = []
         self.chars = self.links = self.own = 0
         self.felt = 0.0
@@ -61,28 +68,41 @@ class _Node:
 def parse(page: str) -> list[_Node]:
     """Containers of a page in order, each with the text blocks inside it, the letters of its own paragraphs and the felt letters, which decay outwards."""
     root = _Node("#", "", False, 0, None)
-    stack, nodes, buffer = [root], [root], []
-    state = {"n": 0, "link": 0, "linked": 0}
+    stack, nodes, buffer, found = [root], [root], [], []
+    state = {"link": 0, "linked": 0}
 
     def flush():
         text = _SPACE.sub(" ", "".join(buffer)).strip()
         buffer.clear()
         linked, state["linked"] = state["linked"], 0
-        if not text:
+        if not text or stack[-1].skip:
             return
-        state["n"] += 1
-        if stack[-1].skip:
-            return
-        share = 1.0
-        for node in reversed(stack):
-            if node.tag in CONTAINER or node is root:
-                node.blocks.append((state["n"], text))
-                node.chars += len(text)
-                node.links += min(linked, len(text))
-                node.felt += share * len(text)
-                if share == 1.0:
-                    node.own += len(text)
-                share *= DECAY
+        linked = min(linked, len(text))
+        found.append((text, linked, stack[-1]))
+        doubt = stack[-1].doubt
+        while doubt is not None:
+            doubt.seen += len(text)
+            doubt.linked += linked
+            doubt = doubt.parent.doubt
+
+    def deal():
+        for n, (text, linked, node) in enumerate(found):
+            doubt = node.doubt
+            while doubt is not None and doubt.seen >= SHORT and doubt.linked < LINKED * doubt.seen:
+                doubt = doubt.parent.doubt
+            if doubt is not None:
+                continue
+            share = 1.0
+            while node is not None:
+                if node.tag in CONTAINER or node is root:
+                    node.blocks.append((n, text))
+                    node.chars += len(text)
+                    node.links += linked
+                    node.felt += share * len(text)
+                    if share == 1.0:
+                        node.own += len(text)
+                    share *= DECAY
+                node = node.parent
 
     def push(tag, attributes):
         top = stack[-1]
@@ -93,9 +113,22 @@ def parse(page: str) -> list[_Node]:
         main = tag in ("article", "main", "body", "html")
         # a heading's own header inside an article is part of it
         kin = tag == "header" and any(n.tag == "article" for n in stack)
-        skip = top.skip or (tag in SKIP and not kin) or (not main and bool(marks.strip()) and bool(BOILERPLATE.search(marks))) or "hidden" in names or names.get("aria-hidden") == "true"
+        skip = top.skip or (tag in SKIP and not kin) or "hidden" in names or names.get("aria-hidden") == "true"
+        doubtful = False
+        if not skip and not main and marks.strip() and BOILERPLATE.search(marks):
+            inside = any(n.tag in ("article", "main") for n in stack)
+            role = " ".join((names.get("class", ""), names.get("role", "")))
+            marked = bool(BOILERPLATE.search(role)) and not (inside and tag in HEADING)
+            if not marked and tag not in HEADING and not (inside and tag == "section"):
+                # ids are often slugs of headings: inside an article and of sections only a whole word counts
+                name = names.get("id", "").strip()
+                m = BOILERPLATE.match(name) if inside or tag == "section" else BOILERPLATE.search(name)
+                marked = m is not None and (m.end() == len(name) or not (inside or tag == "section"))
+            if marked:
+                skip = not inside or not VISITORS.isdisjoint(role.lower().split())
+                doubtful = not skip
         bonus = (3 if tag == "article" else 2 if tag == "main" else 0) + (1 if tag != "body" and marks.strip() and CONTENT.search(marks) else 0)
-        node = _Node(tag, path, skip, bonus, top)
+        node = _Node(tag, path, skip, bonus, top, doubtful)
         stack.append(node)
         if tag in CONTAINER:
             nodes.append(node)
@@ -145,6 +178,7 @@ def parse(page: str) -> list[_Node]:
                     push(tag, m[4] or "")
     text(page[at:])
     flush()
+    deal()
     return nodes
 
 

@@ -302,6 +302,19 @@ def test_extract_keeps_nested_containers_whole():
     assert html_extract.extract(f"<html><body>{pages['table']}</body></html>", cells).endswith("outro")
 
 
+def test_extract_keeps_marked_text_of_an_article():
+    long, links = "word " * 60, "<a href=x>a link of some length</a> " * 20
+    page = f"""<html><body><div class=related>far {long}</div><article><h1 id=search>Title</h1><p>intro {long}</p>
+    <h2 id="legal-basis" class=header>Basis</h2><p>one</p><section id="related-work"><h2>Related work</h2><p>two</p></section>
+    <section id=legal><p>three</p></section><div id="search-results-explained"><p>four</p></div><div class="legal"><p>five {long}</p></div>
+    <div class="related-posts">{links}</div><div class="share bar"><p>share</p></div><div id=related>{links}<p>x</p></div>
+    <div class="comments"><p>visitor {long}</p></div><p class="meta">by me</p><p>end</p></article></body></html>"""
+    want = ["Title", "intro", "Basis", "one", "Related", "two", "three", "four", "five", "end"]
+    assert [b.split()[0] for b in html_extract.extract(page, None).split("\n\n")] == want
+    outside = f"<body><div class=legal>{long}</div><h2 id=legal-basis>Basis</h2><p>own text</p></body>"
+    assert html_extract.extract(outside, None) == "Basis\n\nown text"
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda body, extra="": f"<html><body><div class='main-3'>{body}</div><div class='box'>{extra}</div></body></html>"
     rows = [(i, f"http://h.org/{i}", page(f"<p>{'word ' * 40}{i}</p>", "<p>x</p>")) for i in range(5)] + [(9, "http://h.org/9", page("<p>short</p>", f"<p>{'noise ' * 30}</p>")), (10, None, "<p>q</p>"), (11, "http://e.org", None)]
