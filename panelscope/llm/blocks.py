@@ -19,7 +19,7 @@ def paired_blocks(ws: Workspace, members: DataFrame, key: str, id_col: str, size
     the given columns are multiplied, so pass ids and join their data later.
     """
     zero = F.lit(0).cast("long")
-    crowded = ws.save(members.groupBy(key).count().where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).alias("_blocks")), "crowded")
+    crowded = ws.save(members.groupBy(key).count().where(F.col("count") > size).select(key, F.ceil(F.col("count") / size).alias("_blocks")), "crowded", rows=members.count() // size)
     if crowded.isEmpty():
         return members.withColumns({"p": zero, "q": zero, "block": zero})
     dealt = members.join(crowded, key, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))

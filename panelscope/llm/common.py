@@ -9,19 +9,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a few numbers that one file of an intermediate table holds, and rows of texts that one Arrow batch hands to Python.
+FILE_ROWS, BATCH_ROWS = 100_000, 1000
 #: Shuffle files of a finished write are of no further use; Spark then deletes them.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the cluster's spark.checkpoint.dir; a temporary one where that is unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelscope-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, as rows here hold whole texts; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables of one operator call, written to the shared folder to cut lineage.
 
@@ -31,11 +42,17 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_folder(spark), 0
+        small_batches(spark)
+
+    def save(self, df: DataFrame, name: str = "t", root: str | None = None, rows: int | None = None) -> DataFrame:
+        """Write df as Parquet, to this call's folder or a folder of its own below root, and return a DataFrame that reads it.
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write df as Parquet and return a DataFrame that reads it."""
+        rows: a bound on its narrow rows; the table then gets one task and file for every FILE_ROWS.
+        """
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        if rows is not None:
+            df = df.coalesce(1 + rows // FILE_ROWS)
+        path = f"{root}/{name}-{uuid.uuid4().hex}" if root else f"{self.root}/{self.n:03d}-{name}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
@@ -51,8 +68,23 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of save() that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._panelscope_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _files(self.spark, df._panelscope_path)
+        files.delete(path, True)
+
+
+def _files(spark: SparkSession, at: str):
+    """(path, its file system) for whatever store Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the finished outputs in a folder, in order; none if it does not exist."""
+    path, files = _files(spark, folder)
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    return sorted(n for n in names if files.exists(_files(spark, f"{folder}/{n}/_SUCCESS")[0]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +102,23 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def drop_rows(docs: DataFrame, marks: DataFrame, id_col: str, text_key: Column) -> DataFrame:
+    """docs without the rows that marks (doc_id, text_key, kept) do not keep; all columns stay.
+
+    Rows are told apart by id, and by text_key only where an id is kept for one
+    text and dropped for another, so that normally no text is hashed again.
+    """
+    ws = Workspace(docs.sparkSession)
+    # as many rows as ids, of which most are kept: only others are written
+    ids = marks.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("not all")
+    ids = ws.save(ids.select(F.col("doc_id").alias(id_col), F.col("some").alias("mixed")), "dropped")
+    out = docs.join(ids.select(id_col), id_col, "left_anti")
+    mixed = ids.where("mixed").select(id_col)
+    if not mixed.isEmpty():
+        key = unused(docs, "text_key")
+        gone = marks.where("not kept").select(F.col("doc_id").alias(id_col), F.col("text_key").alias(key)).distinct()
+        rows = docs.join(mixed, id_col, "left_semi").withColumn(key, text_key)
+        out = out.unionByName(rows.join(gone, [id_col, key], "left_anti").drop(key))
+    return out.select(*docs.columns)

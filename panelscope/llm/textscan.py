@@ -2,9 +2,11 @@
 
 A batch of texts becomes one UTF-8 byte buffer; words (runs of bytes that are
 not ASCII white space) and their 64-bit hashes come from array arithmetic, so
-no Python code runs per word.  A word's hash is a polynomial over its bytes in
-arithmetic modulo 2**64 followed by a non-linear mixer; equal byte strings
-always have equal hashes, wherever they stand in the buffer.
+no Python code runs per word.  A word is hashed eight bytes at a time, with a
+non-linear mixer after each eight; equal byte strings always have equal hashes,
+wherever they stand in the buffer.  Where a decision must not rest on a public
+hash, prf() gives words the values of a keyed pseudo-random function (SipHash),
+and codes() gives them numbers that are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -15,28 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SECOND = 0xC2B2AE3D27D4EB4F | 1
-#: Bytes per block: powers of the bases are kept for one block only.
+#: Bytes per block of texts that are scanned together.
 BLOCK_BYTES = 1 << 20
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below size (grown on demand)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < size:
-        size = max(size, 1 << 16)
-        with np.errstate(over="ignore"):
-            up = np.full(size, base, np.uint64)
-            up[0] = 1
-            down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            down[0] = 1
-            have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        _powers[base] = have
-    return have
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mixer (xor-shift-multiply)."""
@@ -48,6 +31,34 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+_STEP = 0x9E3779B97F4A7C15
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _sip_rounds(state: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """n rounds of SipHash on four arrays of words."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    a, b, c, d = state
+    for _ in range(n):
+        a = a + b
+        b = turn(b, 13) ^ a
+        a = turn(a, 32)
+        c = c + d
+        d = turn(d, 16) ^ c
+        a = a + d
+        d = turn(d, 21) ^ a
+        c = c + b
+        b = turn(b, 17) ^ c
+        c = turn(c, 32)
+    return [a, b, c, d]
+
+
+def _absorb(state: list[np.ndarray], block: np.ndarray) -> list[np.ndarray]:
+    a, b, c, d = state
+    a, b, c, d = _sip_rounds([a, b, c, d ^ block], 2)
+    return [a ^ block, b, c, d]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: True for bytes of a word: everything but space and 0x09-0x0D.
@@ -69,20 +80,70 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, base: int = _BASE) -> np.ndarray:
+    def _chunks(self):
+        """(words with a k-th eight bytes, their bytes left from there, the eight as little-endian numbers) for k = 0, 1, ...; bytes past a word's end are 0."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = self.data
+        eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
+        left, at, who = self.end - self.start, self.start, np.arange(len(self.start))
+        while len(who):
+            yield who, left, eights[at] & _FIRST_BYTES[np.minimum(left, 8)]
+            more = np.flatnonzero(left > 8)
+            who, at, left = who[more], at[more] + 8, left[more] - 8
+
+    def hashes(self) -> np.ndarray:
         """One uint64 per word."""
-        if not len(self.start):
-            return np.empty(0, np.uint64)
-        up, down = _power_table(base, len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            run = np.empty(len(self.data) + 1, np.uint64)
-            run[0] = 0
-            np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=run[1:])
-            return mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-
-    def second_hashes(self) -> np.ndarray:
-        """Independent hashes, for 128-bit fingerprints."""
-        return self.hashes(_SECOND)
+        out = (self.end - self.start).astype(np.uint64)
+        for who, _, eight in self._chunks():
+            if len(who) == len(out):
+                out = mix((out * np.uint64(_STEP)) ^ eight)
+            else:
+                out[who] = mix((out[who] * np.uint64(_STEP)) ^ eight)
+        return out
+
+    def prf(self, key: tuple[int, int]) -> np.ndarray:
+        """SipHash-2-4 of each word's bytes under a 128-bit key."""
+        k0, k1 = np.uint64(key[0]), np.uint64(key[1])
+        size = (self.end - self.start).astype(np.uint64)
+        # The start of the published function
+        state = [np.full(len(size), k ^ np.uint64(c), np.uint64) for k, c in ((k0, 0x736F6D6570736575), (k1, 0x646F72616E646F6D), (k0, 0x6C7967656E657261), (k1, 0x7465646279746573))]
+        tail = size << np.uint64(56)  # the last block: the length and the bytes past a multiple of eight
+        for who, left, eight in self._chunks():
+            short = left < 8
+            tail[who[short]] |= eight[short]
+            full = who[~short]
+            if len(full):
+                for v, x in zip(state, _absorb([v[full] for v in state], eight[~short]), strict=True):
+                    v[full] = x
+        state = _absorb(state, tail)
+        state[2] = state[2] ^ np.uint64(0xFF)
+        a, b, c, d = _sip_rounds(state, 4)
+        return a ^ b ^ c ^ d
+
+    def codes(self) -> np.ndarray:
+        """A number per word: equal for equal words and, unlike a hash, only for these."""
+        _, first, code = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        like = first[code]
+        same = (self.end - self.start) == (self.end - self.start)[like]
+        have = np.zeros(len(code), np.uint64)
+        for who, _, eight in self._chunks():
+            have[who] = eight
+            same[who] &= have[like[who]] == eight
+        if same.all():
+            return code
+        seen: dict[bytes, int] = {}
+        raw = self.data.tobytes()
+        return np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)), np.int64, len(code))
+
+    def sequences(self) -> list[bytes]:
+        """The words of each text, joined by one space."""
+        data, keep = self.data.copy(), np.zeros(len(self.data) + 1, np.int8)
+        keep[self.start] += 1
+        keep[self.end + 1] -= 1  # a word and what separates it from the next
+        data[self.end] = 0x20
+        joined = data[np.cumsum(keep[:-1], dtype=np.int8) > 0].tobytes()
+        edge = np.concatenate(([0], np.cumsum(self.end - self.start + 1)))[self.first].tolist()
+        return [joined[a : max(a, b - 1)] for a, b in zip(edge, edge[1:], strict=False)]
 
     def owner(self) -> np.ndarray:
         """Index of the text of each word."""
@@ -151,3 +212,20 @@ def gram_owner(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :])
     return at, owner[at]
+
+
+def exact_grams(code: np.ndarray, n: int) -> np.ndarray:
+    """A number for code[i:i + n] for every i: equal for equal sequences of codes and only for these."""
+    if len(code) < n:
+        return np.empty(0, np.uint64)
+    g = grams(mix(code.astype(np.uint64)), n)
+    order = np.argsort(g, kind="stable")
+    one, two = order[1:], order[:-1]
+    equal = g[one] == g[two]
+    one, two = one[equal], two[equal]
+    if all((code[one + k] == code[two + k]).all() for k in range(n)):
+        return g
+    out = code[: len(code) - n + 1]
+    for k in range(1, n):
+        out = np.unique(out.astype(np.int64) * (int(code.max()) + 1) + code[k : len(code) - n + 1 + k], return_inverse=True)[1]
+    return out.astype(np.uint64)

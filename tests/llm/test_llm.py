@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,6 +98,17 @@ def test_directory_splits_overfull_buckets(docs):
     assert all(r.n <= 4 or r.k == 1 for r in rows) and sum(r.n for r in rows) == entries.count()
 
 
+def test_unlike_texts_of_one_key_are_chained(docs, monkeypatch):
+    want = {tuple(r) for r in exact_dedup.exact_groups(docs).collect()}
+    monkeypatch.setattr(exact_dedup, "key_of", lambda body: F.shiftleft(F.pmod(F.length(body), F.lit(7)).cast("long"), 61))
+    ws, entries, directory = exact_dedup.build_index(docs, capacity=4)
+    chains = exact_dedup.chains_of(ws, docs, directory).collect()
+    assert max(r.chain for r in chains) > 3 and len({(r.bucket, r.key, r.chain) for r in chains}) == len(chains)
+    for keys in (0, exact_dedup.BROADCAST_KEYS):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
+        assert {tuple(r) for r in exact_dedup.exact_groups(docs, capacity=4).collect()} == want
+
+
 def brute_near(rows):
     sets = []
     for _, t, *_ in rows:
@@ -109,16 +121,27 @@ def brute_near(rows):
 
 def test_near_groups(docs, empty, monkeypatch):
     want = brute_near(corpus())
-    assert {tuple(r) for r in near_dedup.near_groups(docs).collect()} == want
+    assert {tuple(r)[:4] for r in near_dedup.near_groups(docs).collect()} == want
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    assert {tuple(r) for r in near_dedup.near_groups(docs).collect()} == want
+    assert {tuple(r)[:4] for r in near_dedup.near_groups(docs).collect()} == want
     assert near_dedup.near_groups(empty).count() == 0
     assert near_dedup.keep_one_of_each(docs).count() == sum(k for *_, k in want)
 
 
 def test_near_groups_of_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
-    assert {tuple(r) for r in near_dedup.near_groups(df).collect()} == {(None, 2, None, False), (1, 2, 1, True), (2, 0, 2, True)}
+    assert {tuple(r)[:4] for r in near_dedup.near_groups(df).collect()} == {(None, 2, None, False), (1, 2, 1, True), (2, 0, 2, True)}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(0, t, "x"), (1, t + " z", "x"), (1, u, "x"), (7, u.upper(), "y"), (None, t, "z")], "doc_id long, text string, text_key string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(df).collect()}
+    assert got == {(0, 36, 0, True), (1, 37, 0, False), (1, 36, 1, True), (7, 36, 1, False), (None, 36, None, False)}
+    assert {tuple(r) for r in near_dedup.keep_one_of_each(df).collect()} == {(0, t, "x"), (1, u, "x"), (None, t, "z")}
+    df = spark.createDataFrame([(1, "only here"), (1, "copy"), (5, "COPY"), (None, "copy"), (None, "alone")], "doc_id long, text string")
+    assert {tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()} >= {(1, "only here"), (5, "COPY"), (None, "alone")}
+    assert (1, "copy") not in {tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()}
 
 
 def test_hyperminhash_estimates():
@@ -128,8 +151,50 @@ def test_hyperminhash_estimates():
         n = 1000
         both = int(2 * n * share / (1 + share))
         a, b = pool[:n], np.concatenate((pool[:both], pool[n : 2 * n - both]))
-        got = near_dedup.estimate((near_dedup.sketch(a) == near_dedup.sketch(b)).mean(), np.array(n), np.array(n))
-        assert abs(got - share) < 0.17
+        one, two = near_dedup.sketches([np.sort(a), np.sort(b)])
+        assert abs(near_dedup.estimate((one == two).mean(), np.array(n), np.array(n)) - share) < 0.17
+
+
+@pytest.mark.parametrize("size", [3, 12, 40, 128, 600])
+def test_pairs_at_the_threshold_share_a_band(size):
+    rng = np.random.default_rng(size)
+    both, own = size, size // 3  # three quarters of the union
+    sets = [np.unique(textscan.mix(rng.integers(0, 1 << 63, both + own, np.uint64))) for _ in range(300)]
+    pairs = [(s, np.sort(rng.permutation(s)[:both])) for s in sets]
+    a, b = near_dedup.sketches([x for x, _ in pairs]), near_dedup.sketches([y for _, y in pairs])
+    bands = (a == b).reshape(len(a), -1, near_dedup.BAND_ROWS).all(axis=2)
+    assert bands.any(axis=1).all()
+    n, m = np.array([len(x) for x, _ in pairs]), np.array([len(y) for _, y in pairs])
+    assert (near_dedup.estimate((a == b).mean(axis=1), n, m) >= near_dedup.LEAST_ESTIMATE).all()
+
+
+def unlike_words():
+    """Two long words of one length that have equal hashes under any polynomial with an odd base modulo 2**64."""
+    parity = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[p] for p in parity), "".join("ba"[p] for p in parity)
+
+
+def test_words_with_colliding_polynomials_stay_apart(spark):
+    x, y = unlike_words()
+    rows = [(1, f"p q {x} r s"), (2, f"p q {y} r s"), (3, f"{x} " + " ".join(f"k{i}" for i in range(12))), (4, f"{y} " + " ".join(f"k{i}" for i in range(12)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_groups(df).collect()} == {(1, 1), (2, 2), (3, 3), (4, 3)}
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()} == {(1, 0), (2, 0), (3, 0), (4, 0)}
+
+
+def test_links_do_not_rest_on_hashes(spark, monkeypatch):
+    """With a hash that cannot tell words of one length apart, the links are still those of the words."""
+    monkeypatch.setattr(textscan.Words, "hashes", lambda self: (self.end - self.start).astype(np.uint64))
+    raw = [b"aa bb cc dd ee ff", b"aa bb cc dd ee gg", b"aa bb cc dd ee ff aa bb cc dd ee", b"aa bb", b"aa cc", b""]
+    sets = near_dedup.exact_sets(raw)
+    assert [len(s) - 1 for s in sets] == [2, 2, 6, 1, 1, -1]
+    assert near_dedup._linked(sets[0], sets[0]) and not near_dedup._linked(sets[0], sets[1]) and not near_dedup._linked(sets[3], sets[4])
+
+
+def test_siphash_reference_value():
+    words = textscan.Words(np.array([*range(15), 0], np.uint8), np.array([0]), np.array([15]), np.array([0, 1]), np.array([0, 16]))
+    key = tuple(int.from_bytes(bytes(range(k, k + 8)), "little") for k in (0, 8))
+    assert int(words.prf(key)[0]) == 0xA129CA6149BE45E5
 
 
 def test_remove_repeats(docs, empty):
@@ -153,6 +218,26 @@ def test_remove_repeats(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_one_id_and_a_reopened_index(spark, tmp_path):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(20))
+    mixed = f"{two} " + " ".join(one.split()[5:25])
+    rows = [(1, one), (2, one), (2, mixed), (None, one), (3, None), (4, mixed)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, windows string")
+    want = sorted([(1, 30, 0), (2, 30, 30), (2, 40, 20), (None, 30, 0), (3, 0, 0), (4, 40, 40)], key=str)
+    for batches in (1, 3):
+        got = substring_dedup.remove_repeats(df, batches=batches)
+        assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got.collect()), key=str) == want
+    # one session takes in documents 1 to 3, another opens the index and goes on
+    root, texts = f"{tmp_path}/index", df.select("doc_id", "text")
+    for low, high in ((1, 2), (2, 3), (3, 4), (4, 5)):
+        index = substring_dedup.FingerprintIndex(spark, root)
+        found = index.add(texts.where(f"doc_id >= {low} and doc_id < {high}"), texts.where(f"doc_id < {high}"))
+        assert index.generation == low and len(index.runs["anchor"]) == [1, 2, 1, 2][low - 1]  # the third run is compacted
+    again = substring_dedup.FingerprintIndex(spark, root)
+    assert again.keys == index.keys and [r.doc_id for r in found.collect()] == [4]
+    assert again.runs["window"][0].count() > 0
+
+
 def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(5, 24))
@@ -171,6 +256,21 @@ def test_near_vectors(spark, monkeypatch):
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    u, v = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    rows = [(1, u), (2, [2 * x for x in u]), (3, v), (4, [1.0, 1.0]), (5, [2.0, 2.0]), (5, v), (6, [1.0]), (None, u), (7, [-1.0, 4.0]), (3, v)]
+    df = spark.createDataFrame([(*r, "x", [0.0]) for r in rows], "vec_id long, embedding array<double>, node string, filters array<double>")
+    got = sorted((tuple(r) for r in embed_dedup.near_vectors(df).collect()), key=str)
+    want = [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 3, True), (3, 2, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 2, 3, False), (6, 0, 6, True), (7, 0, 7, True), (None, 0, None, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_codes_grow_where_words_may_not(monkeypatch):
+    monkeypatch.setattr(embed_dedup, "MOST_WORDS", 4)
+    code = embed_dedup.Code.fit(100, 16)
+    assert code.words == 4 and code.codes > embed_dedup.CODES
+
+
 def test_filter_recall():
     rng = np.random.default_rng(7)
     a = rng.normal(size=(400, 64))
@@ -230,13 +330,75 @@ def test_encoder_is_exact_on_odd_texts():
     assert [x.tolist() for x in packing.WordEncoder(path).encode(texts)] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
-def test_mixture_meets_its_targets():
-    tokens = {"big": 360.0} | {f"s{i}": 34.0 for i in range(19)}
-    free = mixing.solve(tokens, target_entropy=0.95, max_repeats=None)
-    assert abs(mixing._entropy(free.weights) - 0.95) < 1e-6 and min(free.epochs.values()) == pytest.approx(1)
-    held = mixing.solve(tokens, target_entropy=0.95, max_repeats=1.5)
-    assert max(held.epochs.values()) == pytest.approx(1.5) and held.exponent > free.exponent
-    assert mixing.solve({}).weights == {} and mixing.solve({"a": 5}).epochs == {"a": 1.0}
+def weigh(tokens, e):
+    whole = sum(tokens)
+    raw = [(t / whole) ** e for t in tokens]
+    return [x / sum(raw) for x in raw]
+
+
+def relative_entropy(weights):
+    return -sum(w * math.log(w) for w in weights) / math.log(len(weights))
+
+
+def budgets_of(spark, tokens, mixture):
+    df = spark.createDataFrame([(t,) for t in tokens], "tokens long")
+    return {r.tokens: r.b for r in df.select("tokens", mixture.budget(F.col("tokens")).alias("b")).collect()}
+
+
+def test_other_tokenizers_get_whole_texts(spark, docs):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, got = Tokenizer.from_file(path), collections.defaultdict(list)
+    for r in packing.pack(docs, path).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == {d: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for d, t, *_ in corpus()}
+
+
+def test_assignment_rule():
+    """Longest first, to the cheapest sequence with room; what fits nowhere is cut."""
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 40) for _ in range(300)] + [250, 100, 200]
+    limit, rows = 100, packing.assign(np.array([*sizes]), 100)
+    whole = sum(s // limit for s in sizes)
+    count = -(-sum(s % limit for s in sizes) // limit)
+    rest = sorted((i for i, s in enumerate(sizes) if s % limit), key=lambda i: -(sizes[i] % limit))
+    cost, room, want = [0.0] * count, [limit] * count, []
+    for i in rest:
+        n = sizes[i] % limit
+        fits = [k for k in range(count) if room[k] >= n]
+        if not fits:
+            continue
+        k = min(fits, key=lambda k: cost[k])
+        want.append((i, sizes[i] // limit * limit, n, whole + k, limit - room[k]))
+        room[k] -= n
+        cost[k] += packing.LINEAR * n + packing.QUADRATIC * n * n
+    kept = {(r[0], r[1]) for r in want}
+    assert [r for r in rows if r[1:3] != (r[1], limit) and (r[0], r[1]) in kept and r[2] == sizes[r[0]] % limit] == want
+    assert sum(r[2] for r in rows) == sum(sizes) and max(r[3] for r in rows) + 1 == whole + count
+
+
+def test_mixture_meets_its_targets(spark):
+    tokens = [3600] + [340] * 19
+    sums = spark.createDataFrame([(t,) for t in [*tokens, 0]], "tokens long")
+    free = mixing.solve(sums, target_entropy=0.95, max_repeats=None)
+    assert abs(relative_entropy(weigh(tokens, free.exponent)) - 0.95) < 1e-6 and free.entropy >= 0.95
+    budgets = budgets_of(spark, tokens, free)
+    assert budgets[3600] == pytest.approx(3600) and budgets[340] > 340
+    assert [budgets[t] / free.total for t in (3600, 340)] == pytest.approx([weigh(tokens, free.exponent)[k] for k in (0, 1)])
+    held = mixing.solve(sums, target_entropy=0.95, max_repeats=1.5)
+    assert budgets_of(spark, tokens, held)[340] / 340 == pytest.approx(1.5, abs=1e-6) and held.exponent > free.exponent
+    given = mixing.solve(sums, target_entropy=None, max_repeats=2.0, budget=10_000.0)
+    assert max(b / t for t, b in budgets_of(spark, tokens, given).items()) <= 2 + 1e-6 and given.total == 10_000
+    assert mixing.solve(sums.limit(0)) is None and mixing.solve(sums.where("tokens = 3600")).exponent == 1.0
+
+
+def test_mix_joins_the_plan_of_many_sources(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "x " * (1 + i % 7), f"s{i % 40}") for i in range(400)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mix(df, block_docs=4).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mix(df, block_docs=4).collect())) == want
 
 
 def test_mix_fills_budgets(spark, docs, empty):
@@ -246,11 +408,12 @@ def test_mix_fills_budgets(spark, docs, empty):
     tokens = collections.Counter()
     for d, t, _, s, *_ in rows:
         tokens[f"={s}"] += len(t.split())
-    mixture = mixing.solve(dict(tokens), 0.99, 3.0)
+    mixture = mixing.solve(spark.createDataFrame([(t,) for t in tokens.values()], "tokens long"), 0.99, 3.0)
+    budgets = budgets_of(spark, tokens.values(), mixture)
     got = collections.Counter()
     for r in out:
         got[r.mix_source] += r.mix_tokens
-    assert all(0 <= got[s] - mixture.budgets[s] < 6 or abs(got[s] - mixture.budgets[s]) < 1 for s in tokens)
+    assert all(-1 < got[s] - budgets[t] < 6 for s, t in tokens.items())
     assert {r.doc_id for r in out} == set(range(900))
     per = collections.Counter((r.doc_id, r.epoch) for r in out)
     assert max(per.values()) == 1
