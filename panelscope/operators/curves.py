@@ -161,35 +161,49 @@ def refine_peak(fit: DataFrame, keys: list[str], degree: int = 4, n: int = 200)
     return best.select(*keys, "p.peak_x", "p.peak_y")
 
 
-def rebin(points: DataFrame, keys: list[str], width: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Coarser bins from the least x of each group: means of x and y."""
-    first = points.groupBy(*keys).agg(F.min(x).alias("_x0"))
+def rebin(points: DataFrame, keys: list[str], width: float, x: str = "x", y: str = "y", whole: bool = False) -> DataFrame:
+    """Coarser bins from the least x of each group, or from the whole number below it: means of x and y."""
+    first = points.groupBy(*keys).agg((F.floor(F.min(x)) if whole else F.min(x)).alias("_x0"))
     cell = F.floor((F.col(x) - F.col("_x0")) / width + 1e-9)
     return points.join(first, keys).groupBy(*keys, cell.alias("cell")).agg(F.avg(x).alias(x), F.avg(y).alias(y))
 
 
-def lowess(points: DataFrame, keys: list[str], frac: float = 0.6, iterations: int = 0, x: str = "x", y: str = "y") -> DataFrame:
-    """Local linear smoother with tricube weights over the nearest floor(frac * n) points, and robust reweighting.
+def lowess(points: DataFrame, keys: list[str], frac: float | Column = 0.6, iterations: int = 3, x: str = "x", y: str = "y") -> DataFrame:
+    """(keys, x, y, fit): local linear smoother with tricube weights over the nearest floor(frac * n) points, and robust reweighting.
 
     points holds one row per bin of a curve, so a group is small by construction
-    (bins, not records); distances are taken inside each group's array.
+    (bins, not records) and travels as one row of two arrays.  frac may be one of
+    the keys.
     """
-    pts = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.lit(1.0).alias("r")).dropna()
-    for step in range(iterations + 1):
-        arr = pts.groupBy(*keys).agg(F.collect_list(F.struct("x", "y", "r")).alias("pts"))
-        pts = pts.join(arr, keys)
-        k = F.greatest(F.lit(2), F.floor(frac * F.size("pts") + 1e-10).cast("int"))
-        h = F.element_at(F.array_sort(F.transform("pts", lambda p: F.abs(p["x"] - F.col("x")))), k)
-        weight = lambda p, h: F.when((h > 0) & (F.abs(p["x"] - F.col("x")) < h), F.pow(1 - F.pow(F.abs(p["x"] - F.col("x")) / h, 3), 3) * p["r"]).when(F.abs(p["x"] - F.col("x")) <= 0, p["r"]).otherwise(0.0)
-        pts = pts.withColumn("h", h)
-        total = lambda f: F.aggregate("pts", F.lit(0.0), lambda s, p: s + f(p))
-        w = lambda p: weight(p, F.col("h"))
-        pts = pts.withColumns({"sw": total(w), "swx": total(lambda p: w(p) * p["x"]), "swy": total(lambda p: w(p) * p["y"])})
-        pts = pts.withColumns({"mx": F.try_divide("swx", "sw"), "my": F.try_divide("swy", "sw")})
-        pts = pts.withColumns({"sxx": total(lambda p: w(p) * (p["x"] - F.col("mx")) * (p["x"] - F.col("mx"))), "sxy": total(lambda p: w(p) * (p["x"] - F.col("mx")) * (p["y"] - F.col("my")))})
-        pts = pts.withColumn("fit", F.col("my") + F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.col("sxx")).otherwise(0.0) * (F.col("x") - F.col("mx")))
-        if step < iterations:
-            med = pts.groupBy(*keys).agg(F.median(F.abs(F.col("y") - F.col("fit"))).alias("s"))
-            u = F.try_divide(F.col("y") - F.col("fit"), 6 * F.col("s"))
-            pts = pts.join(med, keys).select(*keys, "x", "y", F.when(F.abs(u) < 1, F.pow(1 - u * u, 2)).otherwise(F.when(u.isNull(), 1.0).otherwise(0.0)).alias("r"))
-    return pts.select(*keys, "x", "y", "fit")
+    share = frac if isinstance(frac, Column) else F.lit(frac)
+    pts = points.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), share.alias("_frac")).dropna(subset=["x", "y"])
+    arr = pts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"), F.first("_frac").alias("_frac"))
+    arr = arr.select(*keys, "_frac", F.transform("p", lambda v: v["x"].cast("double")).alias("_x"), F.transform("p", lambda v: v["y"].cast("double")).alias("_y"))
+
+    def fit(px: np.ndarray, py: np.ndarray, share: float) -> np.ndarray:
+        n = len(px)
+        k = min(n, max(2, int(np.floor(share * n + 1e-10))))
+        away = np.abs(px[:, None] - px[None, :])
+        h = np.sort(away, axis=1)[:, k - 1 : k]
+        near = np.where((h > 0) & (away < h), (1 - (away / np.where(h > 0, h, 1)) ** 3) ** 3, (away <= 0) * 1.0)
+        robust = np.ones(n)
+        for step in range(iterations + 1):
+            w = near * robust
+            with np.errstate(divide="ignore", invalid="ignore"):
+                mx, my = (w * px).sum(1) / w.sum(1), (w * py).sum(1) / w.sum(1)
+                dx, dy = px[None, :] - mx[:, None], py[None, :] - my[:, None]
+                sxx = (w * dx * dx).sum(1)
+                out = my + np.where(sxx > 1e-12, (w * dx * dy).sum(1) / sxx, 0.0) * (px - mx)
+            scale = 6 * np.nanmedian(np.abs(py - out)) if step < iterations and np.isfinite(out).any() else 0
+            u = (py - out) / scale if scale > 0 else np.zeros(n)
+            robust = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            fits = [fit(np.array(a), np.array(b), f) for a, b, f in zip(pdf["_x"], pdf["_y"], pdf["_frac"], strict=True)]
+            yield pdf[keys].assign(x=pdf["_x"], y=pdf["_y"], fit=fits).explode(["x", "y", "fit"])
+
+    kinds = dict(points.dtypes)
+    out = arr.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x double, y double, fit double"]))
+    return out.withColumn("fit", F.when(~F.isnan("fit"), F.col("fit")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,12 +45,33 @@ def priority_merge(primary: DataFrame, secondary: DataFrame, by: str = "entity",
     return out.where(keep).drop("_src", "_year", "y0", "drops", "leader", "edge")
 
 
-def merge_fold(sources: list[DataFrame], by: str = "entity", ts: str = "ts") -> DataFrame:
-    """Sources in order of priority, merged one after the other; statuses are dropped."""
-    out = sources[0]
-    for nxt in sources[1:]:
-        out = priority_merge(out, nxt, by, ts).drop("status")
-    return out
+def merge_sources(sources: dict[str, DataFrame], meta: DataFrame, columns: list[str], allowed: list[str], by: str = "entity", ts: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """(rows, sites) of named sources in order of priority, merged one after the other.
+
+    rows: the merged rows with their `source`.  sites: one row per entity with
+    `origin` (its sources joined by '+'), `variable` (the first allowed one that
+    its first source has), the metadata columns, filled from the source of best
+    priority that has a value, and `status`: 'variable' if any of its sources
+    lacks that variable, 'emptied' if a merge would have left a side without
+    rows, 'duplicate' if a time occurs twice, else 'single' or 'merged'.  Rows of
+    the first three are not fit for use; the reference stops at them.
+    """
+    named = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
+    out = named[0].withColumn("_emptied", F.lit(False))
+    for nxt in named[1:]:
+        out = priority_merge(out, nxt, by, ts)
+        out = out.withColumn("_emptied", F.coalesce("_emptied", F.lit(False)) | (F.col("status") == "emptied")).drop("status")
+    present = [df.groupBy(by).agg(*[F.count(v).alias(v) for v in allowed]).withColumn("priority", F.lit(i)) for i, df in enumerate(named)]
+    present = reduce(lambda a, b: a.unionByName(b), present)
+    first = present.groupBy(by).agg(*[F.min_by(v, "priority").alias(f"_{v}") for v in allowed], F.count("*").alias("_sources"))
+    variable = F.coalesce(*[F.when(F.col(f"_{v}") > 0, F.lit(v)) for v in allowed])
+    first = first.select(by, "_sources", variable.alias("variable"))
+    has = F.coalesce(*[F.when(F.col("variable") == v, F.col(v) > 0) for v in allowed], F.lit(False))
+    lacks = present.join(first, by).groupBy(by).agg(F.max(~has).alias("_lacks"))
+    state = out.groupBy(by).agg(F.max("_emptied").alias("_emptied"), (F.count("*") != F.count_distinct(ts)).alias("_twice"))
+    status = F.when(F.col("_lacks"), "variable").when(F.col("_emptied"), "emptied").when(F.col("_twice"), "duplicate").when(F.col("_sources") == 1, "single").otherwise("merged")
+    sites = first.join(lacks, by).join(state, by).withColumn("status", status).join(metadata_gapfill(meta, columns, by), by, "left")
+    return out.drop("_emptied"), sites.select(by, "origin", "variable", "status", *columns)
 
 
 def metadata_gapfill(meta: DataFrame, columns: list[str], by: str = "entity", priority: str = "priority") -> DataFrame:

@@ -45,10 +45,10 @@ def mann_whitney_pairs(df: DataFrame, x: str, group: str) -> DataFrame:
     df has one row per entity.  For each pair the two groups' values are ranked together.
     """
     v = df.where(F.col(x).isNotNull()).select(F.col(group).alias("g"), F.col(x).alias("x"))
-    names = v.select("g").distinct()
-    pairs = names.withColumnRenamed("g", "a").crossJoin(F.broadcast(names.withColumnRenamed("g", "b"))).where("a < b")
+    names = v.agg(F.collect_set("g").alias("all"))  # one row of group names
     # each value goes to the pairs of its group: one copy for each other group
-    rows = v.join(F.broadcast(pairs), (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
+    rows = v.crossJoin(F.broadcast(names)).withColumn("other", F.explode(F.array_except("all", F.array("g"))))
+    rows = rows.select("g", "x", F.least("g", "other").alias("a"), F.greatest("g", "other").alias("b"))
     r = average_rank(rows, "x", "_r", ["a", "b"])
     ties = r.groupBy("a", "b", "x").agg(F.count("*").alias("t")).groupBy("a", "b").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     is_a = F.col("g") == F.col("a")
@@ -60,6 +60,20 @@ def mann_whitney_pairs(df: DataFrame, x: str, group: str) -> DataFrame:
     return s.select("a", "b", "n_a", "n_b", u.alias("u"), F.least(F.lit(1.0), 2 * normal_sf(z)).alias("p"))
 
 
+def places(df: DataFrame, order: list[Column], out: str = "place", parts: int | None = None) -> DataFrame:
+    """df with its rows' places in a total order, from 1.
+
+    Rows are dealt by ranges and numbered within each; the ranges' sizes, one row
+    each, are then added up, so that no task orders the whole table.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
+    dealt = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = sizes.withColumn("_before", F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).drop("_c")
+    return dealt.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+
+
 def holm(df: DataFrame, p: str, order: list[str]) -> DataFrame:
     """Step-down adjusted p-values of a table of tests: the running maximum of min(1, p * (m - i))."""
     w = W.orderBy(p, *order)  # a family of tests is a handful of rows

@@ -25,9 +25,12 @@ def basis(u: Column, n: int) -> list[Column]:
     return out
 
 
-def penalized_spline(points: DataFrame, keys: list[str], n: int = 12, n_grid: int = 100, x: str = "x", y: str = "y") -> DataFrame:
+def penalized_spline(points: DataFrame, keys: list[str], n: int = 12, n_grid: int = 100, x: str = "x", y: str = "y", residual: float | None = None) -> DataFrame:
     """(keys, x, fit, se, edf, penalty): spline with the penalty of least generalised cross-validation.
 
+    With `residual`, the largest penalty is taken whose squared residuals stay
+    within that share of the points' variance (the least penalty, if none does).
+
     A group's points become n (n + 1) / 2 sums in one aggregation; what goes to
     the solver is one row per group, whatever the number of points.
     """
@@ -36,7 +39,7 @@ def penalized_spline(points: DataFrame, keys: list[str], n: int = 12, n_grid: in
     b = basis((F.col(x) - F.col("lo")) / (F.col("hi") - F.col("lo")), n)
     rows = rows.select(*keys, "lo", "hi", F.col(y).alias("y"), *[c.alias(f"b{i}") for i, c in enumerate(b)])
     sums = [F.sum(F.col(f"b{i}") * F.col(f"b{j}")) for i in range(n) for j in range(n)]
-    agg = rows.groupBy(*keys, "lo", "hi").agg(F.array(*sums).alias("xtx"), F.array(*[F.sum(F.col(f"b{i}") * F.col("y")) for i in range(n)]).alias("xty"), F.sum(F.col("y") * F.col("y")).alias("yty"), F.count("*").alias("n"))
+    agg = rows.groupBy(*keys, "lo", "hi").agg(F.array(*sums).alias("xtx"), F.array(*[F.sum(F.col(f"b{i}") * F.col("y")) for i in range(n)]).alias("xty"), F.sum(F.col("y") * F.col("y")).alias("yty"), F.sum("y").alias("sy"), F.count("*").alias("n"))
     diff = np.diff(np.eye(n), 2, axis=0)
     penalty = diff.T @ diff
 
@@ -56,9 +59,12 @@ def penalized_spline(points: DataFrame, keys: list[str], n: int = 12, n_grid: in
                     edf = float(np.trace(inv @ a))
                     rss = max(0.0, row.yty - 2 * beta @ c + beta @ a @ beta)
                     if row.n > edf + 1e-9:
-                        gcv = row.n * rss / (row.n - edf) ** 2
-                        if best is None or gcv < best[0]:
-                            best = (gcv, lam, beta, edf, inv @ a @ inv * rss / (row.n - edf))
+                        if residual is None:
+                            rank = row.n * rss / (row.n - edf) ** 2
+                        else:
+                            rank = -lam if rss <= residual * max(0.0, row.yty - row.sy**2 / row.n) else np.inf
+                        if best is None or rank < best[0]:
+                            best = (rank, lam, beta, edf, inv @ a @ inv * rss / (row.n - edf))
                 if best is None:
                     continue
                 _, lam, beta, edf, cov = best

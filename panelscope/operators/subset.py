@@ -56,22 +56,34 @@ def zscore(df: DataFrame, columns: list[str], by: list[str] | None = None, suffi
     return out.drop(*[f"_{p}_{c}" for c in columns for p in "ms"])
 
 
-def funnel(df: DataFrame, peaks: DataFrame, kept_years: DataFrame, predictors: list[str], target: str, light_cut: float = LIGHT_CUT) -> DataFrame:
-    """Rows per entity left after each filter, in one pass of conditional counts.
-
-    peaks: (entity, month); kept_years: (entity, month, year) of balance_years on the rows before it.
-    """
-    rows = df.withColumns({"month": F.month("ts"), "year": F.year("ts")})
-    rows = rows.join(peaks.select("entity", "month", F.lit(True).alias("_peak")), ["entity", "month"], "left").join(kept_years.select("entity", "month", "year", F.lit(True).alias("_kept")), ["entity", "month", "year"], "left")
+def monthly_counts(df: DataFrame, value: str, predictors: list[str], target: str, light_cut: float = LIGHT_CUT) -> DataFrame:
+    """(entity, month, year): rows, those that pass the record-wise filters one after the other, and sum and count of value; one scan."""
+    out, so_far = [F.count("*").alias("all_records")], F.lit(True)
     tests: list[tuple[str, Column]] = [
-        ("measured", F.col("qc") == 0), ("daytime", F.col("light_pot") > light_cut), ("peak", F.col("_peak").isNotNull()), ("balanced", F.col("_kept").isNotNull()),
+        ("measured", F.col("qc") == 0), ("daytime", F.col("light_pot") > light_cut),
         ("complete_predictors", reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in predictors])), ("complete_cases", F.col(target).isNotNull()),
     ]
-    out, so_far = [F.count("*").alias("all_records")], F.lit(True)
     for name, test in tests:
         so_far = so_far & test
         out.append(F.count_if(so_far).alias(name))
-    return rows.groupBy("entity").agg(*out)
+    return df.groupBy("entity", F.month("ts").alias("month"), F.year("ts").alias("year")).agg(*out, F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+
+
+def funnel(counts: DataFrame) -> DataFrame:
+    """Rows per entity left after each filter, from monthly_counts: peak months and balanced years are decided on its few rows."""
+    months = counts.groupBy("entity", "month").agg((F.sum("_sum") / F.sum("_n")).alias("mean")).where("mean is not null")
+    peaks = months.withColumn("rank", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("mean"), "month"))).where(F.col("rank") <= PEAK_MONTHS)
+    rows = counts.join(peaks.select("entity", "month", F.lit(True).alias("_peak")), ["entity", "month"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
+    # the years of a peak month that have rows left, the latest first
+    rows = rows.withColumn("_open", F.col("_peak") & (F.col("daytime") > 0))
+    rows = rows.withColumn("_recency", F.sum(F.col("_open").cast("int")).over(W.partitionBy("entity", "month").orderBy(F.desc("year"))))
+    least = rows.where("_open").groupBy("entity", "month").agg(F.count("*").alias("n")).groupBy("entity").agg(F.min("n").alias("_m"))
+    rows = rows.join(least, "entity", "left").withColumn("_kept", F.coalesce(F.col("_open") & (F.col("_recency") <= F.col("_m")), F.lit(False)))
+    of = lambda test, c: F.coalesce(F.sum(F.when(F.col(test), F.col(c))), F.lit(0)).cast("long")
+    return rows.groupBy("entity").agg(
+        F.sum("all_records").alias("all_records"), F.sum("measured").alias("measured"), F.sum("daytime").alias("daytime"), of("_peak", "daytime").alias("peak"), of("_kept", "daytime").alias("balanced"),
+        of("_kept", "complete_predictors").alias("complete_predictors"), of("_kept", "complete_cases").alias("complete_cases"),
+    )
 
 
 def basic_stats(df: DataFrame, columns: list[str], total: str) -> DataFrame:

@@ -35,9 +35,22 @@ def threshold_band(points: DataFrame, keys: list[str], degree: int = 4, n_grid:
 
 
 def leave_one_out(curves: DataFrame, entity: str = "entity") -> DataFrame:
-    """curves with a `removed` key: every entity's points once for each other entity.  curves has one row per entity and bin."""
-    names = curves.select(F.col(entity).alias("removed")).distinct()
-    return curves.join(names, F.col(entity) != F.col("removed"))
+    """(removed, x, y, k, n_entities): median and number of the values at x without each entity in turn.
+
+    curves has one row per entity and bin.  Each bin's values are sorted once; the
+    median without an entity is read off next to the middle, so nothing is joined.
+    A bin's array has one value per entity at most.
+    """
+    cells = curves.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("y", entity))).alias("s"))
+    names = curves.agg(F.array_sort(F.collect_set(entity)).alias("all"))
+    cells = cells.crossJoin(F.broadcast(names)).withColumn("members", F.transform("s", lambda e: e[entity]))
+    inside = cells.select("x", "s", F.size("all").alias("n_entities"), F.posexplode("members").alias("at", "removed"))
+    outside = cells.select("x", "s", F.size("all").alias("n_entities"), F.lit(None).cast("int").alias("at"), F.explode(F.array_except("all", "members")).alias("removed"))
+    rows = inside.unionByName(outside).withColumn("k", F.size("s") - F.col("at").isNotNull().cast("int"))
+    # the i-th value of those left, from 1
+    left = lambda i: F.get("s", (i - 1 + (F.coalesce(F.col("at") < i, F.lit(False))).cast("int")).cast("int"))["y"]
+    middle = (left(F.floor((F.col("k") + 1) / 2)) + left(F.floor((F.col("k") + 2) / 2))) / 2
+    return rows.where("k > 0").select("removed", "x", middle.alias("y"), "k", "n_entities")
 
 
 def resampled(curves: DataFrame, n_rep: int, seed: int, entity: str = "entity") -> DataFrame:

@@ -104,12 +104,18 @@ def _(spark, sf):
     return sources.manifest(spark, root).select("path", "stage", "bytes", "sha256", "ok")
 
 
-@query("schema_conformance", "kind file name", sql="SELECT * FROM (VALUES ('unexplained', 'events', 'props'), ('unexplained', 'events', 'ts'), ('unexplained', 'events', 'value'), ('unmatched', '', 'unused')) t(kind, file, name)")
+@query("schema_conformance", "kind name files", views="pn", sql="SELECT 'unexplained' AS kind, unnest(['class', 'heat_zp2', 'heat_zm2', 'soil_zp2', 'soil_zm2']) AS name, count(DISTINCT entity) AS files FROM pn UNION ALL SELECT 'unmatched', 'unused', 0 FROM pn HAVING count(*) > 0")
 def _(spark, sf):
-    names = ["lineitem", "orders", "supplier", "events", "region"]
-    cols = spark.createDataFrame([(n, c) for n in names for c in table(spark, sf, n).columns], "file string, column string")
-    grammar = spark.createDataFrame([("prefixed", "[a-z]_[a-z]+"), ("identifier", "(event|user)_[a-z]+"), ("unused", "zz_.*")], "rule string, pattern string")
-    return sources.schema_conformance(cols, grammar)
+    from ..operators.subset import subset_stats
+
+    # the deliverable: one file of statistics for each entity, whose headers are held against the grammar
+    p = panel(spark, sf, "s_nationkey")
+    stats = subset_stats(p, ["heat", "soil"]).join(p.groupBy("entity").agg(F.first("class").alias("class")), "entity")
+    root = sources.shared_folder(spark)
+    stats.select("n_records", *[f"{c}_{s}" for c in ("heat", "soil") for s in ("min", "max", "z0", "sd", "zp2", "zm2")], "class", "entity").repartition("entity").write.partitionBy("entity").option("header", True).csv(root)
+    grammar = spark.createDataFrame([("count", "n_[a-z]+"), ("statistic", "(heat|soil)_(min|max|z0|sd)"), ("unused", "zz_.*")], "rule string, pattern string")
+    out = sources.schema_conformance(sources.header_columns(spark, root, "n_records"), grammar)
+    return out.groupBy("kind", "name").agg(F.count_distinct(F.nullif("file", F.lit(""))).alias("files"))
 
 
 # -- projections, filters, role binding --------------------------------------
@@ -177,7 +183,7 @@ def _(spark, sf):
 @query("derive_vpd_units", _ROW, "vpd", views="p", sql="SELECT *, (CASE WHEN entity IN (3, 7) THEN dry / 100 ELSE dry END) / 10 AS vpd FROM p", digits=8)
 def _(spark, sf):
     factor = spark.createDataFrame([(3, 0.01), (7, 0.01)], "entity long, factor double")
-    # two rows: the correction table is a constant
+    # two rows of constants are all that is broadcast
     df = panel(spark, sf).join(F.broadcast(factor), "entity", "left")
     return df.withColumn("vpd", F.when(F.col("factor").isNotNull(), F.col("dry") / 100).otherwise(F.col("dry")) / 10)
 
@@ -258,11 +264,13 @@ def _(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("entity")).join(thr, "entity", "left")
 
 
-@query("join_outer_bins", "bx cy", "x y", views="pn z", sql="SELECT bx, cy, x, y FROM (SELECT floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy, avg(light) AS x FROM z WHERE entity % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy, avg(soil) AS y FROM z WHERE entity % 3 = 0 GROUP BY ALL) b USING (bx, cy)")
+# light and soil have two decimals: hundredths are summed, so that a mean does not depend on the order of its rows
+@query("join_outer_bins", "bx cy", "x y", views="pn z", digits=9, sql="SELECT bx, cy, x, y FROM (SELECT floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy, sum(round(light * 100)::BIGINT)::DOUBLE / (100 * count(light)) AS x FROM z WHERE entity % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy, sum(round(soil * 100)::BIGINT)::DOUBLE / (100 * count(soil)) AS y FROM z WHERE entity % 3 = 0 GROUP BY ALL) b USING (bx, cy)")
 def _(spark, sf):
     z = zpanel(spark, sf).withColumns({"bx": F.floor(F.col("dry_z") * 10), "cy": F.floor(F.col("heat_z") * 10)})
-    a = z.where("entity % 2 = 0").groupBy("bx", "cy").agg(F.avg("light").alias("x"))
-    return a.join(z.where("entity % 3 = 0").groupBy("bx", "cy").agg(F.avg("soil").alias("y")), ["bx", "cy"], "full")
+    mean = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).cast("double") / (100 * F.count(c))
+    a = z.where("entity % 2 = 0").groupBy("bx", "cy").agg(mean("light").alias("x"))
+    return a.join(z.where("entity % 3 = 0").groupBy("bx", "cy").agg(mean("soil").alias("y")), ["bx", "cy"], "full")
 
 
 @query("join_outer_timestamp", "ts lat", "ta pr", sql="SELECT coalesce(a.ts, b.ts) AS ts, coalesce(a.lat, b.lat) AS lat, ta, pr FROM (SELECT date_trunc('day', o_orderdate) AS ts, min(o_orderkey % 90) AS lat, min_by(o_totalprice, o_orderkey) AS ta FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) a FULL JOIN (SELECT date_trunc('day', o_orderdate) AS ts, min(o_orderkey % 90) AS lat, min_by(o_totalprice, o_orderkey) AS pr FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1) b ON a.ts = b.ts", digits=2)
@@ -291,13 +299,13 @@ def _(spark, sf):
     return joins.densify(sparse, ["entity"], "bx", -20, 19)
 
 
-@query("join_shap_background", "entity l_orderkey l_linenumber l_partkey l_suppkey ts n", "mean_diff", views="pn z", sql=f"SELECT z.entity, z.l_orderkey, z.l_linenumber, z.l_partkey, z.l_suppkey, z.ts, count(*) AS n, avg(z.heat_z - b.h) AS mean_diff FROM z JOIN (SELECT entity, heat_z AS h FROM (SELECT entity, heat_z, row_number() OVER (PARTITION BY entity ORDER BY {_DRAW}, l_orderkey, l_linenumber, l_partkey, l_suppkey, ts) AS rank FROM z) WHERE rank <= 10) b ON z.entity = b.entity GROUP BY ALL")
+@query("join_shap_background", "entity l_orderkey l_linenumber l_partkey l_suppkey ts n", "mean_diff", views="pn z", sql=f"SELECT z.entity, z.l_orderkey, z.l_linenumber, z.l_partkey, z.l_suppkey, z.ts, count(*) AS n, avg(z.heat_z - b.h) AS mean_diff FROM z JOIN (SELECT entity, heat_z AS h FROM (SELECT entity, heat_z, row_number() OVER (PARTITION BY entity ORDER BY {_DRAW}, l_orderkey, l_linenumber, l_partkey, l_suppkey, ts) AS rank FROM z) WHERE rank <= 300) b ON z.entity = b.entity GROUP BY ALL")
 def _(spark, sf):
     z = zpanel(spark, sf)
     key = draw(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"))
     w = W.partitionBy("entity").orderBy(key, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ts")
-    sample = z.select("entity", "heat_z", F.row_number().over(w).alias("rank")).where("rank <= 10").groupBy("entity").agg(F.collect_list("heat_z").alias("h"))
-    # ten values per entity travel as one array; no row is multiplied
+    sample = z.select("entity", "heat_z", F.row_number().over(w).alias("rank")).where("rank <= 300").groupBy("entity").agg(F.collect_list("heat_z").alias("h"))
+    # three hundred values per entity at most travel as one array; no row is multiplied
     mean = F.aggregate("h", F.lit(0.0), lambda s, x: s + (F.col("heat_z") - x)) / F.size("h")
     return z.join(sample, "entity").select(*_ROW.split(), "l_suppkey", F.size("h").cast("long").alias("n"), mean.alias("mean_diff"))
 

@@ -14,12 +14,25 @@ PANEL = """SELECT {entity} AS entity, n_regionkey AS class, l_shipdate AS ts, CA
  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"""
 _A, _B, _C = 0.31863936, 0.714367440280187, 1.2815515655446
 
+
+
+def _t_sql(steps: int = 14, parts: int = 400) -> str:
+    """(dof, t): 0.975 quantiles of Student's t."""
+    sql = "SELECT v::DOUBLE AS dof, 2.0 AS t FROM range(1, 201) r(v)"
+    for _ in range(steps):
+        area = f"list_sum(list_transform(range(0, {parts + 1}), lambda k: (CASE WHEN k IN (0, {parts}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + (t * k / {parts}) ** 2 / dof, -(dof + 1) / 2))) * t / {3 * parts}"
+        scale = "exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi())"
+        sql = f"SELECT dof, t - (0.5 + {scale} * {area} - 0.975) / ({scale} * pow(1 + t * t / dof, -(dof + 1) / 2)) AS t FROM ({sql})"
+    return sql
+
+
 #: Views by name; each may use those before it.
 VIEWS = {
     "p": PANEL.format(entity="l_suppkey"),
     "pn": PANEL.format(entity="s_nationkey::BIGINT"),
     "z": "SELECT *, " + ", ".join(f"({v} - avg({v}) OVER w) / stddev_pop({v}) OVER w AS {v}_z" for v in ("heat", "dry", "soil", "light", "target")) + " FROM pn WHERE heat IS NOT NULL AND dry IS NOT NULL AND soil IS NOT NULL AND light IS NOT NULL AND target IS NOT NULL WINDOW w AS (PARTITION BY entity)",
     "phi": "SELECT *, 0.30 - 0.45 * dry_z - 0.15 * dry_z * dry_z + 0.02 * (entity % 5 - 2) AS phi_dry, 0.20 * heat_z AS phi_heat, 0.10 * soil_z AS phi_soil, 0.15 * light_z AS phi_light, 0.30 - 0.45 * dry_z - 0.15 * dry_z * dry_z + 0.02 * (entity % 5 - 2) + 0.20 * heat_z + 0.10 * soil_z + 0.15 * light_z AS net FROM z",
+    "tq": _t_sql(),
     "rules": f"""SELECT * FROM (VALUES (0, NULL), (1, NULL), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL), (7, NULL), (8, NULL)) r(stage, x)""",
     "stage": f"""SELECT phi.*, r.stage FROM phi, rules r WHERE CASE r.stage WHEN 0 THEN TRUE
  WHEN 1 THEN heat_z BETWEEN -{_A} AND {_A} AND dry_z BETWEEN -{_A} AND {_A} AND soil_z BETWEEN -{_A} AND {_A}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid, merge, stages, subset
 from ..operators.resample import array_median, bootstrap
+from ..sources import materialize
 from ..plans.panels import DRIVERS, EFFECTS, attributed, panel, staged, table, zpanel
 from .base import VIEWS, query
 
@@ -49,9 +50,7 @@ def _merge_sql(a: str, b: str, prefix: str) -> str:
 
 
 _M1 = _merge_sql("sa", "sb", "m1")
-VIEWS["m1x"] = "SELECT * EXCLUDE (status) FROM m1_m"
 VIEWS["sc"] = "SELECT * FROM p WHERE l_returnflag = 'R' AND year(ts) <= 1996"
-_M2 = _merge_sql("m1x", "sc", "m2")
 
 
 @query("priority_merge", "entity status n first last", "heat", views=f"p sa sb {_M1}", sql="SELECT entity, status, count(*) AS n, min(ts) AS first, max(ts) AS last, sum(heat) AS heat FROM m1_m GROUP BY ALL", digits=2)
@@ -60,10 +59,32 @@ def _(spark, sf):
     return out.groupBy("entity", "status").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("heat").alias("heat"))
 
 
-@query("priority_merge_fold", "entity n first", "heat", views=f"p sa sb {_M1} m1x sc {_M2}", sql="SELECT entity, count(*) AS n, min(ts) AS first, sum(heat) AS heat FROM m2_m GROUP BY ALL", digits=2)
+# three daily sources with their own variables; the third lacks the first variable for some entities
+_DAY = "SELECT entity, date_trunc('day', ts) + INTERVAL 12 HOUR AS ts, avg(qc) AS qc, avg(heat) AS heat, avg(CASE WHEN entity % 3 <> 0 {0} THEN gpp END) AS nee_a, avg(dry) AS nee_b, '{1}' AS origin FROM {2} GROUP BY entity, date_trunc('day', ts)"
+VIEWS["da"], VIEWS["db"], VIEWS["dc"] = _DAY.format("", "A", "sa"), _DAY.format("", "B", "sb"), _DAY.format("AND entity % 5 <> 0", "C", "sc")
+_K1 = _merge_sql("da", "db", "k1")
+VIEWS["k1x"] = "SELECT * EXCLUDE (status) FROM k1_m"
+_K2 = _merge_sql("k1x", "dc", "k2")
+
+
+@query("priority_merge_fold", "entity origin variable status n first segment", "heat lat", views=f"p sa sb sc da db dc {_K1} k1x {_K2}", digits=2, sql="""WITH pres AS (SELECT entity, 1 AS pr, 'A' AS o, count(nee_a) AS a, count(nee_b) AS b FROM da GROUP BY entity UNION ALL SELECT entity, 2, 'B', count(nee_a), count(nee_b) FROM db GROUP BY entity UNION ALL SELECT entity, 3, 'C', count(nee_a), count(nee_b) FROM dc GROUP BY entity),
+ vr AS (SELECT entity, string_agg(o, '+' ORDER BY pr) AS origin, CASE WHEN arg_min(a, pr) > 0 THEN 'nee_a' WHEN arg_min(b, pr) > 0 THEN 'nee_b' END AS variable, min_by(CASE WHEN (entity + pr) % 3 = 0 THEN entity::DOUBLE END, pr) FILTER ((entity + pr) % 3 = 0) AS lat, min_by('s' || pr, pr) FILTER ((entity * pr) % 2 = 0) AS segment FROM pres GROUP BY entity),
+ ms AS (SELECT entity, bool_or(CASE variable WHEN 'nee_a' THEN a = 0 WHEN 'nee_b' THEN b = 0 ELSE TRUE END) AS missing FROM pres JOIN vr USING (entity) GROUP BY entity),
+ em AS (SELECT entity FROM k1_p WHERE status = 'emptied' UNION SELECT entity FROM k2_p WHERE status = 'emptied'),
+ ag AS (SELECT entity, count(*) AS n, count(DISTINCT ts) AS d, min(ts) AS first, sum(heat) AS heat FROM k2_m GROUP BY entity)
+ SELECT ag.entity, origin, variable, CASE WHEN missing THEN 'variable' WHEN em.entity IS NOT NULL THEN 'emptied' WHEN n <> d THEN 'duplicate' WHEN origin NOT LIKE '%+%' THEN 'single' ELSE 'merged' END AS status, n, first, heat, lat, segment FROM ag JOIN vr USING (entity) JOIN ms USING (entity) LEFT JOIN em ON em.entity = ag.entity""")
 def _(spark, sf):
-    c = panel(spark, sf).where("l_returnflag = 'R' and year(ts) <= 1996")
-    return merge.merge_fold([*two_sources(spark, sf), c]).groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum("heat").alias("heat"))
+    raw = [*two_sources(spark, sf), panel(spark, sf).where("l_returnflag = 'R' and year(ts) <= 1996")]
+    sources, meta = {}, []
+    for priority, (name, df) in enumerate(zip("ABC", raw, strict=True), 1):
+        has = F.col("entity") % 3 != 0
+        df = df.withColumns({"nee_a": F.when(has if name != "C" else has & (F.col("entity") % 5 != 0), F.col("gpp")), "nee_b": F.col("dry")})
+        daily = merge.resample(df.select("entity", "ts", "qc", "heat", "nee_a", "nee_b"), 1440, ["qc", "heat", "nee_a", "nee_b"], []).drop("n")
+        sources[name] = materialize(daily)
+        e = sources[name].select("entity").distinct()
+        meta.append(e.select("entity", F.lit(priority).alias("priority"), F.lit(name).alias("origin"), F.when((F.col("entity") + priority) % 3 == 0, F.col("entity").cast("double")).alias("lat"), F.when(F.col("entity") * priority % 2 == 0, F.lit(f"s{priority}")).alias("segment")))
+    rows, sites = merge.merge_sources(sources, reduce(lambda a, b: a.unionByName(b), meta), ["lat", "segment"], ["nee_a", "nee_b"])
+    return rows.groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum("heat").alias("heat")).join(sites, "entity")
 
 
 _META = "SELECT c_nationkey AS entity, c_custkey AS priority, 'o' || c_custkey AS origin, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS lat, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey <= 100"
@@ -79,9 +100,9 @@ def _(spark, sf):
     return merge.metadata_gapfill(_meta(spark, sf), ["lat", "segment"])
 
 
-@query("flux_variable_detect", "entity variable", sql="SELECT user_id AS entity, CASE WHEN bool_or(event_type = 'refund') THEN 'refund' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' END AS variable FROM events WHERE event_id % 11 = 0 GROUP BY user_id")
+@query("flux_variable_detect", "entity variable", sql="SELECT user_id AS entity, CASE WHEN bool_or(event_type = 'refund') THEN 'refund' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'click') THEN 'click' END AS variable FROM events GROUP BY user_id")
 def _(spark, sf):
-    return merge.detect_variable(table(spark, sf, "events").where("event_id % 11 = 0").select(F.col("user_id").alias("entity"), F.col("event_type").alias("variable")), ["refund", "purchase", "click"])
+    return merge.detect_variable(table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("variable")), ["refund", "purchase", "click"])
 
 
 @query("duplicate_ts_check", "entity ts n", views="p", sql="SELECT entity, ts, count(*) AS n FROM p GROUP BY ALL HAVING count(*) > 1")
@@ -161,11 +182,7 @@ VIEWS["fun"] = """SELECT entity, count(*) AS all_records, count(*) FILTER (qc =
 
 
 def funnel(spark, sf):
-    p = panel(spark, sf)
-    peaks = subset.peak_months(p, "gpp")
-    rows = subset.in_peak_months(subset.daytime_filter(subset.qc_filter(p), cut=0.02), peaks)
-    kept = subset.balance_years(rows).select("entity", "month", "year").distinct()
-    return subset.funnel(p, peaks, kept, DRIVERS, "target", 0.02)
+    return subset.funnel(materialize(subset.monthly_counts(panel(spark, sf), "gpp", DRIVERS, "target", 0.02)))
 
 
 @query("filter_funnel", "entity " + " ".join(_STEPS), views=f"{_SUB} fun", sql="SELECT * FROM fun")
@@ -286,10 +303,10 @@ def _(spark, sf):
 _DRAWS = "((rep * 1000003 + s * 10007 + 42) * 48271) % 2147483647 % n"
 
 
-@query("median_se_bootstrap", "bx cy n", "se", views="pn z phi g2", sql=f"WITH v AS (SELECT bx, cy, net, row_number() OVER (PARTITION BY bx, cy ORDER BY entity) - 1 AS k, count(*) OVER (PARTITION BY bx, cy) AS n FROM g2), d AS (SELECT DISTINCT bx, cy, n, rep, s FROM v, range(200) r(rep), range(25) q(s) WHERE s < n), m AS (SELECT d.bx, d.cy, d.n, rep, median(v.net) AS m FROM d JOIN v ON v.bx = d.bx AND v.cy = d.cy AND v.k = {_DRAWS.replace('% n', '% d.n')} GROUP BY ALL) SELECT bx, cy, n, CASE WHEN n > 1 THEN stddev_samp(m) END AS se FROM m GROUP BY bx, cy, n")
+@query("median_se_bootstrap", "bx cy n", "se", views="pn z phi g2", sql=f"WITH v AS (SELECT bx, cy, net, row_number() OVER (PARTITION BY bx, cy ORDER BY entity) - 1 AS k, count(*) OVER (PARTITION BY bx, cy) AS n FROM g2), d AS (SELECT DISTINCT bx, cy, n, rep, s FROM v, range(1000) r(rep), range(25) q(s) WHERE s < n), m AS (SELECT d.bx, d.cy, d.n, rep, median(v.net) AS m FROM d JOIN v ON v.bx = d.bx AND v.cy = d.cy AND v.k = {_DRAWS.replace('% n', '% d.n')} GROUP BY ALL) SELECT bx, cy, n, CASE WHEN n > 1 THEN stddev_samp(m) END AS se FROM m GROUP BY bx, cy, n")
 def _(spark, sf):
     g = grid2(spark, sf)
-    reps = bootstrap(g, "net", ["bx", "cy"], ["entity"], 200, 42, {"m": array_median, "n": lambda a: F.size(a).cast("long")})
+    reps = bootstrap(g, "net", ["bx", "cy"], ["entity"], 1000, 42, {"m": array_median, "n": lambda a: F.size(a).cast("long")})
     return reps.groupBy("bx", "cy", "n").agg(F.when(F.col("n") > 1, F.stddev_samp("m")).alias("se"))
 
 

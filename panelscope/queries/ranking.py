@@ -18,10 +18,10 @@ def entities(spark, sf):
     return attributed(spark, sf).groupBy("entity").agg(F.first("class").alias("class"), F.avg("net").alias("net"), F.avg("heat").alias("heat"), F.avg("soil").alias("soil"), F.avg("phi_dry").alias("phi_dry"), F.median("dry_z").alias("mz"), F.count("*").alias("n"))
 
 
-@query("sort_latest_sites", "entity last place", views="p", sql="SELECT entity, max(ts) AS last, row_number() OVER (ORDER BY max(ts) DESC, entity) AS place FROM p GROUP BY entity QUALIFY place <= 20")
+@query("sort_latest_sites", "entity last place", views="p", sql="SELECT entity, max(ts) AS last, row_number() OVER (ORDER BY max(ts) DESC, entity) AS place FROM p GROUP BY entity")
 def _(spark, sf):
-    top = panel(spark, sf).groupBy("entity").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "entity").limit(20)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("last"), "entity")))
+    last = panel(spark, sf).groupBy("entity").agg(F.max("ts").alias("last"))
+    return R.places(last, [F.desc("last"), F.col("entity")]).orderBy("place")
 
 
 @query("argmax_setting", "entity", "dev", views=_E, sql="SELECT arg_max(entity, (round(abs(net - m), 9), entity)) AS entity, max(abs(net - m)) AS dev FROM ent, (SELECT avg(net) AS m FROM ent)")

@@ -89,11 +89,11 @@ def _(spark, sf):
     return steps.groupBy("minimum").agg(F.count("*").alias("entities"), F.sum("n_records").alias("records"), (100 * F.sum("n_records") / F.first("all_records")).alias("share"), F.count_if(F.col("dry") < 0).alias("negatives"), F.avg("dry").alias("dry"), F.avg("soil").alias("soil"), F.try_divide(F.avg("dry"), F.avg("soil")).alias("ratio"), F.median(d).alias("median_diff"), (100 * F.avg((d < 0).cast("double"))).alias("below_pct"))
 
 
-@query("min_records_ratio_ci", "n_rep", "low high", views=f"{_ST} s8", sql="WITH v AS (SELECT dry, soil, row_number() OVER (ORDER BY entity) - 1 AS k, count(*) OVER () AS n FROM s8), d AS (SELECT rep, ((rep * 1000003 + s * 10007 + 7) * 48271) % 2147483647 % n AS k FROM range(1000) r(rep), range(30) q(s), (SELECT any_value(n) AS n FROM v) WHERE s < n) SELECT count(*) AS n_rep, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM (SELECT rep, avg(dry) / avg(soil) AS x FROM d JOIN v USING (k) GROUP BY rep)")
+@query("min_records_ratio_ci", "n_rep", "low high", views=f"{_ST} s8", sql="WITH v AS (SELECT dry, soil, row_number() OVER (ORDER BY entity) - 1 AS k, count(*) OVER () AS n FROM s8), d AS (SELECT rep, ((rep * 1000003 + s * 10007 + 7) * 48271) % 2147483647 % n AS k FROM range(10000) r(rep), range(30) q(s), (SELECT any_value(n) AS n FROM v) WHERE s < n) SELECT count(*) AS n_rep, quantile_cont(x, 0.025) AS low, quantile_cont(x, 0.975) AS high FROM (SELECT rep, avg(dry) / avg(soil) AS x FROM d JOIN v USING (k) GROUP BY rep)")
 def _(spark, sf):
     s8 = stage8(spark, sf).select(F.lit(1).alias("one"), "entity", F.struct("dry", "soil").alias("v"))
     mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + x[f]) / F.size(a)
-    reps = bootstrap(s8, "v", ["one"], ["entity"], 1000, 7, {"x": lambda a: mean(a, "dry") / mean(a, "soil")})
+    reps = bootstrap(s8, "v", ["one"], ["entity"], 10_000, 7, {"x": lambda a: mean(a, "dry") / mean(a, "soil")})
     return reps.agg(F.count("*").alias("n_rep"), F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
 
 
@@ -169,11 +169,18 @@ def _(spark, sf):
     return S.deepest_layer(ratios(spark, sf))
 
 
-@query("coverage_top_k", "entity variable rank", views=_CV, sql="SELECT entity, variable, row_number() OVER (PARTITION BY entity ORDER BY n_valid DESC, variable) AS rank FROM cov QUALIFY rank <= 2")
+_TYPES = {"water": ["swc_1", "swc_2", "swc_3", "soil", "wet"], "air": ["heat", "dry", "light", "light_pot", "gpp"]}
+_TYPED = [(t, v) for t, names in _TYPES.items() for v in names]
+
+
+@query("coverage_top_k", "type variable entities rank", views="p lay", sql="SELECT type, variable, entities, rank FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY entities DESC, variable) AS rank FROM (SELECT type, variable, count(*) FILTER (n > 0) AS entities FROM (SELECT entity, type, variable, count(x) AS n FROM (SELECT entity, unnest([" + ", ".join(f"'{t}'" for t, _ in _TYPED) + "]) AS type, unnest([" + ", ".join(f"'{v}'" for _, v in _TYPED) + "]) AS variable, unnest([" + ", ".join(v for _, v in _TYPED) + "]) AS x FROM (SELECT entity, heat, soil, dry, light, light_pot, gpp, CASE WHEN entity % 4 <> 0 THEN soil END AS swc_1, CASE WHEN l_partkey % 13 <> 0 THEN soil END AS swc_2, CASE WHEN l_partkey % 4 <> 0 THEN soil END AS swc_3, CASE WHEN entity % 10 = 0 THEN soil END AS wet FROM p)) GROUP BY ALL) GROUP BY type, variable)) WHERE rank <= 4")
 def _(spark, sf):
     from pyspark.sql import Window as W
 
-    return cover(spark, sf).withColumn("rank", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("n_valid"), "variable"))).where("rank <= 2")
+    df = layers(spark, sf).withColumn("wet", F.when(F.col("entity") % 10 == 0, F.col("soil")))
+    has = df.groupBy("entity").agg(*[F.count(v).alias(v) for _, v in _TYPED]).agg(*[F.count_if(F.col(v) > 0).alias(v) for _, v in _TYPED])
+    long = has.select(F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(v).alias("variable"), F.col(v).alias("entities")) for t, v in _TYPED])))
+    return long.withColumn("rank", F.row_number().over(W.partitionBy("type").orderBy(F.desc("entities"), "variable"))).where("rank <= 4")
 
 
 @query("daily_coverage", "days", "median_all median_day share full75", sql="WITH d AS (SELECT user_id, ts::DATE AS day, count(*) AS n, count(*) FILTER (hour(ts) BETWEEN 6 AND 18) AS m FROM events GROUP BY ALL) SELECT count(*) AS days, median(n) AS median_all, median(m) AS median_day, avg(s) AS share, avg((s >= 75)::INT) AS full75 FROM (SELECT *, 100.0 * m / n AS s FROM d)")
@@ -309,10 +316,10 @@ def _(spark, sf):
     return rows.groupBy("s.scenario").agg(F.count("*").alias("entities"), F.median("dry").alias("median_dry"), F.try_divide(F.avg("dry"), F.avg("soil")).alias("ratio"))
 
 
-@query("min_years_sensitivity", "minimum entities", "pct_records median_net ratio", views="pn z phi", sql="WITH e AS (SELECT entity, count(DISTINCT year(ts)) AS y, count(*) AS n, avg(net) AS net, avg(phi_dry) AS d, avg(phi_soil) AS s FROM phi GROUP BY entity) SELECT minimum, count(*) AS entities, 100.0 * sum(n) / (SELECT sum(n) FROM e) AS pct_records, median(net) AS median_net, avg(d) / avg(net) AS ratio FROM e, (VALUES (1), (2), (3), (5), (7)) t(minimum) WHERE y >= minimum GROUP BY minimum")
+@query("min_years_sensitivity", "minimum entities", "pct_records median_net ratio", views="pn z phi", sql="WITH e AS (SELECT entity, count(DISTINCT year(ts)) AS y, count(*) AS n, avg(net) AS net, avg(phi_dry) AS d, avg(phi_soil) AS s FROM phi GROUP BY entity) SELECT minimum, count(*) AS entities, 100.0 * sum(n) / (SELECT sum(n) FROM e) AS pct_records, median(net) AS median_net, avg(d) / avg(net) AS ratio FROM e, (VALUES (1), (2), (3), (5), (10)) t(minimum) WHERE y >= minimum GROUP BY minimum")
 def _(spark, sf):
     e = attributed(spark, sf).groupBy("entity").agg(F.count_distinct(F.year("ts")).alias("y"), F.count("*").alias("n"), F.avg("net").alias("net"), F.avg("phi_dry").alias("d"))
-    e = e.crossJoin(F.broadcast(e.agg(F.sum("n").alias("total")))).withColumn("minimum", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 7))))).where("y >= minimum")
+    e = e.crossJoin(F.broadcast(e.agg(F.sum("n").alias("total")))).withColumn("minimum", F.explode(F.array(*map(F.lit, (1, 2, 3, 5, 10))))).where("y >= minimum")
     return e.groupBy("minimum").agg(F.count("*").alias("entities"), (100 * F.sum("n") / F.first("total")).alias("pct_records"), F.median("net").alias("median_net"), F.try_divide(F.avg("d"), F.avg("net")).alias("ratio"))
 
 

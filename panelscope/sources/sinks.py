@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the cluster's spark.checkpoint.dir; a temporary one where that is unset and Spark runs on this machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelscope-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """df as a written table, for plans that start from it several times."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], csv_twin: str | None = None) -> None:
     """Parquet below path, one folder per value of `by`; the same rows as CSV at csv_twin.
 
@@ -40,12 +49,19 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return kept.select("path", F.split("path", "/")[0].alias("stage"), "bytes", "sha256", ok.alias("ok"))
 
 
+def header_columns(spark: SparkSession, root: str, first: str) -> DataFrame:
+    """(file, column) of all CSV files below root, read from their header lines, which begin with the column `first`."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root).select("value", F.col("_metadata.file_path").alias("file"))
+    heads = lines.where(F.split("value", ",")[0] == first).distinct()
+    return heads.select("file", F.explode(F.split("value", ",")).alias("column"))
+
+
 def schema_conformance(columns: DataFrame, grammar: DataFrame) -> DataFrame:
     """One row per unexplained (file, column), and per grammar rule that explains no column.
 
-    columns: file, column; grammar: rule, pattern (a regular expression that must match a whole name).
+    columns: file, column; grammar: rule, pattern (a regular expression that must match a whole name), a list made by hand.
     """
-    hit = columns.join(F.broadcast(grammar), F.expr("column RLIKE concat('^(?:', pattern, ')$')"))
-    unexplained = columns.join(hit.select("file", "column"), ["file", "column"], "left_anti").select(F.lit("unexplained").alias("kind"), "file", F.col("column").alias("name"))
+    hit = columns.select("column").distinct().join(F.broadcast(grammar), F.expr("column RLIKE concat('^(?:', pattern, ')$')"))
+    unexplained = columns.join(hit.select("column"), "column", "left_anti").select(F.lit("unexplained").alias("kind"), "file", F.col("column").alias("name"))
     unmatched = grammar.join(hit.select("rule").distinct(), "rule", "left_anti").select(F.lit("unmatched").alias("kind"), F.lit("").alias("file"), F.col("rule").alias("name"))
     return unexplained.unionByName(unmatched)
