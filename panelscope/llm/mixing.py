@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by temperature (DataFrame functions; the exponent is found on the driver from one row per source)."""
+"""Mixing sources to target weights by temperature (DataFrame functions; each step of the search for the exponent is one aggregation over the sources)."""
 
 from __future__ import annotations
 
@@ -11,71 +11,72 @@ from pyspark.sql import Window as W
 
 from .common import Workspace
 
-#: A source is a name for a collection; more of them than this is taken for an error in the data.
-MAX_SOURCES = 100_000
 BLOCK_DOCS = 1024
 TARGET_ENTROPY = 0.95
 MAX_REPEATS = 2.0
+#: Up to this number of sources their plan is broadcast; the plan of more is joined.
+BROADCAST_SOURCES = 100_000
+#: Exponents that one aggregation tries; digits to which the exponent is found.
+TRIES, DIGITS = 32, 9
 
 
-@dataclass
+@dataclass(frozen=True)
 class Mixture:
-    """exponent; per source: weight, token budget and epochs (budget over tokens)."""
+    """Weight of a source with t of all tokens: (t / tokens) ** exponent / norm; its budget is total times that."""
 
     exponent: float
-    weights: dict
-    budgets: dict
-    epochs: dict
+    tokens: int
+    norm: float
+    total: float
+    entropy: float
 
+    def budget(self, t: Column) -> Column:
+        """Token budget of a source with t tokens; 0 for a source without any."""
+        return F.when(t > 0, F.pow(t / F.lit(float(self.tokens)), F.lit(self.exponent)) * F.lit(self.total / self.norm)).otherwise(F.lit(0.0))
 
-def _weights(tokens: dict, exponent: float) -> dict:
-    total = sum(tokens.values())
-    raw = {s: (t / total) ** exponent for s, t in tokens.items()}
-    norm = sum(raw.values())
-    return {s: w / norm for s, w in raw.items()}
 
-
-def _entropy(weights: dict) -> float:
-    """Entropy over its largest value; 1 for a single source."""
-    return -sum(w * log(w) for w in weights.values() if w > 0) / log(len(weights)) if len(weights) > 1 else 1.0
-
-
-def solve(tokens: dict, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: float | None = None) -> Mixture:
+def solve(sums: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS, budget: float | None = None) -> Mixture | None:
     """The largest exponent in 0..1 at which the relative entropy reaches its target, raised as far as the repetition limit asks.
 
-    Without a budget, the total is the least at which every source is used once
-    in full, so mixing loses no document.  Sources without tokens get weight 0.
+    sums has the tokens of each source.  Entropy is relative to its largest value,
+    1 for a single source.  Without a budget, the total is the least at which
+    every source is used once in full, so mixing loses no document.  Sources
+    without tokens get weight 0; without any tokens there is no mixture.
     """
-    tokens = {s: t for s, t in tokens.items() if t > 0}
-    if not tokens:
-        return Mixture(1.0, {}, {}, {})
-
-    def budgets(e: float) -> dict:
-        w = _weights(tokens, e)
-        total = max(t / w[s] for s, t in tokens.items()) if budget is None else budget
-        return {s: total * w[s] for s in tokens}
-
-    def bisect(holds) -> float:
-        """The end of 0..1 at which holds() turns from true (low) to false."""
-        if holds(1.0):
-            return 1.0
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if holds(mid) else (low, mid)
-        return low
-
-    exponent = 1.0 if target_entropy is None else bisect(lambda e: _entropy(_weights(tokens, e)) >= target_entropy)
-    if max_repeats is not None:
-        most = lambda e: max(b / tokens[s] for s, b in budgets(e).items())
-        if most(exponent) > max_repeats:
-            low, high = exponent, 1.0
-            for _ in range(60):
-                mid = (low + high) / 2
-                low, high = (low, mid) if most(mid) <= max_repeats else (mid, high)
-            exponent = high
-    share = budgets(exponent)
-    return Mixture(exponent, _weights(tokens, exponent), share, {s: b / tokens[s] for s, b in share.items()})
+    sums = sums.where("tokens > 0").select("tokens")
+    n, whole, low, high = sums.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not n:
+        return None
+
+    def measured(exponents: list[float]) -> list[tuple[float, float, float, float]]:
+        """(norm, total, relative entropy, most repeats) at each exponent."""
+        share = F.col("tokens") / F.lit(float(whole))
+        tried = sums.select(share.alias("share"), F.posexplode(F.array(*map(F.lit, exponents))).alias("k", "e"))
+        raw = F.pow("share", "e")
+        rows = tried.groupBy("k").agg(F.sum(raw).alias("norm"), F.sum(raw * F.ln("share")).alias("logs")).collect()  # TRIES rows
+        out = []
+        for r in sorted(rows):
+            e = exponents[r.k]
+            total = whole * r.norm * (high / whole) ** (1 - e) if budget is None else budget
+            out.append((r.norm, total, (log(r.norm) - e * r.logs / r.norm) / log(n) if n > 1 else 1.0, total * (low / whole) ** e / r.norm / low))
+        return out
+
+    def bisect(left: float, holds) -> float:
+        """Where in left..1 holds() turns from false (low) to true, to DIGITS digits; each round tries TRIES exponents at once."""
+        right = 1.0
+        while right - left > 10.0**-DIGITS / 4:
+            tries = [left + (right - left) * (k + 1) / (TRIES + 1) for k in range(TRIES)]
+            turned = next((k for k, m in enumerate(measured(tries)) if holds(m)), TRIES)
+            left, right = (tries[turned - 1] if turned else left), (tries[turned] if turned < TRIES else right)
+        return round(right, DIGITS)
+
+    exponent = 1.0
+    if target_entropy is not None and measured([1.0])[0][2] < target_entropy:
+        exponent = round(max(0.0, bisect(0.0, lambda m: m[2] < target_entropy) - 10.0**-DIGITS), DIGITS)
+    if max_repeats is not None and measured([exponent])[0][3] > max_repeats:
+        exponent = bisect(exponent, lambda m: m[3] <= max_repeats)
+    norm, total, entropy, _ = measured([exponent])[0]
+    return Mixture(exponent, int(whole), norm, total, entropy)
 
 
 def n_tokens(text: str | Column = "text") -> Column:
@@ -96,30 +97,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row, the last one takes blocks in their order, then rows of one block, while
     tokens are left in the budget.  Order by epoch, block_place and doc_place for
     a training order.  Null sources count as one source of their own; rows
-    without words are taken once in the first epoch.  Keyword arguments go to
-    solve().  Cumulative sums run over ranges of places, so that no task needs
+    without words are taken once in the first epoch.  Rows of one id in one block
+    and epoch share a place; which of them a budget cuts off first is then left
+    open, as is the order of rows without id.  Extra columns stay, an empty table
+    gives an empty result.  Keyword arguments go to solve().  Cumulative sums run over ranges of places, so that no task needs
     all blocks of a source.
     """
     ws = Workspace(docs.sparkSession)
     rows = docs.withColumns({"mix_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")), "mix_tokens": n_tokens(F.col(text_col))})
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
     sums = ws.save(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
-    known = sums.limit(MAX_SOURCES + 1).collect()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    mixture = solve({r.mix_source: r.tokens for r in known}, **target)
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(r.mix_source, max(1, -(-r.docs // block_docs)), float(mixture.budgets.get(r.mix_source, 0)), int(r.tokens)) for r in known],
-        "mix_source string, n_blocks long, budget double, tokens long",
-    )
-    # bounded: one row for each of at most MAX_SOURCES sources
-    dealt = rows.join(F.broadcast(plan.select("mix_source", "n_blocks")), "mix_source").withColumn("block", F.pmod(hashed, F.col("n_blocks"))).drop("n_blocks")
+    mixture = solve(sums, **target)
+    shares = F.round(mixture.budget(F.col("tokens")), 3) if mixture else F.lit(0.0)
+    plan = sums.select("mix_source", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("long").alias("n_blocks"), shares.alias("budget"), "tokens")
+    if sums.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    dealt = rows.join(plan.select("mix_source", "n_blocks"), "mix_source").withColumn("block", F.pmod(hashed, F.col("n_blocks"))).drop("n_blocks")
     blocks = dealt.groupBy("mix_source", "block").agg(F.sum("mix_tokens").alias("block_tokens"))
     # whole epochs, then one that ends within a block; sums of doubles leave a hair over a whole number
     epochs = F.when(F.col("tokens") > 0, F.greatest(F.lit(1), F.ceil(F.col("budget") / F.col("tokens") - 1e-9))).otherwise(1)
     placed = (
-        blocks.join(F.broadcast(plan), "mix_source")
+        blocks.join(plan, "mix_source")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)))
         .withColumn("left", F.round(F.col("budget") - F.col("epoch") * F.col("tokens")).cast("long"))
         .withColumn("block_place", _order(seed, F.col("mix_source"), F.col("epoch"), F.col("block")))

@@ -11,6 +11,7 @@ sequence.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import unicodedata
@@ -24,20 +25,24 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import textscan
+from .common import small_batches
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 RUN_TOKENS = 500_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 500_000
 #: White space on which Python and the tokenizer's \\s could differ: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85]")
 #: Words that are not split here: beyond Latin letters, where Unicode tables could differ, or with a special token.
 _WHOLE = re.compile("[^\x00-\u024f]|<\\|")
-# Fixed value: the word pattern of the tokenizer file.
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# How a tokenizer file must normalise and split texts for its words to be looked up.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_PARTS = regex.compile(_PATTERN)
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -93,7 +98,8 @@ class WordEncoder:
     parts that its pre-tokenizer splits words into.  So words and parts are looked
     up, and only parts not seen yet are handed to the library, many at once.
     Words outside plain Latin, or that hold what looks like a special token, are
-    handed over whole.
+    handed over whole.  So are all texts where the tokenizer file normalises or
+    splits in any other way than this relies on.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -101,6 +107,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        spec = json.loads(self.tokenizer.to_str())
+        special = all(t["special"] and t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.by_words = special and spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLIT and spec["model"].get("end_of_word_suffix") == "</w>"
+        del spec
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a part
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -146,9 +156,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
+        end = np.array([self.end_id], np.uint32)
+        if not self.by_words:
+            return [np.append(np.array(e.ids, np.uint32), end) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.words) > CACHE_WORDS:
             self.reset()
-        end = np.array([self.end_id], np.uint32)
         odd = [bool(t) and bool(_ODD.search(t)) for t in texts]
         split = [[] if o or not t else t.split() for t, o in zip(texts, odd, strict=True)]
         numbers = self.words.of(list(chain.from_iterable(split)))
@@ -209,12 +221,21 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     id alone.  Repeated rows are packed as often as they come; a null id stays
     null.  Sequence ids hold the number of the task's partition in their upper
     bits, so a task that is run again gives the same ids.  No row is shuffled.
+    Extra columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
 
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         gc.disable()  # millions of small lists, none of them in cycles
+        try:
+            yield from packed(batches)
+        finally:  # also where the task fails or is abandoned: the worker is used again
+            gc.enable()
+            textscan.release()
+
+    def packed(batches):
         encoder = WordEncoder(tokenizer)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 33
@@ -251,8 +272,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield from take(some, texts)
         if pieces:
             yield from flush()
-        gc.enable()
-        encoder.reset()
-        textscan.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

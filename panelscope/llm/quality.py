@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
+from .common import small_batches
 
 DIMENSIONS = 1 << 18
 SCALE = 8.0
@@ -110,6 +111,7 @@ def train_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_c
 
     Ids with two labels take the larger one; null labels and ids are skipped.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).dropna().where(~held_out("_id")).groupBy("_id").agg(F.max("label").alias("label"))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col("_id")), 2)
     total = known.count()
@@ -134,6 +136,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_i
     Null and empty texts have no features: their score is that of the bias.  A
     null id is not held out.  Rows of one id are scored one by one.
     """
+    small_batches(docs.sparkSession)
     bias, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # DIMENSIONS numbers, whatever the input
 
@@ -153,6 +156,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_i
 
 def accept(docs: DataFrame, model: tuple[float, np.ndarray], id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
     """docs without the rows that score below cut; all columns stay, no row is shuffled."""
+    small_batches(docs.sparkSession)
     bias, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     place = docs.columns.index(text_col)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan
-from .common import Workspace
+from .common import Workspace, small_batches
 from .quality import held_out, train_sample
 
 #: Bounds on the labelled sample, drawn by a hash of the id, and on the lexicons.
@@ -198,6 +198,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     that documents on one calibration step keep the trees' order.  Null and
     empty texts are scored by features of zero; a null id is not held out.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model.trees is None:
         out = rows.select("doc_id", F.lit(float(model.prior)).alias("score"))
