@@ -36,8 +36,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of scarce sources are repeated, up to mixing.MAX_REPEATS times; each stays once at least."""
-    return _columns(mixing.mix(docs), docs)
+    """Documents of scarce sources are repeated, up to mixing.MAX_REPEATS times; each stays once at least.
+
+    Each part of the output is in the order of the mixture, which packing reads it in.
+    """
+    return _columns(mixing.mix(docs).sortWithinPartitions("epoch", "block_place", "doc_place"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
