@@ -42,7 +42,7 @@ def _forms(words: textscan.Words, raw: np.ndarray, h: np.ndarray) -> np.ndarray:
     kind = np.select([(up > 0) & (low == 0) & (size > 1), (up > 0) & (low > 0), low + high > 0, digit > 0], [1, 2, 3, 4], 5)
     # in scripts with letters of two bytes and more, case is told from the ASCII letters alone
     same = np.zeros(len(h), np.int64)
-    same[1:] = h[1:] == h[:-1]
+    same[1:] = (h[1:] == h[:-1]) & (np.diff(words.owner()) == 0)
     last = np.where(symbol > 0, raw[np.maximum(end - 1, 0)], 0) * (_SYMBOL[raw[np.maximum(end - 1, 0)]] > 0)
     length = np.minimum(size // 6, 4)
     return ((((kind * 5 + length) * 4 + np.minimum(symbol, 3)) * 3 + (digit > 0) + (digit == size)) * 2 + same) * 256 + last
