@@ -10,6 +10,7 @@ article around them, so nested sections, tables and quotes stay whole.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -28,9 +29,13 @@ DECAY = 0.8
 LINKED = 0.5
 #: Marked elements inside an article go if they hold fewer letters than this, or mostly links.
 SHORT = 200
+LONGEST_PATH = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?:/?[A-Za-z][^<>]*)?$", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: hidden as an attribute of its own, looked for outside quotes.
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
@@ -54,89 +59,123 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "bonus", "blocks", "chars", "links", "parent", "own", "felt", "doubt", "seen", "linked")
+    """An element: where it stands, and sums over the text inside it."""
+
+    __slots__ = ("tag", "path", "parent", "holder", "container", "skip", "inside", "bonus", "doubt", "doubtful", "seen", "linked", "gone", "first", "last", "own", "chars", "links", "felt")
 
     def __init__(self, tag, path, skip, bonus, parent, doubtful=False):
-        self.tag, self.path, self.skip, self.bonus, self.parent = tag, path, skip, bonus, parent
+        self.tag, self.path, self.skip, self.bonus, self.parent, self.doubtful = tag, path, skip, bonus, parent, doubtful
+        self.container = tag in CONTAINER or parent is None
+        #: The nearest container around, the element itself included; the nearest doubtful element.
+        self.holder = self if self.container else parent.holder
         self.doubt = self if doubtful else parent.doubt if parent else None
-        self.seen = self.linked = 0
-        self.blocks: list[tuple[int, str]] = []
-        self.chars = self.links = self.own = 0
-        self.felt = 0.0
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.seen = self.linked = self.own = self.chars = self.links = 0
+        self.gone, self.first, self.last, self.felt = False, None, 0, 0.0
+
+
+def _path(top: str, step: str) -> str:
+    """The path of an element below another; long ones are told apart by a digest, so that deep pages stay small."""
+    path = f"{top}>{step}"
+    return path if len(path) <= LONGEST_PATH else "~" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def parse(page: str) -> list[_Node]:
-    """Containers of a page in order, each with the text blocks inside it, the letters of its own paragraphs and the felt letters, which decay outwards."""
+def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
+    """(containers in order, numbered text blocks) of a page.
+
+    A container holds the blocks from its first to its last number, the letters of
+    its own paragraphs, and the felt letters, which decay outwards.  Work and
+    memory grow with the page, however deep its elements are nested.
+    """
     root = _Node("#", "", False, 0, None)
-    stack, nodes, buffer, found = [root], [root], [], []
-    state = {"link": 0, "linked": 0}
+    stack, every, buffer, found = [root], [root], [], []
+    state, open_ = {"link": 0, "linked": 0}, {}
 
     def flush():
         text = _SPACE.sub(" ", "".join(buffer)).strip()
         buffer.clear()
         linked, state["linked"] = state["linked"], 0
-        if not text or stack[-1].skip:
-            return
-        linked = min(linked, len(text))
-        found.append((text, linked, stack[-1]))
-        doubt = stack[-1].doubt
-        while doubt is not None:
-            doubt.seen += len(text)
-            doubt.linked += linked
-            doubt = doubt.parent.doubt
+        if text and not stack[-1].skip:
+            found.append((text, min(linked, len(text)), stack[-1]))
 
     def deal():
+        """Sums of the blocks, from the innermost elements outwards; blocks of doubtful elements that are short or links are gone."""
+        for text, linked, node in found:
+            if node.doubt is not None:
+                node.doubt.seen += len(text)
+                node.doubt.linked += linked
+        for node in reversed(every):
+            if node.doubtful and node.parent.doubt is not None:
+                node.parent.doubt.seen += node.seen
+                node.parent.doubt.linked += node.linked
+        for node in every:
+            short = node.doubtful and (node.seen < SHORT or node.linked >= LINKED * node.seen)
+            node.gone = short or bool(node.parent and node.parent.gone)
+        kept = []
         for n, (text, linked, node) in enumerate(found):
-            doubt = node.doubt
-            while doubt is not None and doubt.seen >= SHORT and doubt.linked < LINKED * doubt.seen:
-                doubt = doubt.parent.doubt
-            if doubt is not None:
+            if node.gone:
+                continue
+            kept.append((n, text))
+            holder = node.holder
+            holder.own += len(text)
+            holder.links += linked
+            holder.first = n if holder.first is None else holder.first
+            holder.last = n
+        for node in reversed(every):
+            if not node.container:
                 continue
-            share = 1.0
-            while node is not None:
-                if node.tag in CONTAINER or node is root:
-                    node.blocks.append((n, text))
-                    node.chars += len(text)
-                    node.links += linked
-                    node.felt += share * len(text)
-                    if share == 1.0:
-                        node.own += len(text)
-                    share *= DECAY
-                node = node.parent
+            node.chars += node.own
+            node.felt += node.own
+            if node.parent is not None and node.first is not None:
+                outer = node.parent.holder
+                outer.chars += node.chars
+                outer.links += node.links
+                outer.felt += DECAY * node.felt
+                outer.first = node.first if outer.first is None else min(outer.first, node.first)
+                outer.last = max(outer.last, node.last)
+        return [n for n in every if n.container], kept
 
     def push(tag, attributes):
         top = stack[-1]
         names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
         first = (names.get("class", "").split() or [""])[0]
-        path = f"{top.path}>{tag}" + (f".{_DIGITS.sub('#', first)}" if first else "")
+        path = _path(top.path, tag + (f".{_DIGITS.sub('#', first)}" if first else ""))
         marks = " ".join((names.get("class", ""), names.get("id", ""), names.get("role", "")))
         main = tag in ("article", "main", "body", "html")
-        # a heading's own header inside an article is part of it
-        kin = tag == "header" and any(n.tag == "article" for n in stack)
-        skip = top.skip or (tag in SKIP and not kin) or "hidden" in names or names.get("aria-hidden") == "true"
+        # a heading's own header inside an article or main is part of it
+        kin = tag == "header" and top.inside
+        skip = top.skip or (tag in SKIP and not kin) or names.get("aria-hidden") == "true" or ("hidden" in attributes.lower() and _HIDDEN.search(_QUOTED.sub("", attributes)) is not None)
         doubtful = False
         if not skip and not main and marks.strip() and BOILERPLATE.search(marks):
-            inside = any(n.tag in ("article", "main") for n in stack)
             role = " ".join((names.get("class", ""), names.get("role", "")))
-            marked = bool(BOILERPLATE.search(role)) and not (inside and tag in HEADING)
-            if not marked and tag not in HEADING and not (inside and tag == "section"):
+            whole = any(BOILERPLATE.fullmatch(word) for word in role.split())
+            marked = whole or (bool(BOILERPLATE.search(role)) and not (top.inside and tag in HEADING))
+            if not marked and tag not in HEADING and not (top.inside and tag == "section"):
                 # ids are often slugs of headings: inside an article and of sections only a whole word counts
                 name = names.get("id", "").strip()
-                m = BOILERPLATE.match(name) if inside or tag == "section" else BOILERPLATE.search(name)
-                marked = m is not None and (m.end() == len(name) or not (inside or tag == "section"))
-            if marked:
-                skip = not inside or not VISITORS.isdisjoint(role.lower().split())
+                alone = BOILERPLATE.fullmatch(name) is not None
+                marked, whole = (alone if top.inside or tag == "section" else BOILERPLATE.search(name) is not None), alone
+            if marked and not (top.inside and tag in HEADING):
+                # a whole word says it outright; a part of a longer name, and anything inside an article, is weighed by its text
+                skip = not VISITORS.isdisjoint(role.lower().split()) if top.inside else whole
                 doubtful = not skip
         bonus = (3 if tag == "article" else 2 if tag == "main" else 0) + (1 if tag != "body" and marks.strip() and CONTENT.search(marks) else 0)
         node = _Node(tag, path, skip, bonus, top, doubtful)
         stack.append(node)
-        if tag in CONTAINER:
-            nodes.append(node)
+        every.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
+
+    def close(i):
+        for node in stack[i:]:
+            open_[node.tag] -= 1
+        del stack[i:]
 
     def pop(tag):
+        if not open_.get(tag):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
-                del stack[i:]
+                close(i)
                 return
             if tag == "p" and stack[i].tag in CONTAINER or tag != "body" and tag != "html" and stack[i].tag in ("article", "td", "body") and tag not in CONTAINER:
                 return
@@ -167,19 +206,18 @@ def parse(page: str) -> list[_Node]:
             elif tag not in VOID:
                 if tag in CLOSES_P:
                     pop("p")
-                if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
+                if tag in ("li", "dd", "dt", "tr", "td", "th", "option") and open_.get(tag):
                     for i in range(len(stack) - 1, 0, -1):
                         if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "div", "article"):
                             break
                         if stack[i].tag == tag:
-                            del stack[i:]
+                            close(i)
                             break
                 if not (m[4] or "").rstrip().endswith("/"):
                     push(tag, m[4] or "")
     text(page[at:])
     flush()
-    deal()
-    return nodes
+    return deal()
 
 
 def _worth(node: _Node) -> float:
@@ -194,7 +232,7 @@ def best_paths(page: str | None) -> list[tuple[str, float]]:
     if not page:
         return []
     found: dict[str, float] = {}
-    for node in parse(page):
+    for node in parse(page)[0]:
         if (worth := _worth(node)) > 0:
             found[node.path] = found.get(node.path, 0.0) + worth
     whole = sum(found.values())
@@ -230,7 +268,8 @@ def extract(page: str | None, path: str | None) -> str:
     """Blocks of the containers on the path, else of the page's best path, with the text around them that belongs to them, joined by blank lines."""
     if not page:
         return ""
-    nodes = [n for n in parse(page) if not n.skip and n.blocks]
+    nodes, blocks = parse(page)
+    nodes = [n for n in nodes if not n.skip and n.first is not None]
     if not nodes:
         return ""
     chosen = [n for n in nodes if n.path == path]
@@ -238,12 +277,16 @@ def extract(page: str | None, path: str | None) -> str:
         worth: dict[str, float] = {}
         for n in nodes:
             worth[n.path] = worth.get(n.path, 0.0) + _worth(n)
-        top = max(worth, key=lambda p: (worth[p], p))
+        top = min(worth, key=lambda p: (-round(worth[p], 6), p))  # ties as in the votes
         chosen = [n for n in nodes if n.path == top]
-    blocks: dict[int, str] = {}
-    for n in {id(w): w for w in map(_whole, chosen)}.values():
-        blocks.update(n.blocks)
-    return "\n\n".join(blocks[k] for k in sorted(blocks))
+    spans = sorted({(w.first, w.last) for w in map(_whole, chosen)})
+    out, at = [], 0
+    for n, text in blocks:
+        while at < len(spans) and spans[at][1] < n:
+            at += 1
+        if at < len(spans) and spans[at][0] <= n:
+            out.append(text)
+    return "\n\n".join(out)
 
 
 def _vote_rows(batches):
