@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from .common import Workspace
 
 FOREVER = "9999-12-31 00:00:00"
+#: Captures meet only the intervals of their time's bucket, so entries that come and go often do not multiply them.
+BUCKET_DAYS = 30
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
 
@@ -46,6 +48,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     return e.where("action = 'add' and event_at < valid_to").select("key", "list_name", F.col("event_at").alias("valid_from"), "valid_to")
 
 
+def _bucket(at: Column) -> Column:
+    return F.floor(F.unix_date(F.to_date(at)) / BUCKET_DAYS)
+
+
 def match(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at", allow_lists: tuple[str, ...] = ("allow",)) -> DataFrame:
     """One row per capture: id, url, host, fetch time, n_active, lists (comma-joined, sorted) and verdict.
 
@@ -53,15 +59,23 @@ def match(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     verdict is 'allow' if any of them is on an allow list or none is found,
     'block' otherwise.  Captures without a URL, a host or a time match nothing.
     Captures are told apart by id, URL and time: repeated rows give one row each.
+    Very long URLs have as many keys as labels and path steps.  Extra columns are
+    ignored; an empty table gives an empty result.
 
-    Keys are matched by an equi-join on written tables, so Spark can split keys
-    that very many captures share; an entry side is never assumed small.
+    Keys and time buckets are matched by an equi-join on written tables, so Spark
+    can split keys that very many captures share; an entry side is never assumed
+    small.
     """
     ws = Workspace(captures.sparkSession)
     valid = ws.save(intervals(entries), "intervals")
+    span = captures.agg(F.min(time_col), F.max(time_col)).first()
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).alias("_at"))
     keyed = rows.dropna(subset=["_url", "_at"]).distinct().withColumn("key", F.explode(lookup_keys(F.col("_url"))))
-    hits = keyed.join(valid, "key").where("valid_from <= _at and _at < valid_to")
+    # an interval goes to the buckets that it shares with the captures' span
+    low, high = F.lit(span[0]).cast("timestamp_ntz"), F.lit(span[1]).cast("timestamp_ntz")
+    valid = valid.where((F.col("valid_from") <= high) & (F.col("valid_to") > low))
+    valid = valid.withColumn("bucket", F.explode(F.sequence(_bucket(F.greatest("valid_from", low)), _bucket(F.least("valid_to", high)))))
+    hits = keyed.withColumn("bucket", _bucket(F.col("_at"))).join(valid, ["key", "bucket"]).where("valid_from <= _at and _at < valid_to")
     found = hits.groupBy(F.col("_id").alias("f_id"), F.col("_url").alias("f_url"), F.col("_at").alias("f_at")).agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("list_name")), ",").alias("lists"), F.max(F.col("list_name").isin(*allow_lists)).alias("allowed")
     )
