@@ -433,6 +433,29 @@ def test_url_lists_as_of_fetch(spark):
     assert url_filter.match(captures.limit(0), entries).count() == 0
 
 
+def test_url_lists_that_come_and_go(spark):
+    """Entries that toggle every two days, repeated captures, extra columns and a long URL, against a plain search."""
+    import datetime as dt
+
+    day = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
+    events = [(name, "domain", "t.org", day(2 * k + shift), "add" if k % 2 == 0 else "remove") for name, shift in (("bad", 0), ("worse", 1)) for k in range(120)]
+    entries = spark.createDataFrame(events, "list_name string, kind string, pattern string, event_at timestamp_ntz, action string")
+    long = "http://a.t.org/" + "x/" * 300
+    rows = [(i, "http://t.org/q" if i % 2 else long, day(i, 5), "k") for i in range(-3, 260, 4)]
+    rows += rows[:2]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at timestamp_ntz, bucket string")
+    want = []
+    for i, _, at, _ in rows:
+        names = []
+        for name in ("bad", "worse"):
+            last = max(((e[3], e[4]) for e in events if e[0] == name and e[3] <= at), default=(None, "remove"))
+            if last[1] == "add":
+                names.append(name)
+        want.append((i, len(names), ",".join(names), "block" if names else "allow"))
+    got = [(r.page_id, r.n_active, r.lists, r.verdict) for r in url_filter.match(captures, entries).collect()]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("page, want", [
     ("<html><head><title>no</title></head><body><nav><a href=x>n</a></nav><article><h1>T &amp; U</h1><p>a<br>b  c<p>d</article><footer>f</footer></body></html>", "T & U\n\na b c\n\nd"),
     ("<body><div class='content'><p>one &#x41;&lt;</p><div class='ad box'>buy</div><p>two</p></div><div class=comments><p>a much longer comment than the text itself</p></div><script>var t='</p>'</script>", "one A<\n\ntwo"),
@@ -478,6 +501,65 @@ def test_extract_keeps_marked_text_of_an_article():
     assert html_extract.extract(outside, None) == "Basis\n\nown text"
 
 
+def test_extract_of_marked_and_hidden_parts():
+    long = "word " * 60
+    body = lambda inner: f"<html><body><nav>n</nav>{inner}</body></html>"
+    get = lambda inner: [b.split()[0] for b in html_extract.extract(body(inner), None).split("\n\n")]
+    assert get(f"<main><header><h1>Title</h1></header><p>one {long}</p></main>") == ["Title", "one"]
+    assert get(f'<div class="social-history"><h1>Title</h1><p>one {long}</p><p>two</p></div>') == ["Title", "one", "two"]
+    assert get(f"<article><p>one {long}</p><div hidden><p>no {long}</p></div><div HIDDEN class='a'><p>no</p></div><div data-x='hidden' title=\"a hidden b\"><p>two</p></div></article>") == ["one", "two"]
+    assert get(f"<div class='related'><p>no {long}</p></div><div class='text'><p>one {long}</p></div>") == ["one"]
+
+
+def test_extract_of_deep_pages():
+    """Unclosed and deeply nested elements: all blocks, and time in proportion."""
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = "<body>" + "".join(f"<div class=x{i}><p>word{i} and more" for i in range(n))
+        began = time.process_time()
+        nodes, blocks = html_extract.parse(page)
+        assert len(blocks) == n and len(nodes) == n + 2 and max(len(x.path) for x in nodes) <= html_extract.LONGEST_PATH
+        assert html_extract.extract(page, None).endswith(f"word{n - 1} and more")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_extract_returns_what_pages_were_made_of(spark):
+    """Round trip: articles of random blocks in random templates come back as they were, on pages with and without the host's votes."""
+    rng = random.Random(12)
+    words = [f"wort{i}" for i in range(300)] + ["Straße", "été", "A&B", "x<y"]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    code = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+
+    def article(cls):
+        blocks, out = [], []
+        for k in range(rng.randint(3, 9)):
+            t = say(rng.randint(12, 60))
+            blocks.append(t)
+            kind = rng.choice(["p", "p", "p", "quote", "section", "list"])
+            t = code(t).replace(" ", rng.choice([" ", "\n  ", " <b>", "\t"]), 1)
+            t += "</b>" if "<b>" in t else ""
+            out.append({"p": f"<p>{t}</p>", "quote": f"<blockquote><p>{t}</p></blockquote>", "section": f"<section id='s{k}'><p>{t}</p></section>", "list": f"<ul><li>{t}</li></ul>"}[kind])
+        title = say(5)
+        return [title, *blocks], f"<article class='{cls}'><h1>{code(title)}</h1>{''.join(out)}</article>"
+
+    rows, want = [], {}
+    for i in range(60):
+        host = f"h{i % 4}.org"
+        blocks, inner = article(f"post-{i}" if i % 4 == 1 else "entry")
+        noise = f"<div class='sidebar'><p>{say(30)}</p></div><div class='cookie-notice'><p>{say(6)}</p></div>"
+        links = "".join(f"<li><a href='/{k}'>{say(2)}</a></li>" for k in range(8))
+        page = f"<!doctype html><html><head><title>t</title><style>p{{}}</style></head><body><header><p>{say(4)}</p></header><nav><ul>{links}</ul></nav>{noise if i % 2 else ''}{inner}<section class='comments'><p>{say(80)}</p></section>{'' if i % 2 else noise}<footer>{say(9)}</footer><script>var a = '<p>no</p>';</script></body></html>"
+        rows.append((i, f"http://{host}/{i}", page, "x"))
+        want[i] = "\n\n".join(blocks)
+    df = spark.createDataFrame([*rows, (60, "http://h0.org/", "", "x"), (60, "http://h0.org/", "", "x")], "page_id long, url string, html string, path string")
+    got = html_extract.extract_pages(df).collect()
+    assert len(got) == 62 and all(r.n_chars == len(r.text) for r in got)
+    assert {r.page_id: r.text for r in got} == want | {60: ""}
+
+
 def test_hosts_agree_on_a_path(spark):
     page = lambda body, extra="": f"<html><body><div class='main-3'>{body}</div><div class='box'>{extra}</div></body></html>"
     rows = [(i, f"http://h.org/{i}", page(f"<p>{'word ' * 40}{i}</p>", "<p>x</p>")) for i in range(5)] + [(9, "http://h.org/9", page("<p>short</p>", f"<p>{'noise ' * 30}</p>")), (10, None, "<p>q</p>"), (11, "http://e.org", None)]
@@ -504,6 +586,93 @@ def labelled(spark):
     return spark.createDataFrame([*rows, (None, "x"), (1000, None), (1001, "")], "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
 
 
+def test_ftrl_agrees_with_plain_python():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(0, 2)), np.unique(rng.integers(0, 50, 8)).astype("<i4")) for _ in range(40)]
+    rows = [(y, i, rng.random(len(i)).astype("<f4")) for y, i in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array([y for y, *_ in rows], pa.int32()), pa.array([i.tobytes() for _, i, _ in rows], pa.binary()), pa.array([v.tobytes() for *_, v in rows], pa.binary())], ["place", "label", "names", "counts"])
+    got = next(quality._ftrl([batch]))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.PASSES):
+        for y, names, values in rows:
+            x = {"bias": 1.0} | {int(k): float(v) for k, v in zip(names, values, strict=True)}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                n[k] += g * g
+    w = np.frombuffer(got.column(1)[0].as_py(), "<f4")
+    assert got.column(0)[0].as_py() == pytest.approx(weight("bias"), rel=1e-5)
+    assert all(w[k] == pytest.approx(weight(k), rel=1e-4, abs=1e-6) for k in range(50))
+
+
+def test_quality_scores_are_dot_products_of_shares():
+    """Scores from array arithmetic over a batch, against counting each text's n-grams one by one."""
+    texts = [(t or "") for _, t, *_ in corpus()][:70]
+    raw = [t.encode() for t in texts]
+    weights = np.random.default_rng(5).normal(size=quality.DIMENSIONS)
+    owner, name, value = quality.features(raw)
+    got = np.bincount(owner, weights[name] * value, len(raw))
+    families = 5
+    for i, text in enumerate(raw):
+        o, k, v = quality.features([text])
+        assert not len(o) or set(o) == {0}
+        words = len(WORD.findall(texts[i]))
+        counts = [words, max(0, words - 1), words, max(0, words - 1), max(0, words - 2)]  # 1- and 2-grams, then 1- to 3-grams of forms
+        assert len(k) == sum(counts) and sum(c > 0 for c in counts) <= families
+        edges = np.cumsum([0, *counts])
+        want = 0.0
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                tally = collections.Counter(k[a:b].tolist())
+                want += sum(quality.SCALE * c / (b - a) * weights[f] for f, c in tally.items())
+        assert got[i] == pytest.approx(want)
+        # equal words give equal features, wherever they stand
+        seen = {}
+        for w, f in zip(WORD.findall(lower(texts[i])), k[:words].tolist(), strict=True):
+            assert seen.setdefault(w, f) == f
+
+
+def test_toxicity_features_against_counting(spark):
+    texts = ["You are a gronk! GRONK, you g0r@nk 7", "nobody here says that to you", "", None, "zapfel " * 500, "ÉTÉ été 123 !!"]
+    docs = [f"you gronk mistig zapfel {i}" for i in range(8)] + [f"clean words only {i}" for i in range(8)]
+    sample = spark.createDataFrame([(i, t, int(i < 8)) for i, t in enumerate(docs)], "place long, text string, label int").select("place", "text", "label")
+    lexicon = toxicity.learn_lexicon(sample)
+    bad = {"you", "gronk", "mistig", "zapfel"}
+    x = toxicity.dense([(t or "").encode() for t in texts], lexicon)
+    token = re.compile(r"[0-9A-Za-z@$*\u0080-\uffff]+")
+    for row, text in zip(x, texts, strict=True):
+        got, words = dict(zip(toxicity.FEATURES, row.tolist(), strict=True)), token.findall(text or "")
+        low = [lower(w) for w in words]
+        size = max(1, len((text or "").encode()))
+        letters = sum(len(c.encode()) for c in (text or "") if c.isascii() and c.isalpha() or not c.isascii())
+        hits = sum(w in bad for w in low)
+        you = [w in toxicity.SECOND_PERSON for w in low]
+        near = [any(you[max(0, i - toxicity.NEAR_WORDS) : i + toxicity.NEAR_WORDS + 1]) for i in range(len(low))]
+        assert got["word_hits"] == hits and got["word_density"] == pytest.approx(hits / max(1, len(low)))
+        assert got["second_person"] == pytest.approx(sum(you) / max(1, len(low)))
+        flagged = [w in bad or any(len(w) > 4 and w.startswith(b[:4]) and len(b) > 4 for b in bad) for w in low]
+        assert got["near_second_person"] == sum(f and n for f, n in zip(flagged, near, strict=True))
+        assert got["capitals"] == pytest.approx(sum("A" <= c <= "Z" for c in text or "") / max(1, letters))
+        assert got["exclaims"] == pytest.approx((text or "").count("!") / size) and got["digits"] == pytest.approx(sum(c in "0123456789" for c in text or "") / size)
+        assert got["log_words"] == pytest.approx(math.log1p(len(low)))
+
+
+def test_scores_of_odd_rows(labelled):
+    """Very long texts, rows of one id, nulls and extra columns with the operators' own names."""
+    docs, labels = labelled
+    many = docs.limit(300).selectExpr("doc_id", "text", "'a' as score", "'b' as features", "0.5 as p", "'c' as dense")
+    odd = docs.sparkSession.createDataFrame([(7, "gronk " * 200_000, "a", "b", 0.5, "c"), (7, "x", "a", "b", 0.5, "c"), (7, None, "a", "b", 0.5, "c")], "doc_id long, text string, score string, features string, p double, dense string")
+    rows = many.unionByName(odd.selectExpr("doc_id", "text", "score", "features", "cast(p as decimal(2,1)) as p", "dense"))
+    for module in (quality, toxicity):
+        out = module.score(rows, module.train(docs, labels, rows=300)).collect()
+        assert len(out) == 303 and all(0 <= r.score <= 1 for r in out) and sum(r.doc_id == 7 for r in out) >= 3
+
+
 def test_held_out_accuracy(labelled):
     docs, labels = labelled
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
