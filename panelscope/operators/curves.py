@@ -194,9 +194,11 @@ def lowess(points: DataFrame, keys: list[str], frac: float | Column = 0.6, itera
                 dx, dy = px[None, :] - mx[:, None], py[None, :] - my[:, None]
                 sxx = (w * dx * dx).sum(1)
                 out = my + np.where(sxx > 1e-12, (w * dx * dy).sum(1) / sxx, 0.0) * (px - mx)
-            scale = 6 * np.nanmedian(np.abs(py - out)) if step < iterations and np.isfinite(out).any() else 0
-            u = (py - out) / scale if scale > 0 else np.zeros(n)
-            robust = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0.0)
+            off = np.abs(py - out)
+            scale = 6 * np.nanmedian(off) if step < iterations and np.isfinite(off).any() else 0
+            if scale <= 1e-7 * np.nanmean(off) or scale == 0:
+                break  # most points are met exactly: nothing is left to weigh
+            robust = np.where(off < scale, (1 - (off / scale) ** 2) ** 2, 0.0)
         return out
 
     def run(batches):

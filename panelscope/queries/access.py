@@ -280,10 +280,11 @@ def _(spark, sf):
     return joins.outer_timestamp(side("o_orderkey % 3 <> 0", "ta"), side("o_orderkey % 3 <> 1", "pr"), "ts", ["lat"])
 
 
-@query("join_cell_whitelist", "entity bx cy n", views="pn z", sql="SELECT entity, bx, cy, count(*) AS n FROM (SELECT *, floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy FROM z) WHERE (bx, cy) IN (SELECT (floor(dry_z * 10)::BIGINT, floor(heat_z * 10)::BIGINT) FROM z GROUP BY floor(dry_z * 10), floor(heat_z * 10) HAVING count(DISTINCT entity) >= 20) GROUP BY ALL")
+@query("join_cell_whitelist", "entity bx cy n", views="pn z", sql="SELECT entity, bx, cy, count(*) AS n FROM (SELECT *, floor(dry_z * 10)::BIGINT AS bx, floor(heat_z * 10)::BIGINT AS cy FROM z) WHERE (bx, cy) IN (SELECT (floor(dry_z * 10)::BIGINT, floor(heat_z * 10)::BIGINT) FROM z GROUP BY floor(dry_z * 10), floor(heat_z * 10) HAVING count(DISTINCT entity) >= ceil(0.8 * (SELECT count(DISTINCT entity) FROM z))) GROUP BY ALL")
 def _(spark, sf):
     z = zpanel(spark, sf).withColumns({"bx": F.floor(F.col("dry_z") * 10), "cy": F.floor(F.col("heat_z") * 10)})
-    listed = z.groupBy("bx", "cy").agg(F.count_distinct("entity").alias("k")).where("k >= 20")
+    most = z.agg(F.ceil(0.8 * F.count_distinct("entity")).alias("least"))
+    listed = z.groupBy("bx", "cy").agg(F.count_distinct("entity").alias("k")).crossJoin(F.broadcast(most)).where("k >= least")
     return z.join(listed, ["bx", "cy"], "left_semi").groupBy("entity", "bx", "cy").agg(F.count("*").alias("n"))
 
 
