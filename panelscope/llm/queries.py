@@ -122,7 +122,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- 2: near copies --------------------------------------------------------
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("seq")
+
+
+#: Views of the least node that each end of a link reaches.
+_REACH = """
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS node, a AS far FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON sym.a = reach.far),
+part AS (SELECT node, least(node, min(far)) AS component FROM reach GROUP BY node)
+"""
+
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingles FROM words),
+-- documents of one set share its least document's links
+head AS (SELECT shingles, min(doc_id) AS doc_id FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM sets WHERE len(shingles) > 0) GROUP BY shingles),
+one AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM head),
+link AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS common FROM one x JOIN one y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL)
+  WHERE 100 * common >= 75 * (na + nb - common)
+  UNION ALL SELECT head.doc_id, s.doc_id FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM sets) s JOIN head USING (shingles) WHERE head.doc_id < s.doc_id),
+""" + _REACH + """
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+FROM sets s LEFT JOIN part ON node = s.doc_id
+"""
 
 
 # -- 3: toxicity -----------------------------------------------------------
@@ -141,12 +164,34 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_inner_product(x.e, y.e) / (x.size * y.size) >= 0.95),
+""" + _REACH + """,
+links AS (SELECT a, count(*) AS n FROM sym GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component, v.vec_id) AS component_id, v.vec_id = coalesce(component, v.vec_id) AS kept
+FROM v LEFT JOIN part ON node = v.vec_id LEFT JOIN links ON a = v.vec_id
+"""
+
+
 # -- 9: repeated passages --------------------------------------------------
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP9_SQL = r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq FROM words, unnest(range(1, len(ws) - 11)) t(i) WHERE len(ws) >= 13),
+first AS (SELECT seq, min(doc_id) AS doc FROM win GROUP BY seq),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN first USING (seq) WHERE doc < doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS body FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM words) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -159,4 +204,4 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL = {"op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL}

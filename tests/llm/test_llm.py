@@ -733,3 +733,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2] == seen[1] - {300} and seen[3] == seen[2]
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == seen[3]
+
+
+@pytest.mark.parametrize("name", ["op2_near_dedup", "op5_embedding_dedup", "op6_url_lists", "op7_exact_dedup", "op9_substring_dedup"])
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    import os
+
+    from panelscope.llm.queries import ORACLE_SQL, QUERIES
+
+    duckdb, folder = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("tables are not there")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got = QUERIES[name](spark, folder)
+    columns = ", ".join(sorted(got.columns))
+    want = sorted(map(str, con.execute(f"SELECT {columns} FROM ({ORACLE_SQL[name]})").fetchall()))
+    assert sorted(str(tuple(r)) for r in got.selectExpr(*sorted(got.columns)).collect()) == want
