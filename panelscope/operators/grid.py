@@ -49,8 +49,8 @@ def across(grid: DataFrame, value: str, keys: list[str] | None = None) -> DataFr
     v = F.col(value)
     cells = grid.groupBy(*keys, "bx", "cy").agg(F.avg(v).alias("mean"), F.median(v).alias("median"), F.max(v).alias("max"), F.min(v).alias("min"), F.count(v).alias("count"), F.stddev_samp(v).alias("std"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("sem"))
     totals = grid.groupBy(*keys).agg(F.count_distinct("entity").alias("n_entities"))
-    # one row per key value
-    return cells.join(F.broadcast(totals), keys) if keys else cells.crossJoin(F.broadcast(totals))
+    # without keys, one row; with keys their number is not known here, so Spark chooses by size
+    return cells.join(totals, keys) if keys else cells.crossJoin(F.broadcast(totals))
 
 
 def coverage_filter(cells: DataFrame) -> DataFrame:
