@@ -14,6 +14,7 @@ import gc
 import json
 import os
 import re
+import secrets
 import unicodedata
 from itertools import chain
 
@@ -31,7 +32,7 @@ SEQUENCE_TOKENS = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 RUN_TOKENS = 500_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: Characters of texts that are encoded together.
 BATCH_CHARS = 500_000
 #: White space on which Python and the tokenizer's \\s could differ: such texts are encoded whole.
@@ -95,8 +96,10 @@ class WordEncoder:
     """Token ids of texts, by the tokenizers library.
 
     The tokenizer drops white space and never looks across it, nor across the
-    parts that its pre-tokenizer splits words into.  So words and parts are looked
-    up, and only parts not seen yet are handed to the library, many at once.
+    parts that its pre-tokenizer splits words into.  So words are looked up, by
+    64-bit keyed hashes from array arithmetic under a key of the encoder's own, and
+    so are the parts of new words; only parts not seen yet are handed to the
+    library, many at once.
     Words outside plain Latin, or that hold what looks like a special token, are
     handed over whole.  So are all texts where the tokenizer file normalises or
     splits in any other way than this relies on.
@@ -117,16 +120,17 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.words, self.parts = _Numbers(), _Numbers()
+        self.key = secrets.randbits(64), secrets.randbits(64)
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes of words in order, and the words' numbers
+        self.parts = _Numbers()
         self.of_word, self.of_part = _Pool(), _Pool()
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter((i for ids in got for i in ids), np.uint32), np.array([len(ids) for ids in got], np.int64)
 
-    def _learn(self) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         """Ids of the words that were looked up for the first time."""
-        fresh, self.words.fresh = self.words.fresh, []
         whole = [i for i, w in enumerate(fresh) if _WHOLE.search(w)] if _WHOLE.search(" ".join(fresh)) else []
         words = fresh.copy()
         for i in whole:
@@ -159,16 +163,24 @@ class WordEncoder:
         end = np.array([self.end_id], np.uint32)
         if not self.by_words:
             return [np.append(np.array(e.ids, np.uint32), end) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.words) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.reset()
         odd = [bool(t) and bool(_ODD.search(t)) for t in texts]
-        split = [[] if o or not t else t.split() for t, o in zip(texts, odd, strict=True)]
-        numbers = self.words.of(list(chain.from_iterable(split)))
-        if self.words.fresh:
-            self._learn()
-        ids, sizes = self.of_word.take(numbers)
+        words = textscan.scan([b"" if o or not t else t.encode() for t, o in zip(texts, odd, strict=True)])
+        keys, first, inverse = np.unique(words.prf(self.key), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, keys)
+        found = np.append(self.known, np.uint64(0))[at] == keys if len(self.known) else np.zeros(len(keys), bool)
+        found &= at < len(self.known)
+        numbers, new = np.empty(len(keys), np.int64), np.flatnonzero(~found)
+        numbers[found] = self.number[at[found]]
+        if len(new):
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known, self.number = np.insert(self.known, at[new], keys[new]), np.insert(self.number, at[new], numbers[new])
+            raw = words.data.tobytes()
+            self._learn([raw[a:b].decode() for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
+        ids, sizes = self.of_word.take(numbers[inverse])
         total = np.concatenate(([0], np.cumsum(sizes)))
-        edge = np.concatenate(([0], np.cumsum([len(words) for words in split], dtype=np.int64)))
+        edge = words.first
         out = [np.append(ids[a:b], end) for a, b in zip(total[edge[:-1]].tolist(), total[edge[1:]].tolist(), strict=True)]
         for i in np.flatnonzero(odd):
             out[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.end_id], np.uint32)

@@ -12,6 +12,7 @@ and codes() gives them numbers that are compared byte by byte.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ import pyarrow as pa
 
 #: Bytes per block of texts that are scanned together.
 BLOCK_BYTES = 1 << 20
+#: Words of more bytes than this are hashed one by one, so that steps do not grow with the longest word.
+LONG_WORD = 2048
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,12 +88,20 @@ class Words:
         padded = np.zeros(len(self.data) + 8, np.uint8)
         padded[: len(self.data)] = self.data
         eights = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))
-        left, at, who = self.end - self.start, self.start, np.arange(len(self.start))
+        size = self.end - self.start
+        who = np.flatnonzero(size <= LONG_WORD)
+        left, at = size[who], self.start[who]
         while len(who):
             yield who, left, eights[at] & _FIRST_BYTES[np.minimum(left, 8)]
             more = np.flatnonzero(left > 8)
             who, at, left = who[more], at[more] + 8, left[more] - 8
 
+    def _digests(self, out: np.ndarray, key: bytes = b"") -> np.ndarray:
+        """out with the values of long words put in."""
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return out
+
     def hashes(self) -> np.ndarray:
         """One uint64 per word."""
         out = (self.end - self.start).astype(np.uint64)
@@ -99,10 +110,10 @@ class Words:
                 out = mix((out * np.uint64(_STEP)) ^ eight)
             else:
                 out[who] = mix((out[who] * np.uint64(_STEP)) ^ eight)
-        return out
+        return self._digests(out)
 
     def prf(self, key: tuple[int, int]) -> np.ndarray:
-        """SipHash-2-4 of each word's bytes under a 128-bit key."""
+        """SipHash-2-4 of each word's bytes under a 128-bit key; BLAKE2b under that key of long words."""
         k0, k1 = np.uint64(key[0]), np.uint64(key[1])
         size = (self.end - self.start).astype(np.uint64)
         # The start of the published function
@@ -118,7 +129,7 @@ class Words:
         state = _absorb(state, tail)
         state[2] = state[2] ^ np.uint64(0xFF)
         a, b, c, d = _sip_rounds(state, 4)
-        return a ^ b ^ c ^ d
+        return self._digests(a ^ b ^ c ^ d, key[0].to_bytes(8, "little") + key[1].to_bytes(8, "little"))
 
     def codes(self) -> np.ndarray:
         """A number per word: equal for equal words and, unlike a hash, only for these."""
@@ -129,6 +140,9 @@ class Words:
         for who, _, eight in self._chunks():
             have[who] = eight
             same[who] &= have[like[who]] == eight
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            j = int(like[i])
+            same[i] &= np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[j] : self.end[j]])
         if same.all():
             return code
         seen: dict[bytes, int] = {}
