@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, html_extract, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from . import embed_dedup, exact_dedup, html_extract, licenses, merkle, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -192,6 +192,78 @@ FROM words w LEFT JOIN kept ON kept.doc_id = w.doc_id LEFT JOIN (SELECT doc_id,
 """
 
 
+# -- 11: manifest ----------------------------------------------------------
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+#: The table of CRC-32 by the rule of its polynomial, then one step for each digit.
+_CRC = """
+bits AS (SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)
+"""
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC},
+field AS (
+  SELECT doc_id, lang, source, n_chars, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::INT]), 4294967295::UBIGINT), 4294967295::UBIGINT) % 3 = 0 AS tampered
+  FROM documents, crc),
+body AS (
+  SELECT *, coalesce(octet_length(doc_id::VARCHAR::BLOB) || ':' || doc_id, '-') || coalesce(octet_length(source::BLOB) || ':' || source, '-') || coalesce(octet_length(lang::BLOB) || ':' || lang, '-') || coalesce(octet_length(n_chars::VARCHAR::BLOB) || ':' || n_chars, '-') AS head
+  FROM field),
+leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, sha256(head || coalesce(octet_length(encode(CASE WHEN tampered THEN low ELSE text END)) || ':' || CASE WHEN tampered THEN low ELSE text END, '-')) AS seen FROM body)),
+tree AS (
+  SELECT coalesce('=' || lang, '') AS t, 0 AS lvl, pos, leaf AS h, n FROM leaf
+  UNION ALL SELECT t, lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM tree WHERE n > 1 GROUP BY t, lvl, pos // 8),
+sub AS (SELECT t, lvl, h, row_number() OVER (ORDER BY t) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, h, n FROM sub
+  UNION ALL SELECT lvl + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 7) // 8 FROM top WHERE n > 1 GROUP BY lvl, pos // 8),
+node AS (
+  SELECT t, lvl, pos, h, n FROM tree WHERE n > 1
+  UNION ALL SELECT s.t, s.lvl + top.lvl, top.pos, top.h, top.n FROM sub s JOIN top ON top.n > 1),
+runs AS (SELECT t, lvl, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM node GROUP BY ALL),
+walk AS (
+  SELECT doc_id, l.leaf, coalesce('=' || lang, '') AS t, 0 AS lvl, l.pos AS pos, l.n AS n, seen AS h, '' AS proof, false AS up FROM leaf l
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.t, CASE WHEN w.n = 1 THEN w.lvl ELSE w.lvl + 1 END, CASE WHEN w.n = 1 THEN s.pos ELSE w.pos // 8 END, CASE WHEN w.n = 1 THEN s.n ELSE (w.n + 7) // 8 END,
+         CASE WHEN w.n = 1 THEN w.h ELSE sha256(array_to_string(hs[1:(w.pos % 8)::INT], '') || w.h || array_to_string(hs[(w.pos % 8 + 2)::INT:], '')) END,
+         CASE WHEN w.n = 1 THEN w.proof ELSE w.proof || array_to_string(hs[1:(w.pos % 8)::INT], '') || array_to_string(hs[(w.pos % 8 + 2)::INT:], '') END, w.up OR w.n = 1
+  FROM walk w JOIN sub s ON s.t = w.t LEFT JOIN runs r ON r.t = w.t AND r.lvl = w.lvl AND r.run = w.pos // 8 WHERE NOT (w.up AND w.n = 1))
+SELECT w.doc_id, w.leaf, s.h AS subroot, root.h AS root, sha256(w.proof) AS proof_sha256, w.h AS folded_root, w.h = root.h AS verified
+FROM walk w JOIN sub s ON s.t = w.t, (SELECT h FROM top WHERE n = 1) root WHERE w.up AND w.n = 1
+"""
+
+
+# -- 13: licenses ----------------------------------------------------------
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """Every block against every template, without filters."""
+    vocabulary, templates = licenses.prepare(licenses.TEMPLATES)
+    quoted = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"""
+WITH phrase(label, size, words) AS (VALUES {", ".join(f"('{label}', {len(p.split())}, {p.split()})" for p, label in licenses.PHRASES.items())}),
+template(template, label, least, width, size) AS (VALUES {quoted((i, t.label, t.least, t.width, len(t.words)) for i, t in enumerate(templates))}),
+tword(template, word) AS (VALUES {quoted((i, vocabulary[w]) for i, t in enumerate(templates) for w in t.words)}),
+doc AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+base AS (SELECT row, label, i FROM doc, phrase, unnest(range(0, len(ws) - size + 1)) t(i) WHERE len(ws) >= size AND ws[i + 1:i + size] = words),
+bases AS (SELECT row, count(*) AS n, min(i) AS low, max(i) AS high, list(DISTINCT label) AS labels FROM base GROUP BY row),
+word AS (SELECT row, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM doc),
+held AS (SELECT row, template, word, i // (width // 2) AS b FROM word JOIN tword USING (word) JOIN template USING (template) UNION SELECT row, template, word, i // (width // 2) - 1 FROM word JOIN tword USING (word) JOIN template USING (template) WHERE i >= width // 2),
+met AS (SELECT row, label, count(*) / size AS share FROM held JOIN template USING (template) GROUP BY row, template, b, label, size, least HAVING count(*) >= least),
+mets AS (SELECT row, list(DISTINCT label) AS labels, max(share) AS best FROM met GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low AS first_word, high AS last_word, array_to_string(list_sort(coalesce(x.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(x.labels, []), coalesce(m.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score
+FROM doc LEFT JOIN bases x USING (row) LEFT JOIN mets m USING (row)
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_dedup": op2_near_dedup,
@@ -203,5 +275,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_license_scan": op13_license_scan,
 }
-ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_license_scan": _license_sql()}
