@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, exact_dedup, html_extract, licenses, merkle, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter
+from . import embed_dedup, exact_dedup, html_extract, licenses, merkle, mixing, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -238,6 +238,11 @@ FROM walk w JOIN sub s ON s.t = w.t, (SELECT h FROM top WHERE n = 1) root WHERE
 """
 
 
+# -- 12: whitening ---------------------------------------------------------
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 # -- 13: licenses ----------------------------------------------------------
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -276,6 +281,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op10_mixing": op10_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_license_scan": op13_license_scan,
 }
 ORACLE_SQL = {"op2_near_dedup": OP2_SQL, "op5_embedding_dedup": OP5_SQL, "op6_url_lists": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_substring_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op13_license_scan": _license_sql()}
