@@ -27,8 +27,8 @@ BROADCAST_HOSTS = 50_000
 DECAY = 0.8
 #: From this share of link letters on, a container is a list of links.
 LINKED = 0.5
-#: Marked elements inside an article go if they hold fewer letters than this, or mostly links.
-SHORT = 200
+#: A marked element outside an article goes unless it holds this share of the page's letters, as a wrapper does.
+WRAPPED = 0.5
 LONGEST_PATH = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|textarea|iframe|select|title)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<(?:/?[A-Za-z][^<>]*)?$", re.S | re.I)
@@ -45,25 +45,30 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article main section div td body blockquote".split())
 SKIP = frozenset("nav footer aside form button menu dialog header object head".split())
 CLOSES_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: Words of class, id and role that mark what is not the main text, and what is.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertorial|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|widgets?|footer|foot|header|masthead|topbar|toolbar|share|sharing|social|related|recommended|trending|comments?|commentlist|disqus|replies|reply|"
-    r"respond|pagination|pager|tags|tagcloud|meta|byline|skip|search|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
-    re.I,
-)
-#: Whole classes of what visitors wrote; such text is not the page's, however long.
-VISITORS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words of class, id and role that mark what is not the main text, wherever it stands and however long it is.
+STRONG = (
+    "ads? adverts? advertisements? advertorial sponsor(?:ed|s)? promo(?:tion|s)? banners? cookies? consent gdpr notices? alerts? popup modal overlay newsletter subscribe subscription signup login "
+    "nav navbar navigation menus? breadcrumbs? sidebars? footer toolbar share sharing comments? commentlist disqus replies reply pagination pager tagcloud meta byline"
+).split()
+#: Words that may mark a part of the article as well; inside one, such an element goes if it is mostly links.
+WEAK = "side widgets? foot header masthead topbar social related recommended trending respond tags skip search copyright legal disclaimer".split()
+#: Words that say nothing of their own in an id such as comment-list.
+PLAIN = "user reader visitor list section area thread form box slot bar wrap wrapper container block panel top bottom left right main new latest post page site inner outer unit".split()
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_in_name = lambda words: re.compile(rf"(?:^|[\s_-])(?:{'|'.join(words)})(?:$|[\s_-]|\d)", re.I)
+MARKED, STRONGLY = _in_name(STRONG + WEAK), _in_name(STRONG)
+_STRONG_WORD, _ID_WORD = (re.compile(rf"(?:{'|'.join(words)})\d*|\d+", re.I) for words in (STRONG, STRONG + PLAIN))
+_ID_PARTS = re.compile(r"[\s_-]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story|text|body)(?:$|[\s_-]|\d)", re.I)
 
 
 class _Node:
     """An element: where it stands, and sums over the text inside it."""
 
-    __slots__ = ("tag", "path", "parent", "holder", "container", "skip", "inside", "bonus", "doubt", "doubtful", "seen", "linked", "gone", "first", "last", "own", "chars", "links", "felt")
+    __slots__ = ("tag", "path", "parent", "holder", "container", "skip", "inside", "bonus", "doubt", "doubtful", "holds", "seen", "linked", "gone", "first", "last", "own", "chars", "links", "felt")
 
-    def __init__(self, tag, path, skip, bonus, parent, doubtful=False):
+    def __init__(self, tag, path, skip, bonus, parent, doubtful=""):
         self.tag, self.path, self.skip, self.bonus, self.parent, self.doubtful = tag, path, skip, bonus, parent, doubtful
         self.container = tag in CONTAINER or parent is None
         #: The nearest container around, the element itself included; the nearest doubtful element.
@@ -71,6 +76,8 @@ class _Node:
         self.doubt = self if doubtful else parent.doubt if parent else None
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
         self.seen = self.linked = self.own = self.chars = self.links = 0
+        #: An article or main inside it, or itself one.
+        self.holds = tag in ("article", "main")
         self.gone, self.first, self.last, self.felt = False, None, 0, 0.0
 
 
@@ -80,6 +87,22 @@ def _path(top: str, step: str) -> str:
     return path if len(path) <= LONGEST_PATH else "~" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+def attributes_of(attributes: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+
+
+def _strong_id(name: str) -> bool:
+    """Ids are often slugs of headings: they mark strongly only if they have no words but such and plain ones."""
+    words = _ID_PARTS.split(name)
+    return all(map(_ID_WORD.fullmatch, words)) and any(_STRONG_WORD.fullmatch(w) and not w.isdigit() for w in words)
+
+
+def hidden(attributes: str, names: dict[str, str]) -> bool:
+    """Whether an element is hidden by an attribute of its own or by its style."""
+    bare = "hidden" in attributes.lower() and _HIDDEN.search(_QUOTED.sub("", attributes)) is not None
+    return bare or names.get("aria-hidden") == "true" or _UNSEEN.search(names.get("style", "")) is not None
+
+
 def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     """(containers in order, numbered text blocks) of a page.
 
@@ -90,6 +113,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
     root = _Node("#", "", False, 0, None)
     stack, every, buffer, found = [root], [root], [], []
     state, open_ = {"link": 0, "linked": 0}, {}
+    #: The inline element whose text is left out: its tag, how many elements were open around it, how often its tag is open.
+    mute: list = []
 
     def flush():
         text = _SPACE.sub(" ", "".join(buffer)).strip()
@@ -99,18 +124,21 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             found.append((text, min(linked, len(text)), stack[-1]))
 
     def deal():
-        """Sums of the blocks, from the innermost elements outwards; blocks of doubtful elements that are short or links are gone."""
+        """Sums of the blocks, from the innermost elements outwards; blocks of doubtful elements that are links or neither article nor wrapper are gone."""
+        letters = sum(len(text) for text, _, _ in found)
         for text, linked, node in found:
             if node.doubt is not None:
                 node.doubt.seen += len(text)
                 node.doubt.linked += linked
         for node in reversed(every):
+            if node.holds and node.parent is not None:
+                node.parent.holds = True
             if node.doubtful and node.parent.doubt is not None:
                 node.parent.doubt.seen += node.seen
                 node.parent.doubt.linked += node.linked
         for node in every:
-            short = node.doubtful and (node.seen < SHORT or node.linked >= LINKED * node.seen)
-            node.gone = short or bool(node.parent and node.parent.gone)
+            apart = node.doubtful == "strong" and not node.holds and node.seen < WRAPPED * letters
+            node.gone = apart or bool(node.doubtful and node.linked >= LINKED * node.seen) or bool(node.parent and node.parent.gone)
         kept = []
         for n, (text, linked, node) in enumerate(found):
             if node.gone:
@@ -137,28 +165,27 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
 
     def push(tag, attributes):
         top = stack[-1]
-        names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
+        names = attributes_of(attributes)
         first = (names.get("class", "").split() or [""])[0]
         path = _path(top.path, tag + (f".{_DIGITS.sub('#', first)}" if first else ""))
         marks = " ".join((names.get("class", ""), names.get("id", ""), names.get("role", "")))
         main = tag in ("article", "main", "body", "html")
         # a heading's own header inside an article or main is part of it
         kin = tag == "header" and top.inside
-        skip = top.skip or (tag in SKIP and not kin) or names.get("aria-hidden") == "true" or ("hidden" in attributes.lower() and _HIDDEN.search(_QUOTED.sub("", attributes)) is not None)
-        doubtful = False
-        if not skip and not main and marks.strip() and BOILERPLATE.search(marks):
-            role = " ".join((names.get("class", ""), names.get("role", "")))
-            whole = any(BOILERPLATE.fullmatch(word) for word in role.split())
-            marked = whole or (bool(BOILERPLATE.search(role)) and not (top.inside and tag in HEADING))
-            if not marked and tag not in HEADING and not (top.inside and tag == "section"):
-                # ids are often slugs of headings: inside an article and of sections only a whole word counts
-                name = names.get("id", "").strip()
-                alone = BOILERPLATE.fullmatch(name) is not None
-                marked, whole = (alone if top.inside or tag == "section" else BOILERPLATE.search(name) is not None), alone
-            if marked and not (top.inside and tag in HEADING):
-                # a whole word says it outright; a part of a longer name, and anything inside an article, is weighed by its text
-                skip = not VISITORS.isdisjoint(role.lower().split()) if top.inside else whole
-                doubtful = not skip
+        skip, doubtful = top.skip or (tag in SKIP and not kin) or hidden(attributes, names), ""
+        if not skip and not main and marks.strip() and not (top.inside and tag in HEADING):
+            role, name = " ".join((names.get("class", ""), names.get("role", ""))), names.get("id", "").strip()
+            if STRONGLY.search(role) or (tag not in HEADING and _strong_id(name)):
+                # inside an article the mark decides; elsewhere a longer name may be a wrapper's
+                skip = top.inside or any(MARKED.fullmatch(word) for word in role.split()) or MARKED.fullmatch(name) is not None
+                doubtful = "" if skip else "strong"
+            elif MARKED.search(role):
+                skip = not top.inside and any(MARKED.fullmatch(word) for word in role.split())
+                doubtful = "" if skip else "weak"
+            elif tag not in HEADING and not (top.inside and tag == "section") and MARKED.search(name):
+                alone = MARKED.fullmatch(name) is not None
+                skip = alone and not top.inside
+                doubtful = "weak" if not skip and (alone or not (top.inside or tag == "section")) else ""
         bonus = (3 if tag == "article" else 2 if tag == "main" else 0) + (1 if tag != "body" and marks.strip() and CONTENT.search(marks) else 0)
         node = _Node(tag, path, skip, bonus, top, doubtful)
         stack.append(node)
@@ -166,6 +193,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
         open_[tag] = open_.get(tag, 0) + 1
 
     def close(i):
+        if mute and i < mute[1]:
+            mute.clear()
         for node in stack[i:]:
             open_[node.tag] -= 1
         del stack[i:]
@@ -180,8 +209,20 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             if tag == "p" and stack[i].tag in CONTAINER or tag != "body" and tag != "html" and stack[i].tag in ("article", "td", "body") and tag not in CONTAINER:
                 return
 
+    def inline(tag, closing, attributes):
+        """Hidden and strongly marked elements inside a block are left out up to their end, or the block's."""
+        if mute:
+            if tag == mute[0] and not attributes.rstrip().endswith("/"):
+                mute[2] += -1 if closing else 1
+                if not mute[2]:
+                    mute.clear()
+        elif not closing and attributes and tag not in VOID and not attributes.rstrip().endswith("/"):
+            names = attributes_of(attributes)
+            if hidden(attributes, names) or STRONGLY.search(" ".join((names.get("class", ""), names.get("role", "")))):
+                mute.extend((tag, len(stack), 1))
+
     def text(piece):
-        if piece:
+        if piece and not mute:
             piece = html.unescape(piece) if "&" in piece else piece
             buffer.append(piece)
             if state["link"]:
@@ -199,6 +240,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
             buffer.append(" ")
         elif tag == "a":
             state["link"] = 0 if m[2] else 1
+            inline(tag, m[2], m[4] or "")
         elif tag in BLOCK or tag in SKIP:
             flush()
             if m[2]:
@@ -215,6 +257,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[int, str]]]:
                             break
                 if not (m[4] or "").rstrip().endswith("/"):
                     push(tag, m[4] or "")
+        else:
+            inline(tag, m[2], m[4] or "")
     text(page[at:])
     flush()
     return deal()
@@ -314,7 +358,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     feeds in page order.  Null or empty html gives an empty text.  Pages without
     a host (null urls too) vote together.  Unclosed and cut off markup is read as
     browsers would, as far as block order goes; a tag that the page's end cuts
-    off is dropped.
+    off is dropped.  Menus, notices, adverts, comments and the like go by their
+    tag, class, role or id, and hidden text by its attribute or style, inside an
+    article, also inside a sentence, and however long.  A name that only holds
+    such a word may be a wrapper's: outside an article its element stays if an
+    article is in it or WRAPPED of the page's letters.
     """
     ws = Workspace(pages.sparkSession)
     winners = ws.save(winning_paths(pages, url_col, html_col).withColumnRenamed("host", "_host"), "winners")

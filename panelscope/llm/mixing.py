@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Workspace
+from .common import Workspace, unused
 
 BLOCK_DOCS = 1024
 TARGET_ENTROPY = 0.95
@@ -89,6 +89,15 @@ def _order(seed: int, *parts) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 2)
 
 
+#: What mix() adds.
+ADDED = ["mix_source", "mix_tokens", "epoch", "block", "block_place", "doc_place"]
+
+
+def added(docs: DataFrame) -> dict[str, str]:
+    """The names of the columns that mix() adds to docs: ADDED, with underscores in front where docs has such a column."""
+    return {name: unused(docs, name) for name in ADDED}
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, block_docs: int = BLOCK_DOCS, **target) -> DataFrame:
     """docs repeated by the epochs of their sources, with mix_source, mix_tokens, epoch, block, block_place and doc_place.
 
@@ -99,13 +108,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     a training order.  Null sources count as one source of their own; rows
     without words are taken once in the first epoch.  Rows of one id in one block
     and epoch share a place; which of them a budget cuts off first is then left
-    open, as is the order of rows without id.  Extra columns stay, an empty table
-    gives an empty result.  Keyword arguments go to solve().  Cumulative sums run over ranges of places, so that no task needs
+    open, as is the order of rows without id.  Extra columns stay as they are, see
+    added() for clashing names; an empty table gives an empty result.  Keyword arguments go to solve().  Cumulative sums run over ranges of places, so that no task needs
     all blocks of a source.
     """
     ws = Workspace(docs.sparkSession)
-    rows = docs.withColumns({"mix_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")), "mix_tokens": n_tokens(F.col(text_col))})
-    hashed = F.xxhash64(F.lit(seed), F.col(id_col))
+    # the row travels as one column, so that no name of its columns meets one of those below
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null")).alias("mix_source"), n_tokens(F.col(text_col)).alias("mix_tokens"))
+    hashed = F.xxhash64(F.lit(seed), F.col("key"))
     sums = ws.save(rows.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     mixture = solve(sums, **target)
     shares = F.round(mixture.budget(F.col("tokens")), 3) if mixture else F.lit(0.0)
@@ -133,7 +143,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("mix_source", "block", "epoch", "block_place", F.when((F.col("left") >= F.col("tokens")) | (F.col("tokens") == 0), F.lit(2**62)).otherwise(F.col("left") - F.col("block_before")).alias("room")),
         "blocks",
     )
-    w = W.partitionBy("mix_source", "block", "epoch").orderBy("doc_place", id_col).rowsBetween(W.unboundedPreceding, -1)
-    out = dealt.join(taken, ["mix_source", "block"]).withColumn("doc_place", _order(seed + 1, F.col("epoch"), F.col(id_col)))
-    out = out.withColumn("_before", F.coalesce(F.sum("mix_tokens").over(w), F.lit(0)))
-    return out.where((F.col("_before") < F.col("room")) & ((F.col("mix_tokens") > 0) | (F.col("epoch") == 0))).drop("_before", "room")
+    w = W.partitionBy("mix_source", "block", "epoch").orderBy("doc_place", "key").rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.join(taken, ["mix_source", "block"]).withColumn("doc_place", _order(seed + 1, F.col("epoch"), F.col("key")))
+    out = out.withColumn("before", F.coalesce(F.sum("mix_tokens").over(w), F.lit(0)))
+    return out.where((F.col("before") < F.col("room")) & ((F.col("mix_tokens") > 0) | (F.col("epoch") == 0))).select("row.*", *[F.col(name).alias(at) for name, at in added(docs).items()])

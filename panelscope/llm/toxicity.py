@@ -157,12 +157,13 @@ class ToxicityModel:
 
 def _dense_frame(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The columns `keep` and `features`, a vector, of docs (text, ...)."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by LEXICON_ENTRIES
+    # bounded by LEXICON_ENTRIES; plain arrays, as broadcasts are not pickled by value
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.word_odds, lexicon.starts, lexicon.start_odds))
 
     def run(batches):
         for batch in batches:
             for first, raw in textscan.blocks(batch.column(0).to_pylist()):
-                x = dense(raw, shared.value)
+                x = dense(raw, Lexicon(*shared.value))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).slice(first, len(raw)) for k in range(len(keep))), flat], [*keep, "dense"])
 

@@ -423,6 +423,18 @@ def test_mix_fills_budgets(spark, docs, empty):
     assert {r.doc_id for r in mixing.mix(docs).collect()} == {d for d, *_ in corpus()} and mixing.mix(empty).count() == 0
 
 
+def test_mix_leaves_columns_of_its_own_names_alone(spark, docs):
+    names = ["epoch", "room", "n_blocks", "before", "block", "mix_tokens", "MIX_source", "doc_place", "block_place", "row", "key", "left", "range", "budget"]
+    more = docs.select("doc_id", "text", "source", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    out = mixing.mix(more)
+    assert mixing.added(more) == {"mix_source": "_mix_source", "mix_tokens": "_mix_tokens", "epoch": "_epoch", "block": "_block", "block_place": "_block_place", "doc_place": "_doc_place"}
+    assert out.columns == [*more.columns, *mixing.added(more).values()]
+    rows = out.collect()
+    assert all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+    plain = mixing.mix(docs)
+    assert sorted((r.doc_id, r._epoch, r._block, r._block_place) for r in rows) == sorted((r.doc_id, r.epoch, r.block, r.block_place) for r in plain.collect())
+
+
 def test_url_lists_as_of_fetch(spark):
     ts = "timestamp_ntz"
     entries = spark.sql(f"select * from values ('bad', 'domain', 'x.org', {ts}'2024-01-05', 'add'), ('bad', 'domain', 'x.org', {ts}'2024-02-01', 'remove'), ('bad', 'domain', 'x.org', {ts}'2024-02-01', 'add'), ('bad', 'prefix', 'y.org/a', {ts}'2024-01-01', 'add'), ('bad', 'prefix', 'y.org/a', {ts}'2024-03-01', 'remove'), ('allow', 'domain', 'ok.x.org', {ts}'2024-01-01', 'add'), (null, 'domain', 'z.org', {ts}'2024-01-01', 'add') as t(list_name, kind, pattern, event_at, action)")
@@ -511,6 +523,26 @@ def test_extract_of_marked_and_hidden_parts():
     assert get(f"<div class='related'><p>no {long}</p></div><div class='text'><p>one {long}</p></div>") == ["one"]
 
 
+@pytest.mark.parametrize("n", [1, 199, 200, 700])
+def test_extract_leaves_out_what_is_marked_however_long(n):
+    """No mark is decided by a text's length, inside or outside an article, in blocks or in sentences."""
+    noise, own = ("x" * n), "word " * 60
+    get = lambda inner: html_extract.extract(f"<html><body><nav>n</nav>{inner}</body></html>", None)
+    marked = [
+        f"<div class='alert-box'>{noise}</div>", f"<div class='ad-slot'><p>{noise}</p></div>", f"<div class='user-comments'><p>{noise}</p></div>", f"<section id='comment-list'><p>{noise}</p></section>",
+        f"<p>a <span class='advert'>{noise}</span>b</p>", f"<p>a <span hidden>{noise} <b>x</b></span>b</p>", f"<p>a <i style='color:red; display: none'>{noise}</i>b</p>",
+        f"<div style='display:none'><p>{noise}</p></div>", f"<div style='visibility:hidden'>{noise}</div>", f"<p>a <span aria-hidden='true'>{noise}<span>y</span></span>b</p>", f"<aside>{noise}</aside>",
+    ]
+    for m in marked:
+        middle = "\n\na b" if ">b<" in m else ""
+        assert get(f"<article><h1>T</h1><p>{own}</p>{m}<p>end</p></article>") == f"T\n\n{own.strip()}{middle}\n\nend", m
+    # a wrapper's name may hold such a word
+    assert get(f"<div class='page-with-sidebar'><article><p>{own}</p></article></div>") == own.strip()
+    assert get(f"<div class='has-menu'><p>{own}</p><p>two</p></div>") == f"{own.strip()}\n\ntwo"
+    # an unclosed inline element ends with its block
+    assert get(f"<article><p>one <span hidden>{noise}</p><p>two</p></article>") == "one\n\ntwo"
+
+
 def test_extract_of_deep_pages():
     """Unclosed and deeply nested elements: all blocks, and time in proportion."""
     import time
