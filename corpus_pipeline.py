@@ -40,7 +40,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each part of the output is in the order of the mixture, which packing reads it in.
     """
-    return _columns(mixing.mix(docs).sortWithinPartitions("epoch", "block_place", "doc_place"), docs)
+    named = mixing.added(docs)
+    return _columns(mixing.mix(docs).sortWithinPartitions(*(named[c] for c in ("epoch", "block_place", "doc_place"))), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
