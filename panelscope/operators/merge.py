@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import previous
+
 
 def resample(df: DataFrame, minutes: int, means: list[str], lasts: list[str], by: str = "entity", ts: str = "ts") -> DataFrame:
     """Means of numbers and last texts of intervals closed on the left, stamped with the interval's middle."""
@@ -98,8 +100,13 @@ def time_spine(df: DataFrame, step: str, by: str = "entity", ts: str = "ts") ->
 
 
 def infer_frequency(df: DataFrame, by: str = "entity", ts: str = "ts") -> DataFrame:
-    """(entity, seconds, n): most frequent step between neighbouring rows; ties go to the shorter one."""
-    steps = df.withColumn("seconds", F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lag(ts).over(W.partitionBy(by).orderBy(ts)).cast("timestamp"))).dropna(subset=["seconds"])
+    """(entity, seconds, n): most frequent step between neighbouring rows; ties go to the shorter one.
+
+    A row's predecessor is found by ranges of (entity, time), so that a large
+    entity is not sorted by one task.  Times are distinct within an entity.
+    """
+    at = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    steps = previous(df.select(by, ts), [by], [ts], [ts]).where("not _first").select(by, (at(ts) - at(f"_last.{ts}")).alias("seconds"))
     counts = steps.groupBy(by, "seconds").agg(F.count("*").alias("n"))
     return counts.groupBy(by).agg(F.max_by(F.struct("seconds", "n"), F.struct("n", -F.col("seconds"))).alias("m")).select(by, "m.seconds", "m.n")
 

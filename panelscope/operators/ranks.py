@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import comb
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chi2_sf, normal_sf
+from .ordered import previous, quantiles, running_sum
+
+#: Up to this number of values in the smaller group, ranks are tested by their exact distribution.
+EXACT = 8
 
 
 def average_rank(df: DataFrame, x: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Mid-ranks of x among its group's values that are not NULL.
 
-    Ranks come from counts of distinct values: rows of one value are counted
-    first, then values are summed up in order, and ranks are joined back.
+    Rows of one value are counted first; the counts of distinct values are then
+    summed up in order by ranges, so that no task sorts a whole group, and ranks
+    are joined back.
     """
     by = by or []
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(x).rowsBetween(W.unboundedPreceding, 0)
-    ranks = counts.withColumn(out, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    ranks = running_sum(counts, by, [x], F.col("_c"), out).withColumn(out, F.col(out) - (F.col("_c") - 1) / 2).drop("_c")
     return df.join(ranks, [*by, x], "left")
 
 
@@ -40,9 +49,12 @@ def kruskal_wallis(df: DataFrame, x: str, group: str, groups: int) -> DataFrame:
 
 
 def mann_whitney_pairs(df: DataFrame, x: str, group: str) -> DataFrame:
-    """(a, b, n_a, n_b, u, p) for each pair of groups; p by the normal approximation with tie and continuity correction.
+    """(a, b, n_a, n_b, u, p) for each pair of groups, two-sided.
 
-    df has one row per entity.  For each pair the two groups' values are ranked together.
+    Where a group has up to EXACT values and no values are tied, p comes from the
+    null distribution of U itself, otherwise from the normal approximation with
+    tie and continuity correction.  df has one row per entity.  For each pair the
+    two groups' values are ranked together.
     """
     v = df.where(F.col(x).isNotNull()).select(F.col(group).alias("g"), F.col(x).alias("x"))
     names = v.agg(F.collect_set("g").alias("all"))  # one row of group names
@@ -57,21 +69,44 @@ def mann_whitney_pairs(df: DataFrame, x: str, group: str) -> DataFrame:
     n, u = na + nb, F.col("ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     z = (F.abs(u - na * nb / 2) - 0.5) / sd
-    return s.select("a", "b", "n_a", "n_b", u.alias("u"), F.least(F.lit(1.0), 2 * normal_sf(z)).alias("p"))
+    exact = (F.least(na, nb) <= EXACT) & (F.col("ties") == 0)
+    out = s.select("a", "b", "n_a", "n_b", u.alias("u"), F.least(F.lit(1.0), 2 * normal_sf(z)).alias("p"), exact.alias("exact"))
+    kinds = dict(out.dtypes)
+    return out.mapInArrow(_exact_p, ", ".join(f"{c} {kinds[c]}" for c in out.columns if c != "exact"))
 
 
-def places(df: DataFrame, order: list[Column], out: str = "place", parts: int | None = None) -> DataFrame:
-    """df with its rows' places in a total order, from 1.
+def u_tail(u: int, m: int, n: int) -> float:
+    """P(U <= u) for samples of m and n values without ties.
 
-    Rows are dealt by ranges and numbered within each; the ranges' sizes, one row
-    each, are then added up, so that no task orders the whole table.
+    The numbers of orders with each U are the coefficients of the product of
+    (1 - q^(n+i)) / (1 - q^i) over i to m; each factor is a shifted difference
+    and a running sum in steps of i, in whole numbers.
     """
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).drop("_c")
-    return dealt.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_n")).drop("_part", "_n", "_before")
+    ways = np.zeros(u + 1, object)
+    ways[0] = 1
+    for i in range(1, m + 1):
+        if n + i <= u:
+            ways[n + i :] = ways[n + i :] - ways[: u + 1 - n - i]
+        for r in range(min(i, u + 1)):
+            ways[r::i] = np.cumsum(ways[r::i])
+    return float(Fraction(int(ways.sum()), comb(m + n, m)))
+
+
+def _exact_p(batches):
+    """A row for each pair of groups: those marked exact get their p."""
+    for batch in batches:
+        p = batch.column("p").to_pylist()
+        for i, row in enumerate(batch.to_pylist()):
+            if row["exact"]:
+                few, many = sorted((row["n_a"], row["n_b"]))
+                p[i] = min(1.0, 2 * u_tail(round(min(row["u"], few * many - row["u"])), few, many))
+        names = [c for c in batch.schema.names if c != "exact"]
+        yield pa.RecordBatch.from_arrays([pa.array(p, pa.float64()) if c == "p" else batch.column(c) for c in names], names)
+
+
+def places(df: DataFrame, order: list[Column], out: str = "place", parts: int | None = None) -> DataFrame:
+    """df with its rows' places in a total order, from 1."""
+    return running_sum(df, [], order, F.lit(1), out, parts)
 
 
 def holm(df: DataFrame, p: str, order: list[str]) -> DataFrame:
@@ -83,17 +118,23 @@ def holm(df: DataFrame, p: str, order: list[str]) -> DataFrame:
 
 
 def label_runs(df: DataFrame, label: str, order: str, by: list[str]) -> DataFrame:
-    """(by, run, label, first, last, n): neighbouring rows of one label."""
-    w = W.partitionBy(*by).orderBy(order)
-    new = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_n", new).withColumn("run", F.sum("_n").over(w)).groupBy(*by, "run").agg(F.first(label).alias(label), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
+    """(by, run, label, first, last, n): neighbouring rows of one label.
+
+    Rows are compared with their predecessors by ranges of (by, order); a run
+    that crosses ranges is stitched by the last row of the range before.  Rows of
+    one group have unlike values of `order`.
+    """
+    seen = previous(df.select(*by, label, order), by, [order], [label])
+    new = F.when(F.col("_first") | ~F.col(f"_last.{label}").eqNullSafe(F.col(label)), 1).otherwise(0)
+    runs = running_sum(seen, by, [order], new, "run")
+    return runs.groupBy(*by, "run").agg(F.first(label).alias(label), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
 def quartile_strata(df: DataFrame, x: str) -> DataFrame:
     """stratum 1 to 4 by the quartiles of x: right-closed, the first holds the minimum."""
-    edges = df.agg(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("_e"))
-    v = F.col(x)
-    return df.crossJoin(F.broadcast(edges)).withColumn("stratum", F.when(v <= F.col("_e")[0], 1).when(v <= F.col("_e")[1], 2).when(v <= F.col("_e")[2], 3).when(v.isNotNull(), 4)).drop("_e")
+    edges = quantiles(df, [], x, [0.25, 0.5, 0.75], "_e").select("_e")
+    v, every = F.col(x), df.crossJoin(F.broadcast(edges)) if not edges.isEmpty() else df.withColumn("_e", F.lit(None).cast("array<double>"))
+    return every.withColumn("stratum", F.when(v <= F.col("_e")[0], 1).when(v <= F.col("_e")[1], 2).when(v <= F.col("_e")[2], 3).when(v.isNotNull(), 4)).drop("_e")
 
 
 def equal_width(df: DataFrame, x: str, n: int = 10) -> DataFrame:

@@ -87,11 +87,11 @@ def _(spark, sf):
     return rows.groupBy("entity").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.sum("heat").alias("heat")).join(sites, "entity")
 
 
-_META = "SELECT c_nationkey AS entity, c_custkey AS priority, 'o' || c_custkey AS origin, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS lat, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS segment FROM customer WHERE c_custkey <= 100"
+_META = "SELECT c_nationkey AS entity, c_custkey AS priority, 'o' || c_custkey AS origin, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS lat, CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END AS segment FROM customer"
 
 
 def _meta(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 100")
+    c = table(spark, sf, "customer")
     return c.select(F.col("c_nationkey").alias("entity"), F.col("c_custkey").alias("priority"), F.concat(F.lit("o"), F.col("c_custkey")).alias("origin"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("lat"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_mktsegment")).alias("segment"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import ranks as R
+from ..operators.ordered import quantiles
 from ..operators.resample import array_mean, array_median, bootstrap
 from ..plans.panels import attributed, panel, table, zpanel
 from .base import VIEWS, query
@@ -15,7 +16,10 @@ _E = "pn z phi ent"
 
 
 def entities(spark, sf):
-    return attributed(spark, sf).groupBy("entity").agg(F.first("class").alias("class"), F.avg("net").alias("net"), F.avg("heat").alias("heat"), F.avg("soil").alias("soil"), F.avg("phi_dry").alias("phi_dry"), F.median("dry_z").alias("mz"), F.count("*").alias("n"))
+    phi = attributed(spark, sf)
+    out = phi.groupBy("entity").agg(F.first("class").alias("class"), F.avg("net").alias("net"), F.avg("heat").alias("heat"), F.avg("soil").alias("soil"), F.avg("phi_dry").alias("phi_dry"), F.count("*").alias("n"))
+    middle = quantiles(phi, ["entity"], "dry_z", [0.5]).select("entity", F.col("q")[0].alias("mz"))
+    return out.join(middle, "entity", "left")
 
 
 @query("sort_latest_sites", "entity last place", views="p", sql="SELECT entity, max(ts) AS last, row_number() OVER (ORDER BY max(ts) DESC, entity) AS place FROM p GROUP BY entity")
@@ -37,12 +41,21 @@ def _(spark, sf):
     return e.crossJoin(F.broadcast(e.agg(F.avg("net").alias("m")))).withColumn("shift", F.col("net") - F.col("m")).where("abs(shift) >= 0.03").orderBy(F.desc(F.abs("shift")))
 
 
+def _u_steps() -> str:
+    """Views e0 to e8: numbers of orders with each U up to the one found, for pairs with a group of eight values at most and no ties."""
+    first = "e0 AS (SELECT a, b, least(n_a, n_b) AS m, greatest(n_a, n_b) AS n, least(u, n_a * n_b - u)::INT AS l, [CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for k in range(least(u, n_a * n_b - u)::INT + 1)] AS w FROM us2 WHERE least(n_a, n_b) <= 8 AND ties = 0)"
+    step = "e{i} AS (SELECT a, b, m, n, l, CASE WHEN m < {i} THEN w ELSE [list_sum(d[(k % {i}) + 1:k + 1:{i}]) for k in range(l + 1)] END AS w FROM (SELECT *, [w[k + 1] - CASE WHEN k >= n + {i} THEN w[(k + 1 - n - {i})::INT] ELSE 0 END for k in range(l + 1)] AS d FROM e{j}))"
+    return ", ".join([first, *(step.format(i=i, j=i - 1) for i in range(1, 9))])
+
+
 _MW = """ WITH pr AS (SELECT a.class AS a, b.class AS b FROM (SELECT DISTINCT class FROM ent) a, (SELECT DISTINCT class FROM ent) b WHERE a.class < b.class),
  rw AS (SELECT a, b, class, mz, rank() OVER (PARTITION BY a, b ORDER BY mz) + (count(*) OVER (PARTITION BY a, b, mz) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY a, b, mz) AS t FROM ent JOIN pr ON class = a OR class = b),
  us AS (SELECT a, b, count(*) FILTER (class = a) AS n_a, count(*) FILTER (class = b) AS n_b, sum(r) FILTER (class = a) AS ra, sum(t * t - 1.0) AS ties FROM rw GROUP BY a, b),
+ us2 AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS u FROM us), """ + _u_steps() + """,
  uz AS (SELECT *, ra - n_a * (n_a + 1) / 2.0 AS u, (abs(ra - n_a * (n_a + 1) / 2.0 - n_a * n_b / 2.0) - 0.5) / sqrt(n_a * n_b / 12.0 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1.0)))) AS zz FROM us),
  ux AS (SELECT *, 1 / (1 + 0.3275911 * abs(zz) / sqrt(2.0)) AS tt FROM uz),
- mw AS (SELECT a, b, n_a, n_b, u, least(1, 2 * CASE WHEN zz >= 0 THEN h ELSE 1 - h END) AS p FROM (SELECT *, 0.5 * ((((1.061405429 * tt - 1.453152027) * tt + 1.421413741) * tt - 0.284496736) * tt + 0.254829592) * tt * exp(-zz * zz / 2) AS h FROM ux))"""
+ ex AS (SELECT a, b, least(1, 2 * list_sum(w) / list_product([(n + j) / j for j in range(1, m + 1)])) AS p FROM e8),
+ mw AS (SELECT x.a, x.b, n_a, n_b, u, coalesce(ex.p, least(1, 2 * CASE WHEN zz >= 0 THEN h ELSE 1 - h END)) AS p FROM (SELECT *, 0.5 * ((((1.061405429 * tt - 1.453152027) * tt + 1.421413741) * tt - 0.284496736) * tt + 0.254829592) * tt * exp(-zz * zz / 2) AS h FROM ux) x LEFT JOIN ex ON ex.a = x.a AND ex.b = x.b)"""
 
 
 @query("mann_whitney_pairs", "a b n_a n_b", "u p", views=_E, sql=_MW.strip() + " SELECT * FROM mw")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, stages, subset
 from ..operators import summaries as S
+from ..operators.ordered import quantiles
 from ..operators.resample import array_mean, bootstrap
 from ..plans.panels import EFFECTS, attributed, panel, staged, table, zpanel
 from .access import _LAYERS, layers
@@ -44,7 +45,9 @@ def _(spark, sf):
 
 @query("stage_distributions", "stage class level sites records", "q25 median q75", views=_ST, sql="SELECT stage, class, grouping(class)::BIGINT AS level, count(*) AS sites, sum(n)::BIGINT AS records, quantile_cont(m, 0.25) AS q25, median(m) AS median, quantile_cont(m, 0.75) AS q75 FROM (SELECT entity, class, stage, count(*) AS n, median(dry_z) AS m FROM stage GROUP BY ALL) GROUP BY GROUPING SETS ((stage), (stage, class))")
 def _(spark, sf):
-    per = staged(spark, sf).groupBy("entity", "class", "stage").agg(F.count("*").alias("n"), F.median("dry_z").alias("m"))
+    st = staged(spark, sf)
+    middle = quantiles(st, ["entity", "stage"], "dry_z", [0.5]).select("entity", "stage", F.col("q")[0].alias("m"))
+    per = st.groupBy("entity", "class", "stage").agg(F.count("*").alias("n")).join(middle, ["entity", "stage"], "left")
     return S.sets_of(per, [["stage"], ["stage", "class"]], [F.count("*").alias("sites"), F.sum("n").alias("records"), *S.quartiles("m")], ["stage", "class"])
 
 
@@ -187,7 +190,10 @@ def _(spark, sf):
 def _(spark, sf):
     d = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.hour("ts").between(6, 18)).alias("m"))
     s = 100.0 * F.col("m") / F.col("n")
-    return d.agg(F.count("*").alias("days"), F.median("n").alias("median_all"), F.median("m").alias("median_day"), F.avg(s).alias("share"), F.avg((s >= 75).cast("double")).alias("full75"))
+    # a row for each entity and day: as many as the table may have
+    middle = lambda c: quantiles(d, [], c, [0.5]).select(F.col("q")[0].alias(f"median_{c}"))
+    out = d.agg(F.count("*").alias("days"), F.avg(s).alias("share"), F.avg((s >= 75).cast("double")).alias("full75"))
+    return out.crossJoin(middle("n")).crossJoin(middle("m")).withColumnsRenamed({"median_n": "median_all", "median_m": "median_day"})
 
 
 @query("timescale_sample_size", "scale rows_kept stage8", views="pn", sql=" UNION ALL ".join(f"SELECT '{k}' AS scale, count(*) AS rows_kept, count(*) FILTER (h > 1.2815515655446 AND d > 1.2815515655446 AND s < -1.2815515655446) AS stage8 FROM (SELECT (h - avg(h) OVER w) / nullif(stddev_pop(h) OVER w, 0) AS h, (d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0) AS d, (s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0) AS s FROM (SELECT entity, avg(heat) AS h, avg(dry) AS d, avg(soil) AS s FROM pn WHERE dry IS NOT NULL AND soil IS NOT NULL GROUP BY entity, date_trunc('{k}', ts) {'HAVING count(*) >= 2' if k == 'day' else ''}) WINDOW w AS (PARTITION BY entity))" for k in ("day", "month", "year")))
@@ -361,11 +367,10 @@ def _(spark, sf):
 
 @query("conditional_quantile_bounds", "entity", "low high", views="p", sql="SELECT entity, quantile_cont(dry, 0.02) AS low, quantile_cont(dry, 0.98) AS high FROM p GROUP BY entity", digits=4)
 def _(spark, sf):
-    q = F.percentile("dry", F.array(F.lit(0.02), F.lit(0.98)))
-    return panel(spark, sf).groupBy("entity").agg(q.alias("q")).select("entity", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return quantiles(panel(spark, sf), ["entity"], "dry", [0.02, 0.98]).select("entity", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-@query("datetime_heatmap", "day", " ".join(f"h{h}" for h in range(24)), sql="SELECT ts::DATE AS day, " + ", ".join(f"avg(value) FILTER (hour(ts) = {h}) AS h{h}" for h in range(24)) + " FROM events WHERE user_id < 20 GROUP BY 1", digits=4)
+@query("datetime_heatmap", "entity day", " ".join(f"h{h}" for h in range(24)), sql="SELECT user_id AS entity, ts::DATE AS day, " + ", ".join(f"avg(value) FILTER (hour(ts) = {h}) AS h{h}" for h in range(24)) + " FROM events GROUP BY 1, 2", digits=4)
 def _(spark, sf):
-    ev = table(spark, sf, "events").where("user_id < 20").withColumns({"day": F.to_date("ts"), "hour": F.hour("ts")})
-    return ev.groupBy("day").pivot("hour", list(range(24))).agg(F.avg("value")).withColumnsRenamed({str(h): f"h{h}" for h in range(24)})
+    ev = table(spark, sf, "events").select(F.col("user_id").alias("entity"), F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "value")
+    return ev.groupBy("entity", "day").agg(*[F.avg(F.when(F.col("hour") == h, F.col("value"))).alias(f"h{h}") for h in range(24)])
