@@ -1,4 +1,4 @@
-"""Penalised cubic B-splines: normal equations summed in Spark, small solves per group."""
+"""Cubic splines per group: penalised ones from sums made in Spark, and smoothing splines with knots where residuals ask for them."""
 
 from __future__ import annotations
 
@@ -78,3 +78,98 @@ def penalized_spline(points: DataFrame, keys: list[str], n: int = 12, n_grid: in
 
     kinds = dict(points.dtypes)
     return agg.mapInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x double, fit double, se double, edf double, penalty double"]))
+
+
+def _basis(knots: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cubic B-splines of a knot vector with fourfold ends, by the two-term recurrence; x by basis function."""
+    m = len(knots) - 1
+    at = np.clip(np.searchsorted(knots, x, side="right") - 1, 3, m - 4)
+    b = np.zeros((len(x), m))
+    b[np.arange(len(x)), at] = 1.0
+    for d in range(1, 4):
+        low, high = knots[: m - d], knots[1 + d : m + 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(knots[d:m] > low, (x[:, None] - low) / (knots[d:m] - low), 0.0)
+            down = np.where(high > knots[1 : m + 1 - d], (high - x[:, None]) / (high - knots[1 : m + 1 - d]), 0.0)
+        b = up * b[:, :-1] + down * b[:, 1:]
+    return b
+
+
+def _jumps(knots: np.ndarray) -> np.ndarray:
+    """Jumps of the third derivative of each cubic B-spline at the inner knots."""
+    c = np.eye(len(knots) - 4)
+    for d in (3, 2, 1):
+        inner = knots[4 - d : len(knots) - 4 + d]
+        c = np.diff(c, axis=0) * (d / (inner[d:] - inner[:-d]))[:, None]
+    return np.diff(c, axis=0)
+
+
+def smooth(x: np.ndarray, y: np.ndarray, residual: float) -> tuple[np.ndarray, np.ndarray]:
+    """(knots, coefficients) of the smoothing spline through rising x whose squared residuals are a share `residual` of the variance.
+
+    Knots are set one by one, at a point in the middle of the stretch between two
+    knots that has the largest squared residuals, until least squares meets the
+    target.  With these knots, the spline whose third derivative jumps least and
+    that meets it is found by bisection of the weight of the jumps.
+    """
+    target = residual * ((y - y.mean()) ** 2).sum()
+    ends = lambda inner: np.concatenate([np.full(4, x[0]), np.sort(inner), np.full(4, x[-1])])
+    inner: list[float] = []
+    while True:
+        knots = ends(inner)
+        basis = _basis(knots, x)
+        c = np.linalg.lstsq(basis, y, rcond=None)[0]
+        off = (y - basis @ c) ** 2
+        if off.sum() <= target or len(inner) >= len(x) - 4:
+            break
+        stretch = np.searchsorted(np.sort(inner), x, side="right")
+        free = [(off[stretch == i].sum(), np.flatnonzero((stretch == i) & ~np.isin(x, inner) & (x > x[0]) & (x < x[-1]))) for i in range(len(inner) + 1)]
+        free = [(size, i, at) for i, (size, at) in enumerate(free) if len(at)]
+        if not free:
+            break
+        _, _, at = max(free, key=lambda f: (f[0], -f[1]))
+        inner.append(float(x[at[len(at) // 2]]))
+    if not inner or off.sum() >= target:
+        return knots, c
+    jumps = _jumps(knots)
+    scale = np.sqrt((basis**2).sum() / (jumps**2).sum())
+
+    def weighed(log_weight):
+        a = np.vstack([basis, 10.0**log_weight * scale * jumps])
+        c = np.linalg.lstsq(a, np.concatenate([y, np.zeros(len(jumps))]), rcond=None)[0]
+        return c, ((y - basis @ c) ** 2).sum()
+
+    low, high = -12.0, 8.0
+    if weighed(high)[1] <= target:
+        return knots, weighed(high)[0]
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if weighed(middle)[1] <= target else (low, middle)
+    return knots, weighed(low)[0]
+
+
+def smoothing_spline(points: DataFrame, keys: list[str], residual: float, n_grid: int = 1000, x: str = "x", y: str = "y") -> DataFrame:
+    """(keys, x, fit, knots): each group's smoothing spline on an even grid, and its number of inner knots.
+
+    points has a row per bin of a curve, so a group's points are one array;
+    points of one x count by their mean.  Groups of fewer than four are left out.
+    """
+    means = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x).agg(F.avg(y).alias("y"))
+    rows = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), "y"))).alias("p")).where(F.size("p") >= 4)
+    rows = rows.select(*keys, F.transform("p", lambda s: s["x"]).alias("px"), F.transform("p", lambda s: s["y"]).alias("py"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                px = np.array(row.px)
+                knots, c = smooth(px, np.array(row.py), residual)
+                part = pd.DataFrame({k: [getattr(row, k)] * n_grid for k in keys})
+                part["x"] = np.linspace(px[0], px[-1], n_grid)
+                part["fit"], part["knots"] = _basis(knots, part.x.to_numpy()) @ c, len(knots) - 8
+                out.append(part)
+            if out:
+                yield pd.concat(out)
+
+    kinds = dict(points.dtypes)
+    return rows.mapInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "x double, fit double, knots int"]))

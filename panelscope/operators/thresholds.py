@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .curves import crossings, fitted, on_grid, polyfit, prediction_se
 from ..functions import t_quantile
+from ..sources import materialize
+from .ordered import running_sum
 from .resample import draw
 
 
@@ -37,20 +39,26 @@ def threshold_band(points: DataFrame, keys: list[str], degree: int = 4, n_grid:
 def leave_one_out(curves: DataFrame, entity: str = "entity") -> DataFrame:
     """(removed, x, y, k, n_entities): median and number of the values at x without each entity in turn.
 
-    curves has one row per entity and bin.  Each bin's values are sorted once; the
-    median without an entity is read off next to the middle, so nothing is joined.
-    A bin's array has one value per entity at most.
+    curves has one row per entity and bin.  Values are ranked within their bins
+    by ranges; a median without one value lies among three neighbours in the
+    middle, and an entity's own rank tells which.  No array holds the entities.
     """
-    cells = curves.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("y", entity))).alias("s"))
-    names = curves.agg(F.array_sort(F.collect_set(entity)).alias("all"))
-    cells = cells.crossJoin(F.broadcast(names)).withColumn("members", F.transform("s", lambda e: e[entity]))
-    inside = cells.select("x", "s", F.size("all").alias("n_entities"), F.posexplode("members").alias("at", "removed"))
-    outside = cells.select("x", "s", F.size("all").alias("n_entities"), F.lit(None).cast("int").alias("at"), F.explode(F.array_except("all", "members")).alias("removed"))
-    rows = inside.unionByName(outside).withColumn("k", F.size("s") - F.col("at").isNotNull().cast("int"))
-    # the i-th value of those left, from 1
-    left = lambda i: F.get("s", (i - 1 + (F.coalesce(F.col("at") < i, F.lit(False))).cast("int")).cast("int"))["y"]
-    middle = (left(F.floor((F.col("k") + 1) / 2)) + left(F.floor((F.col("k") + 2) / 2))) / 2
-    return rows.where("k > 0").select("removed", "x", middle.alias("y"), "k", "n_entities")
+    ranked = materialize(running_sum(curves.select(entity, "x", "y"), ["x"], ["y", entity], F.lit(1), "rank"))
+    sizes = ranked.groupBy("x").agg(F.count("*").alias("n"))
+    # of the n - 1 values left, the middle one is at this rank, or the next one too
+    at = F.floor(F.col("n") / 2)
+    rows = ranked.join(sizes, "x")
+    near = [F.max(F.when(F.col("rank") == at + i, F.col("y"))).alias(f"v{i}") for i in range(3)]
+    bins = rows.groupBy("x").agg(F.first("n").alias("n"), *near)
+    everyone = ranked.select(entity).distinct()
+    spine = everyone.crossJoin(bins).crossJoin(everyone.agg(F.count("*").alias("n_entities")))  # bins are few
+    own = spine.join(ranked.select(entity, "x", "rank"), [entity, "x"], "left")
+    odd, r = F.col("n") % 2 == 1, F.col("rank")
+    first, second = F.when(r > at, F.col("v0")).otherwise(F.col("v1")), F.when(r > at + 1, F.col("v1")).otherwise(F.col("v2"))
+    without = F.when(odd, (first + second) / 2).otherwise(first)
+    whole = F.when(odd, F.col("v1")).otherwise((F.col("v0") + F.col("v1")) / 2)
+    k = F.col("n") - r.isNotNull().cast("int")
+    return own.select(F.col(entity).alias("removed"), "x", F.when(r.isNull(), whole).otherwise(without).alias("y"), k.alias("k"), "n_entities").where("k > 0")
 
 
 def resampled(curves: DataFrame, n_rep: int, seed: int, entity: str = "entity") -> DataFrame:

@@ -114,7 +114,10 @@ def _(spark, sf):
     return C.ale_crossings(curves15(spark, sf), ["entity"], "yd")
 
 
-@query("curve_peak")
+VIEWS["g2p"] = "SELECT *, lag(y) OVER w AS yl, lead(y) OVER w AS yr, lead(x) OVER w AS xr FROM (" + grid_sql("f4_fit", "entity", 200) + ") WINDOW w AS (PARTITION BY entity ORDER BY x)"
+
+
+@query("curve_peak", "entity", "peak_x peak_y", views=f"{_B} {_F4} g2p", digits=5, sql="SELECT entity, x + coalesce(shift, 0) * coalesce(xr - x, 0) AS peak_x, y - coalesce(0.25 * (yl - yr) * shift, 0) AS peak_y FROM (SELECT *, CASE WHEN yl - 2 * y + yr < 0 THEN 0.5 * (yl - yr) / (yl - 2 * y + yr) END AS shift, row_number() OVER (PARTITION BY entity ORDER BY y DESC, x) AS place FROM g2p) WHERE place = 1")
 def _(spark, sf):
     return C.refine_peak(C.polyfit(curves15(spark, sf), ["entity"]), ["entity"])
 
@@ -276,12 +279,12 @@ def _(spark, sf):
 
 @query("estimator_sweep_splines")
 def _(spark, sf):
-    """The four spline settings: the largest penalty at which the residuals' share of the variance stays below each factor."""
+    """The four spline settings: knots set by the residuals until their share of the variance meets each factor."""
     return spline_sweep(across_curve(binned(spark, sf)))
 
 
 def spline_sweep(pts):
-    fits = [splines.penalized_spline(pts, ["one"], n_grid=1000, residual=r).withColumn("setting", F.lit(f"spline {r}")) for r in PENALTIES]
+    fits = [splines.smoothing_spline(pts, ["one"], r).withColumn("setting", F.lit(f"spline {r}")) for r in PENALTIES]
     return C.crossings(reduce(lambda a, b: a.unionByName(b), fits), ["setting"], "fit")
 
 

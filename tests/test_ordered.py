@@ -174,3 +174,65 @@ def test_effects_use_exact_edges(spark):
     out = models.ale(df, "a", [], lambda x: 2 * x["a"], bins=10).collect()
     xs = np.array([r.a for r in df.where("entity = 1").collect()])
     assert np.allclose(sorted(r.x for r in out if r.entity == 1), np.quantile(xs, np.linspace(0, 1, 11))[1:])
+
+
+def plain_smooth(x, y, share):
+    """The smoothing spline in powers: 1, x, x^2, x^3 and (x - knot)^3 right of each knot."""
+    target = share * ((y - y.mean()) ** 2).sum()
+    u = (x - x[0]) / (x[-1] - x[0])
+
+    def matrix(knots):
+        return np.column_stack([np.ones_like(u), u, u**2, u**3, *(np.maximum(u - k, 0) ** 3 for k in knots)])
+
+    def fit(knots, weight):
+        a = matrix(knots)
+        penalty = np.zeros((len(knots), a.shape[1]))
+        penalty[:, 4:] = weight * np.eye(len(knots))
+        c = np.linalg.lstsq(np.vstack([a, penalty]), np.concatenate([y, np.zeros(len(knots))]), rcond=1e-15)[0]
+        return a @ c
+
+    knots = []
+    while ((y - fit(knots, 0)) ** 2).sum() > target:
+        off = (y - fit(knots, 0)) ** 2
+        edges = [-1.0, *sorted(knots), 2.0]
+        worst = None
+        for a, b in itertools.pairwise(edges):
+            inside = [i for i in range(len(u)) if a <= u[i] < b]
+            free = [i for i in inside if u[i] not in knots and 0 < i < len(u) - 1]
+            if free and (worst is None or sum(off[i] for i in inside) > worst[0]):
+                worst = (sum(off[i] for i in inside), u[free[len(free) // 2]])
+        knots.append(worst[1])
+    knots.sort()
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2 if low else high / 4 if high > 1e-9 else 0
+        low, high = (middle, high) if ((y - fit(knots, middle)) ** 2).sum() <= target else (low, middle)
+    return knots, fit(knots, low)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.01, 0.05, 0.1])
+def test_smoothing_splines_against_powers(spark, share):
+    from panelscope.operators import splines
+
+    rng = np.random.default_rng(12)
+    x = np.sort(rng.uniform(-2, 3, 45))
+    y = np.sin(2 * x) + 0.3 * x + rng.normal(0, 0.02, 45)
+    knots, c = splines.smooth(x, y, share)
+    fit = splines._basis(knots, x) @ c
+    want_knots, want = plain_smooth(x, y, share)
+    assert np.allclose((knots[4:-4] - x[0]) / (x[-1] - x[0]), want_knots)
+    assert np.abs(fit - want).max() < 1e-6
+    assert abs(((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum() / share - 1) < 1e-6
+    # points of one x count by their mean, in any order, with groups side by side
+    rows = [(g, float(a), float(b) + d) for g in ("p", "q") for a, b in zip(x, y, strict=True) for d in (-1.0, 1.0)] + [("few", 0.0, 1.0), ("p", None, 1.0)]
+    out = splines.smoothing_spline(spark.createDataFrame(rows, "g string, x double, y double").repartition(3), ["g"], share, n_grid=50).toPandas()
+    assert sorted(set(out.g)) == ["p", "q"]
+    assert np.allclose(out[out.g == "p"].fit, splines._basis(knots, np.linspace(x[0], x[-1], 50)) @ c, atol=1e-8)
+
+
+def test_leaving_one_out_holds_no_list_of_entities(spark):
+    from panelscope.operators import thresholds
+
+    out = thresholds.leave_one_out(spark.createDataFrame([(e, float(x), float(e * x % 5)) for e in range(20) for x in range(4)], "entity long, x double, y double"))
+    assert "collect_" not in plan(out)
+    assert out.count() == 80

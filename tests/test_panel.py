@@ -221,29 +221,6 @@ def test_oof_models_are_isolated_and_additive(spark):
     assert np.allclose(out[out.fold == 0].sort_values("id").pred, other[other.fold == 0].sort_values("id").pred)
 
 
-def test_oof_models_do_not_group_an_entitys_rows(spark):
-    from panelscope.operators import models
-
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(600, 2))
-    rows = [(1 + (i % 6 == 0), i, float(a), float(b), float(np.sign(a) - b), i // 3 % 3, i % 7 == 0) for i, (a, b) in enumerate(x)] + [(3, 1000 + i, 1.0, 1.0, 1.0, i % 3, False) for i in range(6)]
-    df = spark.createDataFrame(rows, "entity long, id int, a double, b double, t double, fold int, inner boolean")
-    fit = lambda d: models.oof_predict(d, ["a", "b"], "t", ["id"], k=3, trees=3, depth=2, rate=0.5)
-    one, many = fit(df.coalesce(1)), fit(df.repartition(7))
-    # neither training nor scoring deals rows by entity: the result is a narrow pass
-    plan = many._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "FlatMapGroups" not in plan
-    a, b = one.toPandas().sort_values("id"), many.toPandas().sort_values("id")
-    # an entity of six rows has too few to train on
-    assert list(a.id) == list(b.id) == list(range(600)) and np.allclose(a.pred, b.pred)
-    # without draws of rows and features, settings fitted together are those fitted alone
-    whole = {"subsample": 1.0, "colsample": 1.0}
-    a = models.oof_predict(df, ["a", "b"], "t", ["id"], k=3, trees=3, depth=2, rate=0.5, **whole).toPandas()
-    best = models.tune(df, ["a", "b"], "t", ["id"], [{"trees": 1, "depth": 1, "rate": 0.1, **whole}, {"trees": 3, "depth": 2, "rate": 0.5, **whole}], k=3).collect()
-    want = {e: 1 - ((g.pred - g.y) ** 2).sum() / ((g.y - g.y.mean()) ** 2).sum() for e, g in a.groupby("entity")}
-    assert {r.entity: r.setting for r in best} == {1: 1, 2: 1} and all(abs(want[r.entity] - r.r2) < 1e-9 for r in best)
-
-
 def test_registry_is_complete():
     from panelscope.queries import ORACLE_SQL, QUERIES
 
