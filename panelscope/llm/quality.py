@@ -109,7 +109,8 @@ def held_out(id_col: str = "doc_id"):
 def train_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(place, text, label) of about `rows` labelled documents outside the held-out fifth, drawn by a hash of the id.
 
-    Ids with two labels take the larger one; null labels and ids are skipped.
+    Ids with two labels take the larger one; null labels and ids are skipped.  Of
+    rows of one id, one is taken, by a hash of its text.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).dropna().where(~held_out("_id")).groupBy("_id").agg(F.max("label").alias("label"))
@@ -118,7 +119,8 @@ def train_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, id_c
     if total > rows:
         known = known.where(place < int(2**62 * rows / total))
     # bounded: about `rows` rows of two numbers
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "_id").select(place.alias("place"), "text", "label")
+    drawn = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "_id")
+    return drawn.groupBy(place.alias("place"), "label").agg(F.max_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("place", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, **columns) -> tuple[float, np.ndarray]:

@@ -642,6 +642,16 @@ def test_ftrl_agrees_with_plain_python():
     assert all(w[k] == pytest.approx(weight(k), rel=1e-4, abs=1e-6) for k in range(50))
 
 
+def test_training_takes_one_row_of_an_id(spark):
+    """However often ids recur, the sample is bounded by ids, and it does not depend on the order of rows."""
+    rows = [(i % 50, f"text {i}") for i in range(2000)] + [(1, None)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id long, quality int, toxic int")
+    make = lambda r: quality.train_sample(spark.createDataFrame(r, "doc_id long, text string"), labels, "quality", 8000).collect()
+    one, two = make(rows), make(rows[::-1])
+    assert len(one) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(50))
+    assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+
+
 def test_quality_scores_are_dot_products_of_shares():
     """Scores from array arithmetic over a batch, against counting each text's n-grams one by one."""
     texts = [(t or "") for _, t, *_ in corpus()][:70]
