@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import running_sum
+
 _PRIME, _MODULUS = 48271, 2147483647
 
 
@@ -48,11 +50,21 @@ def array_median(a: Column) -> Column:
 
 
 def kfold(df: DataFrame, keys: list[Column], k: int = 5, seed: int = 42, by: str = "entity") -> DataFrame:
-    """fold 0..k-1, shuffled by draw() of up to two integer keys; inner is True for the validation share (15 %) of training rows."""
+    """fold 0..k-1 by draw() of up to two integer keys, without a shuffle, so that sizes vary as draws do; inner is True for the validation share (15 %) of training rows."""
     key = draw(keys[0], keys[1], seed)
     return df.withColumns({"fold": (key % k).cast("int"), "inner": (F.floor(key / k) % 100) < 15})
 
 
+def balanced_kfold(df: DataFrame, keys: list[Column], order: list[str], k: int = 5, seed: int = 42, by: str = "entity") -> DataFrame:
+    """fold 0..k-1 of sizes that differ by one row at most within an entity: places in the order of draw(), then of `order`, dealt in turn.
+
+    Places come from ranges, so a large entity is not sorted by one task; `order`
+    tells the rows of an entity apart.
+    """
+    placed = running_sum(df.withColumn("_draw", draw(keys[0], keys[1], seed)), [by], ["_draw", *order], F.lit(1), "_place")
+    return placed.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_draw", "_place")
+
+
 def leave_one_year_out(df: DataFrame, by: str = "entity", ts: str = "ts") -> DataFrame:
     """fold = rank of the calendar year within its entity, from 0; entities of one year are left out."""
     years = df.select(by, F.year(ts).alias("year")).distinct()

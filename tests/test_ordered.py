@@ -236,3 +236,17 @@ def test_leaving_one_out_holds_no_list_of_entities(spark):
     out = thresholds.leave_one_out(spark.createDataFrame([(e, float(x), float(e * x % 5)) for e in range(20) for x in range(4)], "entity long, x double, y double"))
     assert "collect_" not in plan(out)
     assert out.count() == 80
+
+
+def test_balanced_folds_differ_by_one_row(spark):
+    from panelscope.operators import resample
+
+    df = spark.createDataFrame([(1 if i % 9 else 2, i) for i in range(1003)], "entity int, i int")
+    out = resample.balanced_kfold(df, [F.col("i"), F.lit(3)], ["i"]).groupBy("entity", "fold").count().collect()
+    for e in (1, 2):
+        sizes = [r["count"] for r in out if r.entity == e]
+        assert len(sizes) == 5
+        assert max(sizes) - min(sizes) <= 1
+    # neighbours do not share folds by rule
+    folds = [r.fold for r in resample.balanced_kfold(df, [F.col("i"), F.lit(3)], ["i"]).where("entity = 1").orderBy("i").collect()]
+    assert len({b - a for a, b in itertools.pairwise(folds)}) == 9
