@@ -91,8 +91,9 @@ def order_statistics(df: DataFrame, by: list[str], x: str, ranks: Column, held:
     info = materialize(rows.groupBy(*_G).agg(F.count("*").alias("n")).withColumns({"ranks": F.array_distinct(ranks), "off": F.lit(0).cast("long")}))
     sizes, live, found = info.select("_group", "n"), rows, []
     while True:
-        small = live.join(info.where(F.col("n") <= held).select(*_G, "ranks", "off"), _G)
-        sorted_ = small.groupBy(*_G).agg(F.array_sort(F.collect_list("x")).alias("a"), F.first("ranks").alias("ranks"), F.first("off").alias("off"))
+        few = info.where(F.col("n") <= held)
+        small = live.join(few.select(*_G), _G, "left_semi").groupBy(*_G).agg(F.array_sort(F.collect_list("x")).alias("a"))
+        sorted_ = small.join(few.select(*_G, "ranks", "off"), _G)
         found.append(sorted_.select("_group", F.explode("ranks").alias("r"), "off", "a").select("_group", (F.col("r") + F.col("off")).alias("rank"), F.element_at("a", (F.col("r") + 1).cast("int")).alias("x")))
         large = info.where(F.col("n") > held)
         if large.isEmpty():

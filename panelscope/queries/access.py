@@ -318,7 +318,7 @@ FROM (SELECT * FROM stage WHERE stage = 8) a CROSS JOIN (VALUES ('plain'), ('str
 def _(spark, sf):
     from ..plans.panels import staged
 
-    st = staged(spark, sf)
+    st = sources.materialize(staged(spark, sf).where("stage in (7, 8)").select("entity", "stage", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ts", "heat_z", "soil_z", "light_z"))
     pairs = [joins.caliper_nearest(st.where("stage = 8"), st.where("stage = 7"), ["heat_z", "soil_z", "light_z"], 0.5, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "ts"], strict=s).withColumn("mode", F.lit("strict" if s else "plain")) for s in (False, True)]
     return pairs[0].unionByName(pairs[1]).groupBy("mode").agg(F.count("*").alias("n"), F.count("match").alias("matched"), F.avg("d2").alias("d2"))
 
