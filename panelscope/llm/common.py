@@ -53,18 +53,25 @@ class Workspace:
         if rows is not None:
             df = df.coalesce(1 + rows // FILE_ROWS)
         path = f"{root}/{name}-{uuid.uuid4().hex}" if root else f"{self.root}/{self.n:03d}-{name}"
+        self._cleaned(lambda: df.write.parquet(path))
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._panelscope_path = path
+        return out
+
+    def insert(self, df: DataFrame, name: str) -> None:
+        """Write df to a table of the catalogue, column by column."""
+        self._cleaned(lambda: df.write.insertInto(name))
+
+    def _cleaned(self, write) -> None:
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            write()
         finally:
             if before is None:
                 self.spark.conf.unset(_CLEANUP)
             else:
                 self.spark.conf.set(_CLEANUP, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._panelscope_path = path
-        return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of save() that nothing reads any more."""

@@ -10,9 +10,11 @@ immutable runs on the shared folder, in three levels:
 * window runs: 128-bit fingerprint of each whole window whose anchor stands in
   documents that differ, with the first document it starts in.
 
-A new batch is merge-joined with the runs; the windows of documents that share an
-anchor, in the batch or before it, are then verified by their whole window
-fingerprints.  Runs are compacted when there are more than MAX_RUNS.  A manifest
+Runs are bucketed by hash and sorted within their buckets, one file each, so Spark
+merge-joins a new batch with them bucket by bucket: only the batch is shuffled and
+sorted, never the history.  The windows of documents that share an anchor, in the
+batch or before it, are then verified by their whole window fingerprints.  Runs are
+compacted when there are more than MAX_RUNS; that alone shuffles them.  A manifest
 in the index's folder lists the runs, so that a later session can go on.
 
 Words enter fingerprints as two values of a keyed pseudo-random function of their
@@ -27,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import json
 import secrets
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,6 +192,14 @@ def _cut_rows(keys: Keys):
     return run
 
 
+#: The columns that bucket and sort the runs of each level, and all its columns.
+LEVELS = {
+    "document": (("print",), "print long, second long, head long"),
+    "anchor": (("anchor",), "anchor long, low long, high long"),
+    "window": (("h1", "h2"), "h1 long, h2 long, first_doc long"),
+}
+
+
 class FingerprintIndex:
     """The index of all batches so far.  Batches come in ascending order of doc_id.
 
@@ -195,62 +207,102 @@ class FingerprintIndex:
     index that it holds is opened, else a new one is begun.  Runs and manifests
     are never changed: a batch adds runs and then a manifest, so an index whose
     writer died is opened as it was before that batch.
-    """
 
-    LEVELS = ("document", "anchor", "window")
+    buckets is the number of buckets of each run of a new index, by default the
+    session's number of shuffle partitions; an index that is opened keeps its own.
+    The session takes the order of bucketed files as it is, which Spark does not
+    unless told to.
+    """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
         self.spark, self.root, self.ws = spark, root or f"{shared_folder(spark)}-index", Workspace(spark)
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
         made = [n for n in children(spark, self.root) if n.startswith("manifest-")]
         state = json.loads(spark.read.text(f"{self.root}/{max(made)}").first()[0]) if made else None
         self.generation = int(max(made).split("-")[1]) if made else 0
         self.keys: Keys = tuple(map(tuple, state["keys"])) if state else new_keys()
-        self.runs: dict[str, list[DataFrame]] = {level: [self._opened(p) for p in state["runs"][level]] if state else [] for level in self.LEVELS}
-
-    def _opened(self, path: str) -> DataFrame:
-        run = self.spark.read.parquet(path)
+        self.buckets: int = state["buckets"] if state else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: dict[str, list[DataFrame]] = {level: [self._opened(p, *LEVELS[level]) for p in state["runs"][level]] if state else [] for level in LEVELS}
+
+    def _named(self, path: str, keys: tuple[str, ...], schema: str) -> str:
+        """A catalogue name for the bucketed files of a folder, to be dropped when it has been used; the files stay then."""
+        name, by, at = f"panelscope_{uuid.uuid4().hex}", ", ".join(keys), path.replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        return name
+
+    def _opened(self, path: str, keys: tuple[str, ...], schema: str) -> DataFrame:
+        name = self._named(path, keys, schema)
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
         run._panelscope_path = path
         return run
 
-    def _write(self, level: str, run: DataFrame, *order: str) -> DataFrame:
-        """A new run, sorted within its files."""
-        return self.ws.save(run.sortWithinPartitions(*order), f"{level}-run", self.root)
+    def _write(self, kind: str, run: DataFrame, keys: tuple[str, ...], schema: str) -> DataFrame:
+        """A new table of the index, one sorted file for each bucket."""
+        path = f"{self.root}/{kind}-{uuid.uuid4().hex}"
+        name = self._named(path, keys, schema)
+        try:
+            self.ws.insert(run.repartition(self.buckets, *keys), name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+        return self._opened(path, keys, schema)
 
     def commit(self) -> None:
         """List the runs in a new manifest."""
         self.generation += 1
-        state = {"keys": self.keys, "runs": {level: [r._panelscope_path for r in runs] for level, runs in self.runs.items()}}
+        state = {"keys": self.keys, "buckets": self.buckets, "runs": {level: [r._panelscope_path for r in runs] for level, runs in self.runs.items()}}
         self.spark.range(1).select(F.lit(json.dumps(state)).alias("value")).coalesce(1).write.text(f"{self.root}/manifest-{self.generation:06d}")
 
-    def _union(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out
+    def merged(self, level: str) -> DataFrame:
+        """The rows of all runs of a level, one for each key.
+
+        The files of all runs are read as one table without buckets.  A union of
+        the runs would not do: Spark 4.1 takes a union of bucketed scans for
+        bucketed, although it puts their buckets one after another.
+        """
+        runs = self.spark.read.schema(LEVELS[level][1]).parquet(*(run._panelscope_path for run in self.runs[level]))
+        if level == "document":
+            return runs.groupBy("print", "second").agg(F.min("head").alias("head"))
+        if level == "anchor":
+            ends = runs.groupBy("anchor").agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
+            return ends.select("anchor", "low", _other("low", "high"))
+        return runs.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
 
     def compact(self) -> None:
         """Merge the runs of each level into one."""
-        d = self._union(self.runs["document"]).groupBy("print", "second").agg(F.min("head").alias("head"))
-        a = self._union(self.runs["anchor"]).groupBy("anchor").agg(F.min("low").alias("low"), F.max(F.coalesce("high", "low")).alias("high"))
-        w = self._union(self.runs["window"]).groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"))
-        merged = {"document": (d, "print"), "anchor": (a.select("anchor", "low", _other("low", "high")), "anchor"), "window": (w, "h1", "h2")}
-        for level, (run, *order) in merged.items():
-            old, self.runs[level] = self.runs[level], [self._write(level, run, *order)]
+        for level in LEVELS:
+            old, self.runs[level] = self.runs[level], [self._write(level, self.merged(level), *LEVELS[level])]
             for run in old:
                 self.ws.drop(run)
 
+    def _with_past(self, rows: DataFrame, level: str, on, *values: str) -> DataFrame:
+        """rows, one for each key, and as past_<value>_<n> what run n of a level has for it (null: nothing)."""
+        for n, run in enumerate(self.runs[level]):
+            names = {c: f"past_{c}_{n}" for c in run.columns}
+            run = run.select(*(F.col(c).alias(name) for c, name in names.items()))
+            rows = rows.join(run, on(lambda c, names=names: F.col(names[c])), "left").drop(*(name for c, name in names.items() if c not in values))
+        return rows
+
+    def _past(self, how, level: str, value: str):
+        """One column of those of _with_past()."""
+        columns = [F.col(f"past_{value}_{n}") for n in range(len(self.runs[level]))]
+        return columns[0] if len(columns) == 1 else how(*columns)
+
     def add(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
         """Take in a batch (doc_id, text); returns doc_id, windows (fingerprints of those repeated) and copies (prints of its texts that an earlier document has).
 
         corpus holds the texts of all batches so far, this one included; only
         documents that share an anchor are expanded from it again.
         """
-        ws, past_documents, past_anchors, past_windows = self.ws, *(self.runs[level] for level in self.LEVELS)
+        ws, later = self.ws, bool(self.runs["document"])
         rows = ws.save(batch.where("doc_id is not null").mapInArrow(_anchor_rows(self.keys), "anchor long, print long, doc_id long"), "anchors")
         own = rows.where("doc_id is not null").select("doc_id", "print", F.col("anchor").alias("second"))
         heads = own.groupBy("print", "second").agg(F.min("doc_id").alias("head"))
-        if past_documents:
-            heads = heads.join(self._union(past_documents).withColumnRenamed("head", "old"), ["print", "second"], "left").select("print", "second", F.coalesce("old", "head").alias("head"), F.col("old").isNull().alias("new"))
+        if later:
+            # the second half is compared, but no key of the join: runs are bucketed by the first
+            heads = self._with_past(heads, "document", lambda past: (F.col("print") == past("print")) & (F.col("second").bitwiseXOR(past("second")) == 0), "head")
+            old = self._past(F.least, "document", "head")
+            heads = heads.select("print", "second", F.coalesce(old, "head").alias("head"), old.isNull().alias("new"))
         else:
             heads = heads.withColumn("new", F.lit(True))
         heads = ws.save(heads, "heads")
@@ -259,39 +311,39 @@ class FingerprintIndex:
 
         met = rows.where("doc_id is null").select("anchor", "print")
         run = met.groupBy("anchor").agg(F.min("print").alias("low"), F.max("print").alias("high"))
-        run = self._write("anchor", run.select("anchor", "low", _other("low", "high")), "anchor")
-        if past_anchors:
-            # merge join of the batch's anchors with the history
-            before = self._union([r.select("anchor", F.col("low").alias("old_low"), F.coalesce("high", "low").alias("old_high")) for r in past_anchors])
-            before = run.select("anchor").join(before, "anchor").groupBy("anchor").agg(F.min("old_low").alias("old_low"), F.max("old_high").alias("old_high"))
-            both = ws.save(run.join(before, "anchor", "left").where("least(low, coalesce(old_low, low)) < greatest(coalesce(high, low), coalesce(old_high, low))"), "shared")
+        run = self._write("anchor", run.select("anchor", "low", _other("low", "high")), *LEVELS["anchor"])
+        if later:
+            both = self._with_past(run, "anchor", lambda past: F.col("anchor") == past("anchor"), "low", "high")
+            for n in range(len(self.runs["anchor"])):
+                both = both.withColumn(f"past_high_{n}", F.coalesce(f"past_high_{n}", f"past_low_{n}"))
+            both = both.select("anchor", "low", "high", self._past(F.least, "anchor", "low").alias("old_low"), self._past(F.greatest, "anchor", "high").alias("old_high"))
+            both = ws.save(both.where("least(low, coalesce(old_low, low)) < greatest(coalesce(high, low), coalesce(old_high, low))"), "shared")
             # an anchor that documents of one print had in the past: their windows are not in the window runs yet
             alone = both.where("old_low = old_high").select(F.col("old_low").alias("print"), "anchor")
-            shared = both.select("anchor")
-            known_heads = self._union([*(r.select("print", "head") for r in past_documents), heads.where("new").select("print", "head")])
             # copies of documents of the past have no windows of their own
-            need = met.join(shared, "anchor").join(heads.where("not new").select("print"), "print", "left_anti").select("print", "anchor").union(alone)
+            need = met.join(both.select("anchor"), "anchor").join(heads.where("not new").select("print"), "print", "left_anti").select("print", "anchor").union(alone)
         else:
             shared = ws.save(run.where("high is not null").select("anchor"), "shared")
-            known_heads, need = heads.select("print", "head"), met.join(shared, "anchor").select("print", "anchor")
-        need = need.groupBy("print").agg(F.collect_set("anchor").alias("anchors")).join(known_heads, "print").select(F.col("head").alias("doc_id"), "anchors")
-        need = ws.save(need, "need")
+            need = met.join(shared, "anchor").select("print", "anchor")
+        need = need.groupBy("print").agg(F.collect_set("anchor").alias("anchors"))
+        known_heads = [*self.runs["document"], heads.where("new")]
+        need = ws.save(reduce(DataFrame.unionByName, [need.join(h.select("print", F.col("head").alias("doc_id")), "print").select("doc_id", "anchors") for h in known_heads]), "need")
         windows = ws.save(corpus.select("doc_id", "text").join(need, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_window_rows(self.keys), "h1 long, h2 long, doc_id long"), "windows")
-        fresh = ws.save(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), "fresh")
+        keys, schema = LEVELS["window"]
+        fresh = self._write("fresh", windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")), keys, f"{schema}, last_doc long")
         known = fresh
-        if past_windows:
-            past = self._union(past_windows).select("h1", "h2", F.col("first_doc").alias("past"))
-            past = past.groupBy("h1", "h2").agg(F.min("past").alias("past"))
-            known = fresh.join(past, ["h1", "h2"], "left").select("h1", "h2", F.least("first_doc", "past").alias("first_doc"), "last_doc")
+        if later:
+            known = self._with_past(fresh, "window", lambda past: (F.col("h1") == past("h1")) & (F.col("h2") == past("h2")), "first_doc")
+            known = known.select("h1", "h2", F.least("first_doc", self._past(F.least, "window", "first_doc")).alias("first_doc"), "last_doc")
         known = known.where("first_doc < last_doc").select("h1", "h2", "first_doc")
         repeated = windows.join(known, ["h1", "h2"]).where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("windows"))
         repeated = repeated.withColumn("copy", F.lit(None).cast("struct<print: long, second: long>"))
         # one row per document, however many rows have its id
         found = repeated.unionByName(copies).groupBy("doc_id").agg(F.first("windows", ignorenulls=True).alias("windows"), F.collect_set("copy").alias("copies"))
         found = ws.save(found, "found")
-        self.runs["document"].append(self._write("document", heads.where("new").select("print", "second", "head"), "print"))
+        self.runs["document"].append(self._write("document", heads.where("new").select("print", "second", "head"), *LEVELS["document"]))
         self.runs["anchor"].append(run)
-        self.runs["window"].append(self._write("window", fresh.select("h1", "h2", "first_doc"), "h1", "h2"))
+        self.runs["window"].append(self._write("window", fresh.select("h1", "h2", "first_doc"), keys, schema))
         for done in (windows, rows, heads, need, fresh):
             ws.drop(done)
         if len(self.runs["anchor"]) > MAX_RUNS:

@@ -238,6 +238,46 @@ def test_repeats_of_one_id_and_a_reopened_index(spark, tmp_path):
     assert again.runs["window"][0].count() > 0
 
 
+def shuffled_rows(spark, after):
+    """(rows written to shuffles by stages numbered above after, the highest stage number)."""
+    gate = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gate.new_array(gate.jvm.double, 0), None)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in stages if x.stageId() > after), max((x.stageId() for x in stages), default=-1)
+
+
+def test_history_is_merged_without_a_shuffle(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(600)]
+    texts += [f"{texts[5]} {texts[6]}", texts[7], " ".join(texts[8].split()[:40]) + " new words"]
+    texts[300:303] = texts[0], f"{texts[1]} again", texts[2]  # so that runs share keys
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index")
+        for low, high in ((0, 300), (300, 600)):
+            index.add(df.where(f"doc_id >= {low} and doc_id < {high}"), df.where(f"doc_id < {high}"))
+        history = sum(r.count() for r in index.runs["anchor"])
+        for level, (keys, _) in substring_dedup.LEVELS.items():
+            merged, want = index.merged(level), collections.Counter(tuple(r[k] for k in keys) for run in index.runs[level] for r in run.collect())
+            assert sorted(tuple(r[k] for k in keys) for r in merged.collect()) == sorted(want)  # once each, though two runs hold some
+            pair = index.runs[level][0].join(index.runs[level][1].withColumnsRenamed({c: f"_{c}" for c in ("low", "high", "head", "second", "first_doc")}), list(keys), "left")
+            assert not re.search("Exchange|Sort ", pair._jdf.queryExecution().toString())
+        index.runs, reopened = {}, substring_dedup.FingerprintIndex(spark, f"{tmp_path}/index")
+        _, last = shuffled_rows(spark, -1)
+        reopened.ws.drop, reopened.compact = (lambda t: None), (lambda: None)
+        found = {r.doc_id: r for r in reopened.add(df.where("doc_id >= 600"), df).collect()}
+        moved, _ = shuffled_rows(spark, last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert set(found) == {600, 601, 602} and len(found[600].windows) == 2 * 68 and len(found[601].copies) == 1 and len(found[602].windows) == 28
+    # the texts of the past are looked through for three documents; none of its prints, anchors and windows moves
+    assert moved < 4 * len(texts) < history, (moved, history)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("panelscope_")]
+
+
 def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(6)
     centre = rng.normal(size=(5, 24))
