@@ -49,10 +49,10 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 class _Pool:
-    """Arrays of token ids by number, in one growing array."""
+    """Arrays of token ids (or bytes) by number, in one growing array."""
 
-    def __init__(self):
-        self.ids, self.starts, self.sizes, self.used = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+    def __init__(self, dtype: type = np.uint32):
+        self.ids, self.starts, self.sizes, self.used = np.empty(1 << 16, dtype), np.empty(0, np.int64), np.empty(0, np.int64), 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.ids):
@@ -99,7 +99,9 @@ class WordEncoder:
     parts that its pre-tokenizer splits words into.  So words are looked up, by
     64-bit keyed hashes from array arithmetic under a key of the encoder's own, and
     so are the parts of new words; only parts not seen yet are handed to the
-    library, many at once.
+    library, many at once.  A hash only finds a word: its bytes are compared with
+    those of the word that the ids were made for, and texts in which two words
+    share a hash are handed over whole.
     Words outside plain Latin, or that hold what looks like a special token, are
     handed over whole.  So are all texts where the tokenizer file normalises or
     splits in any other way than this relies on.
@@ -123,7 +125,7 @@ class WordEncoder:
         self.key = secrets.randbits(64), secrets.randbits(64)
         self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # hashes of words in order, and the words' numbers
         self.parts = _Numbers()
-        self.of_word, self.of_part = _Pool(), _Pool()
+        self.of_word, self.of_part, self.spelling = _Pool(), _Pool(), _Pool(np.uint8)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -158,11 +160,16 @@ class WordEncoder:
             ids, sizes = self._library([fresh[i] for i in whole])
             self.of_word.put(at + np.array(whole), ids, sizes)
 
+    def _whole(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts, each with the end id, by the library alone."""
+        got = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return [np.array([*e.ids, self.end_id], np.uint32) for e in got]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
         end = np.array([self.end_id], np.uint32)
         if not self.by_words:
-            return [np.append(np.array(e.ids, np.uint32), end) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return self._whole(texts)
         if len(self.known) > CACHE_WORDS:
             self.reset()
         odd = [bool(t) and bool(_ODD.search(t)) for t in texts]
@@ -173,9 +180,14 @@ class WordEncoder:
         found &= at < len(self.known)
         numbers, new = np.empty(len(keys), np.int64), np.flatnonzero(~found)
         numbers[found] = self.number[at[found]]
+        alike = zip(words.bytes_of(first[found]), self.spelling.take(numbers[found]), strict=True)
+        if not (words.same(first[inverse]).all() and all(np.array_equal(a, b) for a, b in alike)):
+            self.reset()  # under another key
+            return self._whole(texts)
         if len(new):
             numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
             self.known, self.number = np.insert(self.known, at[new], keys[new]), np.insert(self.number, at[new], numbers[new])
+            self.spelling.add(*words.bytes_of(first[new]))
             raw = words.data.tobytes()
             self._learn([raw[a:b].decode() for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)])
         ids, sizes = self.of_word.take(numbers[inverse])

@@ -131,19 +131,28 @@ class Words:
         a, b, c, d = _sip_rounds(state, 4)
         return self._digests(a ^ b ^ c ^ d, key[0].to_bytes(8, "little") + key[1].to_bytes(8, "little"))
 
-    def codes(self) -> np.ndarray:
-        """A number per word: equal for equal words and, unlike a hash, only for these."""
-        _, first, code = np.unique(self.hashes(), return_index=True, return_inverse=True)
-        like = first[code]
+    def same(self, like: np.ndarray) -> np.ndarray:
+        """Whether each word's bytes are those of word like[i]."""
         same = (self.end - self.start) == (self.end - self.start)[like]
-        have = np.zeros(len(code), np.uint64)
+        have = np.zeros(len(like), np.uint64)
         for who, _, eight in self._chunks():
             have[who] = eight
             same[who] &= have[like[who]] == eight
         for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
             j = int(like[i])
             same[i] &= np.array_equal(self.data[self.start[i] : self.end[i]], self.data[self.start[j] : self.end[j]])
-        if same.all():
+        return same
+
+    def bytes_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of some words in a row, their sizes)."""
+        sizes = self.end[which] - self.start[which]
+        before = np.cumsum(sizes) - sizes
+        return self.data[np.repeat(self.start[which] - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def codes(self) -> np.ndarray:
+        """A number per word: equal for equal words and, unlike a hash, only for these."""
+        _, first, code = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        if self.same(first[code]).all():
             return code
         seen: dict[bytes, int] = {}
         raw = self.data.tobytes()

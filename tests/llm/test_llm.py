@@ -370,6 +370,20 @@ def test_encoder_is_exact_on_odd_texts():
     assert [x.tolist() for x in packing.WordEncoder(path).encode(texts)] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_encoder_tells_words_of_one_hash_apart(monkeypatch):
+    """Words whose hashes are equal, within a batch or in batches one after the other, still get their own ids."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    for prf in (lambda w, key: (w.end - w.start).astype(np.uint64), lambda w, key: np.zeros(len(w.start), np.uint64)):
+        monkeypatch.setattr(packing.textscan.Words, "prf", prf)
+        encoder = packing.WordEncoder(path)
+        for texts in (["one fourth", None, ""], ["two", "fourth one"], ["six tens six", "x" * 5000 + " one"], ["y" * 5000]):
+            assert [x.tolist() for x in encoder.encode(texts)] == [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
 def weigh(tokens, e):
     whole = sum(tokens)
     raw = [(t / whole) ** e for t in tokens]
