@@ -12,7 +12,7 @@ from .common import Workspace, ascii_lower, drop_rows
 
 #: Rows that a bucket of the index may hold before it is split.
 CAPACITY = 8192
-#: Repeated keys up to this number (eight bytes each) are broadcast to thin out the texts that are compared.
+#: Keys (24 bytes each with bucket and count) that are broadcast: all repeated ones or, of more, the most frequent.
 BROADCAST_KEYS = 500_000
 
 
@@ -70,17 +70,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def chains_of(ws: Workspace, docs: DataFrame, directory: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The bucket chains of repeated keys, as a table: bucket, key, chain (place among the key's texts), sha, keep_id, group_size.
 
-    Copies of one text are counted within tasks before anything is shuffled.  The
+    Copies of the texts of the most frequent keys are counted within tasks before
+    anything is shuffled, all texts of repeated keys if these are few.  The
     owner of a range of (bucket, key) then holds what is left in order of bytes:
     texts that share a key without being equal follow each other as its chain.
     """
-    repeated = directory.where("n > 1").select("key", "bucket")
-    # both ways give the same rows: the broadcast spares a shuffle of texts that occur once
-    if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
-        repeated = F.broadcast(repeated)
+    repeated = directory.where("n > 1").select("key", "bucket", "n")
     body = ascii_lower(text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), body.alias("body")).withColumn("key", key_of(F.col("body")))
-    counted = texts.join(repeated, "key").groupBy("bucket", "key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # both ways give the same rows: the broadcast spares a shuffle of texts that occur once
+    if repeated.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        owned_texts = texts.join(F.broadcast(repeated), "key")
+    else:  # only the most frequent keys are broadcast; none of the others has more than a BROADCAST_KEYS-th of all rows
+        often = ws.save(repeated.orderBy(F.desc("n"), "key").limit(BROADCAST_KEYS), "often", rows=BROADCAST_KEYS)
+        hot, rest = F.broadcast(often), F.broadcast(often.select("key"))
+        owned_texts = texts.join(hot, "key").unionByName(texts.join(rest, "key", "left_anti").join(repeated.join(rest, "key", "left_anti"), "key"))
+    counted = owned_texts.groupBy("bucket", "key", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     owned = counted.repartitionByRange("bucket", "key")
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy("body"))
     return ws.save(owned.select("bucket", "key", chain.alias("chain"), F.sha2("body", 256).alias("sha"), "keep_id", "group_size"), "chains")

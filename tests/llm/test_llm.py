@@ -104,7 +104,7 @@ def test_unlike_texts_of_one_key_are_chained(docs, monkeypatch):
     ws, entries, directory = exact_dedup.build_index(docs, capacity=4)
     chains = exact_dedup.chains_of(ws, docs, directory).collect()
     assert max(r.chain for r in chains) > 3 and len({(r.bucket, r.key, r.chain) for r in chains}) == len(chains)
-    for keys in (0, exact_dedup.BROADCAST_KEYS):
+    for keys in (0, 3, exact_dedup.BROADCAST_KEYS):
         monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
         assert {tuple(r) for r in exact_dedup.exact_groups(docs, capacity=4).collect()} == want
 
