@@ -64,14 +64,17 @@ def leave_one_out(curves: DataFrame, entity: str = "entity") -> DataFrame:
 def resampled(curves: DataFrame, n_rep: int, seed: int, entity: str = "entity") -> DataFrame:
     """curves with a `rep` key and `times`: how often each entity was drawn in each replicate.
 
-    Draws are made per replicate and slot and counted before they meet the
-    curves, so a curve's rows are copied once per replicate at most.
+    Slot k of a replicate draws a place among the entities in order of name.
+    Draws are made in tasks that share out all slots and counted before they meet
+    the entities of those places, so no array holds the entities and a curve's
+    rows are copied once per replicate at most.
     """
-    names = curves.select(entity).distinct().agg(F.array_sort(F.collect_set(entity)).alias("_a"))
-    n = F.size("_a")
-    slots = names.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_s", F.explode(F.sequence(F.lit(0), n - 1)))
-    drawn = slots.select("rep", F.element_at("_a", (draw(F.col("rep"), F.col("_s"), seed) % n + 1).cast("int")).alias(entity)).groupBy("rep", entity).agg(F.count("*").alias("times"))
-    return curves.join(drawn, entity)
+    spark = curves.sparkSession
+    placed = materialize(running_sum(curves.select(entity).distinct(), [], [entity], F.lit(1).cast("long"), "_place"))
+    n = placed.count()
+    slots = spark.range(n_rep * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % max(n, 1)).alias("_s"))
+    drawn = slots.groupBy("rep", (draw(F.col("rep"), F.col("_s"), seed) % max(n, 1) + 1).alias("_place")).agg(F.count("*").alias("times"))
+    return curves.join(drawn.join(placed, "_place").select("rep", entity, "times"), entity)
 
 
 def to_physical(z: Column, mean: Column, sd: Column, scale: float = 10) -> Column:

@@ -250,3 +250,22 @@ def test_balanced_folds_differ_by_one_row(spark):
     # neighbours do not share folds by rule
     folds = [r.fold for r in resample.balanced_kfold(df, [F.col("i"), F.lit(3)], ["i"]).where("entity = 1").orderBy("i").collect()]
     assert len({b - a for a, b in itertools.pairwise(folds)}) == 9
+
+
+def test_resampled_draws_every_slot_without_an_array_of_entities(spark):
+    from collections import Counter
+
+    from panelscope.operators.thresholds import resampled
+
+    names = [f"s{i}" for i in range(23)]
+    curves = spark.createDataFrame([(e, float(x), i + x / 10) for i, e in enumerate(names) for x in range(2)], "entity string, x double, y double")
+    got = resampled(curves, 40, 9)
+    ordered = sorted(names)
+    want = Counter()
+    for rep in range(40):
+        for slot in range(len(names)):
+            place = (rep * 1000003 + slot * 10007 + 9) * 48271 % 2147483647 % len(names)
+            want[rep, ordered[place]] += 1
+    assert {(r.rep, r.entity, r.x): r.times for r in got.collect()} == {(rep, e, float(x)): n for (rep, e), n in want.items() for x in range(2)}
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+    assert resampled(curves.limit(0), 40, 9).count() == 0
