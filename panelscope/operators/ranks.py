@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chi2_sf, normal_sf
+from ..sources import materialize
 from .ordered import previous, quantiles, running_sum
 
 #: Up to this number of values in the smaller group, ranks are tested by their exact distribution.
@@ -132,6 +133,7 @@ def label_runs(df: DataFrame, label: str, order: str, by: list[str]) -> DataFram
 
 def quartile_strata(df: DataFrame, x: str) -> DataFrame:
     """stratum 1 to 4 by the quartiles of x: right-closed, the first holds the minimum."""
+    df = materialize(df)  # x computed again may differ in its last digit, and quartiles are values of x
     edges = quantiles(df, [], x, [0.25, 0.5, 0.75], "_e").select("_e")
     v, every = F.col(x), df.crossJoin(F.broadcast(edges)) if not edges.isEmpty() else df.withColumn("_e", F.lit(None).cast("array<double>"))
     return every.withColumn("stratum", F.when(v <= F.col("_e")[0], 1).when(v <= F.col("_e")[1], 2).when(v <= F.col("_e")[2], 3).when(v.isNotNull(), 4)).drop("_e")
