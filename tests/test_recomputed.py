@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.operators import ranks
+from panelscope.operators import joins, ranks
 
 
 @pytest.fixture
@@ -33,3 +33,10 @@ def test_quartile_strata_see_the_values_that_the_quartiles_are_of(spark, unstead
     df = spark.createDataFrame([(i, 1.0 + i / 7) for i in range(25)], "id int, x double")
     got = ranks.quartile_strata(unsteady(df), "x").groupBy("stratum").count().collect()
     assert {r.stratum: r["count"] for r in got} == {1: 7, 2: 6, 3: 6, 4: 6}
+
+
+def test_matches_are_found_again_whatever_their_last_digits(spark, unsteady):
+    a = spark.createDataFrame([(1, i, i, 1.0 + i / 7) for i in range(20)], "entity int, id int, ts int, x double").withColumn("ts", F.timestamp_seconds("ts"))
+    b = a.withColumns({"id": F.col("id") + 100, "x": F.col("x") + 0.01})
+    got = joins.caliper_nearest(unsteady(a), b, ["x"], 0.1, ["id", "ts"]).collect()
+    assert {r.id: r.match and r.match.id for r in got} == {i: i + 100 for i in range(20)}
