@@ -120,6 +120,8 @@ def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float],
     def between(v):
         place = v * (n - 1)
         low, high = F.floor(place), F.ceil(place)
-        return F.when(low == high, F.col("found")[low]).otherwise((high - place) * F.col("found")[low] + (place - low) * F.col("found")[high])
+        # from the lower value on, so that between equal neighbours the quantile is their value to the last digit
+        a, b = F.col("found")[low], F.col("found")[high]
+        return F.when(low == high, a).otherwise(a + (b - a) * (place - low))
 
     return got.select(*by, "n", F.transform(p, between).alias(out))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelscope.operators import joins, ranks
+from panelscope.operators import joins, ordered, ranks
 
 
 @pytest.fixture
@@ -40,3 +41,11 @@ def test_matches_are_found_again_whatever_their_last_digits(spark, unsteady):
     b = a.withColumns({"id": F.col("id") + 100, "x": F.col("x") + 0.01})
     got = joins.caliper_nearest(unsteady(a), b, ["x"], 0.1, ["id", "ts"]).collect()
     assert {r.id: r.match and r.match.id for r in got} == {i: i + 100 for i in range(20)}
+
+
+@pytest.mark.parametrize("held", [50, 10_000])
+def test_quantiles_between_equal_values_are_that_value(spark, held):
+    values = np.random.default_rng(1).normal(size=30)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values) for _ in range(137)], "g int, x double")
+    for r in ordered.quantiles(df, ["g"], "x", [i / 100 for i in range(101)], held=held).collect():
+        assert set(r.q) == {values[r.g]}
