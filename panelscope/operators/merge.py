@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import materialize
 from .ordered import previous
 
 
@@ -27,22 +28,23 @@ def priority_merge(primary: DataFrame, secondary: DataFrame, by: str = "entity",
     unchanged ('single'); an entity that the first step leaves without rows of a
     source keeps all rows, marked 'emptied'; others are 'merged'.
 
-    Everything about an entity is known from two small aggregates, which are
-    joined back; rows are filtered, not sorted.
+    Everything about an entity is known from one small aggregate, which is
+    written and joined back; rows are filtered, not sorted.
     """
     rows = primary.withColumn("_src", F.lit(1)).unionByName(secondary.withColumn("_src", F.lit(2)), allowMissingColumns=True).withColumn("_year", F.year(ts))
-    yearly = rows.groupBy(by, "_src", "_year").agg(F.count_if(F.expr(measured)).alias("m"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    first = yearly.where("_src = 1").groupBy(by).agg(F.min("_year").alias("y0"))
-    both = yearly.join(first, by, "left")
-    pick = lambda src, c: F.max(F.when((F.col("_src") == src) & (F.col("_year") == F.col("y0")), F.col(c)))
-    counts = both.groupBy(by).agg(F.first("y0").alias("y0"), F.coalesce(pick(1, "m"), F.lit(0)).alias("m1"), F.coalesce(pick(2, "m"), F.lit(0)).alias("m2"), F.count_distinct("_src").alias("k"))
-    counts = counts.withColumn("drops", F.when((F.col("k") == 2) & (F.col("m1") > F.col("m2")), 2).when((F.col("k") == 2) & (F.col("m2") > F.col("m1")), 1).otherwise(0))
-    left = both.join(counts.drop("y0"), by).where("not (_src = drops and _year = y0)")
-    side = lambda src, f, c: f(F.when(F.col("_src") == src, F.col(c)))
-    span = left.groupBy(by).agg(side(1, F.min, "lo").alias("lo1"), side(1, F.max, "hi").alias("hi1"), side(2, F.min, "lo").alias("lo2"), side(2, F.max, "hi").alias("hi2"))
-    plan = counts.join(span, by, "left").withColumn("status", F.when(F.col("k") < 2, "single").when(F.col("lo1").isNull() | F.col("lo2").isNull(), "emptied").otherwise("merged"))
+    # written, as the plan of every entity comes from it alone: a row per entity, source and year
+    yearly = materialize(rows.groupBy(by, "_src", "_year").agg(F.count_if(F.expr(measured)).alias("m"), F.min(ts).alias("lo"), F.max(ts).alias("hi")))
+    w = W.partitionBy(by)  # a source's years
+    years = yearly.withColumns({"y0": F.min(F.when(F.col("_src") == 1, F.col("_year"))).over(w), "two": F.min("_src").over(w) != F.max("_src").over(w)})
+    pick = lambda src: F.coalesce(F.max(F.when((F.col("_src") == src) & (F.col("_year") == F.col("y0")), F.col("m"))).over(w), F.lit(0))
+    years = years.withColumns({"m1": pick(1), "m2": pick(2)})
+    years = years.withColumn("drops", F.when(F.col("two") & (F.col("m1") > F.col("m2")), 2).when(F.col("two") & (F.col("m2") > F.col("m1")), 1).otherwise(0))
+    left = ~F.coalesce((F.col("_src") == F.col("drops")) & (F.col("_year") == F.col("y0")), F.lit(False))
+    side = lambda src, f, c: f(F.when(left & (F.col("_src") == src), F.col(c)))
+    plan = years.groupBy(by).agg(*[F.max(c).alias(c) for c in ("y0", "drops", "two")], side(1, F.min, "lo").alias("lo1"), side(1, F.max, "hi").alias("hi1"), side(2, F.min, "lo").alias("lo2"), side(2, F.max, "hi").alias("hi2"))
+    plan = plan.withColumn("status", F.when(~F.col("two"), "single").when(F.col("lo1").isNull() | F.col("lo2").isNull(), "emptied").otherwise("merged"))
     plan = plan.withColumn("leader", F.when(F.col("hi2") > F.col("hi1"), 2).otherwise(1)).withColumn("edge", F.when(F.col("leader") == 1, F.col("lo1")).otherwise(F.col("lo2")))
-    out = rows.join(plan.select(by, "y0", "drops", "status", "leader", "edge"), by)
+    out = rows.join(materialize(plan.select(by, "y0", "drops", "status", "leader", "edge")), by)
     keep = (F.col("status") != "merged") | (~((F.col("_src") == F.col("drops")) & (F.col("_year") == F.col("y0"))) & ((F.col("_src") == F.col("leader")) | (F.col(ts) < F.col("edge"))))
     return out.where(keep).drop("_src", "_year", "y0", "drops", "leader", "edge")
 
@@ -56,24 +58,24 @@ def merge_sources(sources: dict[str, DataFrame], meta: DataFrame, columns: list[
     priority that has a value, and `status`: 'variable' if any of its sources
     lacks that variable, 'emptied' if a merge would have left a side without
     rows, 'duplicate' if a time occurs twice, else 'single' or 'merged'.  Rows of
-    the first three are not fit for use; the reference stops at them.
+    the first three are not fit for use; the reference stops at them.  Each merge
+    is written, so that a task holds one merge's state however many sources there are.
     """
     named = [df.withColumn("source", F.lit(name)) for name, df in sources.items()]
     out = named[0].withColumn("_emptied", F.lit(False))
     for nxt in named[1:]:
         out = priority_merge(out, nxt, by, ts)
-        out = out.withColumn("_emptied", F.coalesce("_emptied", F.lit(False)) | (F.col("status") == "emptied")).drop("status")
+        out = materialize(out.withColumn("_emptied", F.coalesce("_emptied", F.lit(False)) | (F.col("status") == "emptied")).drop("status"))
     present = [df.groupBy(by).agg(*[F.count(v).alias(v) for v in allowed]).withColumn("priority", F.lit(i)) for i, df in enumerate(named)]
     present = reduce(lambda a, b: a.unionByName(b), present)
-    first = present.groupBy(by).agg(*[F.min_by(v, "priority").alias(f"_{v}") for v in allowed], F.count("*").alias("_sources"))
-    variable = F.coalesce(*[F.when(F.col(f"_{v}") > 0, F.lit(v)) for v in allowed])
-    first = first.select(by, "_sources", variable.alias("variable"))
-    has = F.coalesce(*[F.when(F.col("variable") == v, F.col(v) > 0) for v in allowed], F.lit(False))
-    lacks = present.join(first, by).groupBy(by).agg(F.max(~has).alias("_lacks"))
-    state = out.groupBy(by).agg(F.max("_emptied").alias("_emptied"), (F.count("*") != F.count_distinct(ts)).alias("_twice"))
-    status = F.when(F.col("_lacks"), "variable").when(F.col("_emptied"), "emptied").when(F.col("_twice"), "duplicate").when(F.col("_sources") == 1, "single").otherwise("merged")
-    sites = first.join(lacks, by).join(state, by).withColumn("status", status).join(metadata_gapfill(meta, columns, by), by, "left")
-    return out.drop("_emptied"), sites.select(by, "origin", "variable", "status", *columns)
+    first = present.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("priority", *allowed))).alias("_p"))  # as many as there are sources
+    first = first.withColumn("variable", F.coalesce(*[F.when(F.col("_p")[0][v] > 0, F.lit(v)) for v in allowed]))
+    lacks = F.exists("_p", lambda p: ~F.coalesce(*[F.when(F.col("variable") == v, p[v] > 0) for v in allowed], F.lit(False)))
+    first = materialize(first.select(by, "variable", lacks.alias("_lacks"), (F.size("_p") == 1).alias("_one")))
+    state = materialize(out.groupBy(by).agg(F.max("_emptied").alias("_emptied"), (F.count("*") != F.count_distinct(ts)).alias("_twice")))
+    status = F.when(F.col("_lacks"), "variable").when(F.col("_emptied"), "emptied").when(F.col("_twice"), "duplicate").when(F.col("_one"), "single").otherwise("merged")
+    sites = first.join(state, by).withColumn("status", status).join(materialize(metadata_gapfill(meta, columns, by)), by, "left")
+    return out.drop("_emptied"), materialize(sites.select(by, "origin", "variable", "status", *columns))
 
 
 def metadata_gapfill(meta: DataFrame, columns: list[str], by: str = "entity", priority: str = "priority") -> DataFrame:

@@ -225,3 +225,16 @@ def test_registry_is_complete():
     from panelscope.queries import ORACLE_SQL, QUERIES
 
     assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) > 150
+
+
+def test_a_merge_of_many_sources_is_read_and_not_merged_again(spark):
+    from panelscope.operators.merge import merge_sources
+
+    day = lambda i: spark.createDataFrame([(1, f"200{i}-01-01", 0, 1.0)], "entity int, d string, qc int, a double").withColumn("ts", F.to_timestamp_ntz("d")).drop("d")
+    meta = spark.createDataFrame([(1, i, c, 1.0) for i, c in enumerate("ABCD")], "entity int, priority int, origin string, lat double")
+    merged, sites = merge_sources({c: day(i) for i, c in enumerate("ABCD")}, meta, ["lat"], ["a"])
+    for df in (merged, sites):
+        # a task holds no state of the merges, however many there were
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Join", "Aggregate", "Sort", "Exchange")), plan
+    assert merged.count() == 4 and [(r.origin, r.status) for r in sites.collect()] == [("A+B+C+D", "merged")]
