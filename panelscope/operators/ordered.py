@@ -26,11 +26,12 @@ def ranged(df: DataFrame, by: list[str], order: list[Column | str], parts: int |
 
 
 def _carried(rows: DataFrame, by: list[str], per: DataFrame, name: str) -> DataFrame:
-    """rows with the column `name` that per has by range and group."""
+    """rows with the column `name` that per has by range and group; written, as Spark broadcasts what it knows to be small."""
+    per = materialize(per.select("_part", *by, name))
     same = F.col("a._part") == F.col("b._part")
     for c in by:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return rows.alias("a").join(per.select("_part", *by, name).alias("b"), same).select("a.*", f"b.{name}")
+    return rows.alias("a").join(per.alias("b"), same).select("a.*", f"b.{name}")
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[Column | str], value: Column, out: str, parts: int | None = None) -> DataFrame:
@@ -42,6 +43,21 @@ def running_sum(df: DataFrame, by: list[str], order: list[Column | str], value:
     return _carried(local, by, before, "_before").withColumn(out, F.col("_before") + F.col("_here")).drop("_part", "_v", "_here", "_before")
 
 
+def placed(df: DataFrame, by: list[str], order: list[Column | str], out: str, parts: int | None = None) -> DataFrame:
+    """df with the place of each row in its group, from 1, in an order without ties.
+
+    Ranges are written in their order with consecutive numbers, so rows are
+    shuffled once and sorted once; places differ from numbers by one value per
+    range and group.
+    """
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the upper bits of the number are the range's
+    rows = materialize(df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("_seq", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_seq", 33))
+    w = W.partitionBy(*by).orderBy("_part")  # as many rows as a group has ranges
+    shift = rows.groupBy("_part", *by).agg(F.count("*").alias("_c"), F.min("_seq").alias("_lo")).withColumn("_shift", F.sum("_c").over(w) - F.col("_c") - F.col("_lo") + 1)
+    return _carried(rows, by, shift, "_shift").withColumn(out, F.col("_seq") + F.col("_shift")).drop("_part", "_seq", "_shift")
+
+
 def previous(df: DataFrame, by: list[str], order: list[str], values: list[str], parts: int | None = None) -> DataFrame:
     """df with _first (no row of its group comes before) and _last, a struct of the values of the row before, in an order without ties."""
     rows = ranged(df, by, order, parts)

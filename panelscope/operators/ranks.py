@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chi2_sf, normal_sf
 from ..sources import materialize
-from .ordered import previous, quantiles, running_sum
+from .ordered import placed, previous, quantiles, running_sum
 
 #: Up to this number of values in the smaller group, ranks are tested by their exact distribution.
 EXACT = 8
@@ -107,7 +107,7 @@ def _exact_p(batches):
 
 def places(df: DataFrame, order: list[Column], out: str = "place", parts: int | None = None) -> DataFrame:
     """df with its rows' places in a total order, from 1."""
-    return running_sum(df, [], order, F.lit(1), out, parts)
+    return placed(df, [], order, out, parts)
 
 
 def holm(df: DataFrame, p: str, order: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import running_sum
+from .ordered import placed
 
 _PRIME, _MODULUS = 48271, 2147483647
 
@@ -61,8 +61,8 @@ def balanced_kfold(df: DataFrame, keys: list[Column], order: list[str], k: int =
     Places come from ranges, so a large entity is not sorted by one task; `order`
     tells the rows of an entity apart.
     """
-    placed = running_sum(df.withColumn("_draw", draw(keys[0], keys[1], seed)), [by], ["_draw", *order], F.lit(1), "_place")
-    return placed.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_draw", "_place")
+    rows = placed(df.withColumn("_draw", draw(keys[0], keys[1], seed)), [by], ["_draw", *order], "_place")
+    return rows.withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_draw", "_place")
 
 
 def leave_one_year_out(df: DataFrame, by: str = "entity", ts: str = "ts") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .curves import crossings, fitted, on_grid, polyfit, prediction_se
 from ..functions import t_quantile
 from ..sources import materialize
-from .ordered import running_sum
+from .ordered import placed
 from .resample import draw
 
 
@@ -43,7 +43,7 @@ def leave_one_out(curves: DataFrame, entity: str = "entity") -> DataFrame:
     by ranges; a median without one value lies among three neighbours in the
     middle, and an entity's own rank tells which.  No array holds the entities.
     """
-    ranked = materialize(running_sum(curves.select(entity, "x", "y"), ["x"], ["y", entity], F.lit(1), "rank"))
+    ranked = materialize(placed(curves.select(entity, "x", "y"), ["x"], ["y", entity], "rank"))
     sizes = ranked.groupBy("x").agg(F.count("*").alias("n"))
     # of the n - 1 values left, the middle one is at this rank, or the next one too
     at = F.floor(F.col("n") / 2)
@@ -70,11 +70,11 @@ def resampled(curves: DataFrame, n_rep: int, seed: int, entity: str = "entity")
     rows are copied once per replicate at most.
     """
     spark = curves.sparkSession
-    placed = materialize(running_sum(curves.select(entity).distinct(), [], [entity], F.lit(1).cast("long"), "_place"))
-    n = placed.count()
+    numbered = materialize(placed(curves.select(entity).distinct(), [], [entity], "_place"))
+    n = numbered.count()
     slots = spark.range(n_rep * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), (F.col("id") % max(n, 1)).alias("_s"))
     drawn = slots.groupBy("rep", (draw(F.col("rep"), F.col("_s"), seed) % max(n, 1) + 1).alias("_place")).agg(F.count("*").alias("times"))
-    return curves.join(drawn.join(placed, "_place").select("rep", entity, "times"), entity)
+    return curves.join(drawn.join(numbered, "_place").select("rep", entity, "times"), entity)
 
 
 def to_physical(z: Column, mean: Column, sd: Column, scale: float = 10) -> Column:
