@@ -66,3 +66,14 @@ def test_coalitions_are_worked_out_once_for_equal_values(spark, tmp_path, monkey
         at = (np.arange(600) % 2 == r.entity).nonzero()[0]
         assert abs(r.phi_c - (2 * r.c**2 - (2 * c[at] ** 2).mean())) < 1e-9
         assert abs(r.phi_a - 0.5 * ((r.a * b[at] - a[at] * b[at]).mean() + (r.a * r.b - a[at] * r.b).mean())) < 1e-9
+
+
+def test_small_folders_are_written_by_many_tasks(spark, tmp_path):
+    from panelscope.sources import write_partitioned
+
+    df = spark.range(640).select((F.col("id") % 64).alias("entity"), F.col("id").cast("double").alias("x"))
+    write_partitioned(df, f"{tmp_path}/parquet", ["entity"], f"{tmp_path}/csv")
+    for kind in ("parquet", "csv"):
+        files = [f for at, _, names in os.walk(tmp_path / kind) for f in names if f.startswith("part-")]
+        assert len(files) == 64 and len({f[:10] for f in files}) >= 8
+    assert spark.read.parquet(f"{tmp_path}/parquet").agg(F.sum("x")).first()[0] == 639 * 320
